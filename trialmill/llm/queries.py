@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, simhash
+from . import chat, decontam, exact, langid, pieces, simhash, toxicity
 
-_MODULES = (simhash, exact, decontam)
+_MODULES = (simhash, langid, exact, decontam, pieces, toxicity, chat)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
