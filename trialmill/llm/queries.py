@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, langid, pieces, pii, secrets, simhash, toxicity
+from . import chat, decontam, exact, langid, pieces, pii, secrets, simhash, substrings, toxicity
 
-_MODULES = (simhash, langid, exact, decontam, pii, pieces, toxicity, secrets, chat)
+_MODULES = (simhash, langid, exact, decontam, pii, substrings, pieces, toxicity, secrets, chat)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
