@@ -1,6 +1,300 @@
-"""The registered queries over the driver's tables and their DuckDB equivalents."""
+"""The registered queries over the driver's tables and their DuckDB equivalents.
+
+Trial table: `events` with user_id as subject, event_type as condition and value as response time; `lineitem` has few
+large cells. Floating results are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import TrialData
+from .functions.stats import Z_KNOTS, Z_SMALL, name
+from .operators import cdf, filters, summary
+from .plans.rules import SummaryPlan
+from .sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE[key] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _trials(spark: SparkSession, sf_dir: str, table: str = "events") -> TrialData:
+    return TrialData(spark, _table(spark, sf_dir, table))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(name(c), DIGITS) for c in columns})
+
+
+# --- scans -----------------------------------------------------------------------------------------------------------
+@query("scan_project", "SELECT event_id, user_id, event_type, value FROM events")
+def scan_project(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+
+
+@query("distinct_values", "SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL")
+def distinct_values(spark, sf_dir):
+    return filters.distinct_values(_table(spark, sf_dir, "events"), "event_type")
+
+
+@query("preview_limit", "SELECT event_id, value FROM events ORDER BY event_id LIMIT 10")
+def preview_limit(spark, sf_dir):
+    return tables.preview(_table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id"))
+
+
+@query("union_by_name", "SELECT event_id, value, CAST(NULL AS VARCHAR) AS event_type FROM events UNION ALL SELECT event_id, CAST(NULL AS DOUBLE), event_type FROM events")
+def union_by_name(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return tables.union([e.select("event_id", "value"), e.select("event_id", "event_type")])
+
+
+@query("null_key_guard", "SELECT count(*) AS n FROM events")
+def null_key_guard(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    filters.check_keys(e, ["user_id", "event_type"])
+    return e.agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- descriptive aggregates ------------------------------------------------------------------------------------------
+_SQL_AGG = {
+    "Mean": "avg({x})",
+    "Median": "median({x})",
+    "Count": "CAST(count({x}) AS DOUBLE)",
+    "Standard Deviation": "stddev_samp({x})",
+    "Max": "max({x})",
+    "Min": "min({x})",
+    "Variance": "var_samp({x})",
+}
+_SHORT = {"Mean": "mean", "Median": "median", "Mode": "mode", "Count": "count", "Standard Deviation": "std", "Max": "max", "Min": "min", "Variance": "var", "Standard Error": "sem"}
+
+
+def _agg_sql(op: str, keys: list[str], x: str = "value", table: str = "events") -> str:
+    head = "".join(f"{k}, " for k in keys)
+    names = f"'{x}' AS variable, '{op}' AS operation, '' AS parameter"
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    if op == "Mode":
+        inner = f"SELECT {head}{x} AS v, count(*) AS n FROM {table} WHERE {x} IS NOT NULL GROUP BY {head}{x}"
+        part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+        return f"SELECT {head}{names}, round(v, {DIGITS}) AS value FROM (SELECT *, row_number() OVER ({part}ORDER BY n DESC, v) AS r FROM ({inner})) WHERE r = 1"
+    made = _SQL_AGG.get(op) or ("stddev_samp({x}) / sqrt(count(*))" if keys else "stddev_samp({x}) / sqrt(count({x}))")
+    made = made.format(x=x)
+    return f"SELECT * FROM (SELECT {head}{names}, round({made}, {DIGITS}) AS value FROM {table}{group}) WHERE value IS NOT NULL"
+
+
+def _agg(op: str, keys: list[str]) -> Query:
+    return lambda spark, sf_dir: _rounded(_trials(spark, sf_dir).summarize(keys[:1], keys[1:], [], [f"value@{op}"]), "value")
+
+
+for _op, _short in _SHORT.items():
+    QUERIES[f"agg_{_short}"] = _agg(_op, ["user_id", "event_type"])
+    ORACLE[f"agg_{_short}"] = _agg_sql(_op, ["user_id", "event_type"])
+    QUERIES[f"agg_global_{_short}"] = _agg(_op, [])
+    ORACLE[f"agg_global_{_short}"] = _agg_sql(_op, [])
+
+_MULTI = [("l_quantity", "Mean"), ("l_extendedprice", "Median"), ("l_discount", "Standard Deviation"), ("l_tax", "Max"), ("l_quantity", "Count"), ("l_extendedprice", "Standard Error")]
+
+
+@query("agg_multi_target", " UNION ALL ".join(_agg_sql(op, ["l_returnflag", "l_linestatus"], x, "lineitem") for x, op in _MULTI))
+def agg_multi_target(spark, sf_dir):
+    return _rounded(_trials(spark, sf_dir, "lineitem").summarize(["l_returnflag"], ["l_linestatus"], [], [f"{x}@{op}" for x, op in _MULTI]), "value")
+
+
+# --- filters ---------------------------------------------------------------------------------------------------------
+def _kept(rules: list[str], keys: list[str], **options) -> Query:
+    return lambda spark, sf_dir: _trials(spark, sf_dir).filter(keys, [], rules, **options).select("event_id", "value")
+
+
+def _z_sql(n: str) -> str:
+    knots = "".join(f" WHEN {n} >= {a} THEN {za} + ({n} - {a}) * {(zb - za) / (b - a)!r}" for (a, za), (b, zb) in reversed(list(zip(Z_KNOTS, Z_KNOTS[1:], strict=False))))
+    small = "".join(f" WHEN {n} = {k} THEN {z}" for k, z in Z_SMALL)
+    return f"CASE WHEN {n} >= {Z_KNOTS[-1][0]} THEN {Z_KNOTS[-1][1]}{knots}{small} ELSE 1.0 END"
+
+
+def _stat_sql(kind: str, keys: str, source: str = "events") -> str:
+    over = f"OVER ({'PARTITION BY ' + keys if keys else ''})"
+    if kind == "mad":
+        inner = f"SELECT *, median(value) {over} AS m FROM {source}"
+        return f"SELECT * EXCLUDE (m, d) FROM (SELECT *, median(abs(value - m)) {over} AS d FROM ({inner})) WHERE value <= m + 3 * 1.4826 * d"
+    z = _z_sql("n") if kind == "shiftz" else "1.5"
+    return f"SELECT * EXCLUDE (m, s, n) FROM (SELECT *, avg(value) {over} AS m, stddev_samp(value) {over} AS s, count(value) {over} AS n FROM {source}) WHERE value < m + {z} * s"
+
+
+_RULE = {"sd": "value:< mean + 1.5 * SD", "mad": "value:<= median + 3 * MAD", "shiftz": "value:< mean + Shifting Z * SD"}
+for _kind, _rule in _RULE.items():
+    QUERIES[f"filter_{_kind}_global"] = _kept([_rule], [])
+    ORACLE[f"filter_{_kind}_global"] = f"SELECT event_id, value FROM ({_stat_sql(_kind, '')})"
+    QUERIES[f"filter_{_kind}_grouped"] = _kept([_rule], ["user_id", "event_type"])
+    ORACLE[f"filter_{_kind}_grouped"] = f"SELECT event_id, value FROM ({_stat_sql(_kind, 'user_id, event_type')})"
+    QUERIES[f"filter_{_kind}_grouped_skewed"] = _kept([_rule], ["event_type"], skewed=True)
+    ORACLE[f"filter_{_kind}_grouped_skewed"] = f"SELECT event_id, value FROM ({_stat_sql(_kind, 'event_type')})"
+
+for _key, _rule, _where in (
+    ("filter_raw", "value:>= 20", "value >= 20"),
+    ("filter_and", "value:> 10 and < 80.5", "value > 10 AND value < 80.5"),
+    ("filter_or", "value:< 5 or >= 90", "value < 5 OR value >= 90"),
+    ("filter_checklist_num", "user_id: = 1 = 2 = 5", "user_id IN (1, 2, 5)"),
+    ("filter_checklist_str", "event_type: = 'click' = 'view'", "event_type IN ('click', 'view')"),
+):
+    QUERIES[_key] = _kept([_rule], ["user_id"])
+    ORACLE[_key] = f"SELECT event_id, value FROM events WHERE {_where}"
+
+_CHAIN = ["event_type: = 'click' = 'view'", "value:< mean + 2.5 * SD", "value:> median - 3 * MAD and < median + 3 * MAD", "value:> 1"]
+_CHAIN_SQL = """
+WITH a AS (SELECT * FROM events WHERE event_type IN ('click', 'view')),
+b AS (SELECT * EXCLUDE (m, s) FROM (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM a WINDOW w AS (PARTITION BY user_id, event_type)) WHERE value < m + 2.5 * s),
+c AS (SELECT *, median(value) OVER (PARTITION BY user_id, event_type) AS m FROM b),
+d AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY user_id, event_type) AS d FROM c),
+e AS (SELECT * FROM d WHERE value > m - 3 * 1.4826 * d AND value < m + 3 * 1.4826 * d AND value > 1)
+"""
+
+
+@query("filter_chain", _CHAIN_SQL + "SELECT event_id, value FROM e")
+def filter_chain(spark, sf_dir):
+    return _kept(_CHAIN, ["user_id", "event_type"])(spark, sf_dir)
+
+
+@query("summary_chain", _CHAIN_SQL + f"SELECT user_id, event_type, 'value' AS variable, 'Mean' AS operation, '' AS parameter, round(avg(value), {DIGITS}) AS value FROM e GROUP BY user_id, event_type")
+def flagship_at(spark, sf_dir):
+    """Rules, then the mean of each subject and condition: one exchange and one sort for everything."""
+    return _rounded(_trials(spark, sf_dir).summarize(["user_id"], ["event_type"], _CHAIN, ["value@Mean"]), "value")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship_at(spark, sf_dir)
+
+
+@query("plan_config_run", _CHAIN_SQL + f"SELECT user_id, event_type, 'value' AS variable, 'Mean' AS operation, '' AS parameter, round(avg(value), {DIGITS}) AS value FROM e GROUP BY user_id, event_type")
+def plan_config_run(spark, sf_dir):
+    """A plan written as a configuration, read back and run."""
+    plan = SummaryPlan.from_config(SummaryPlan(["user_id"], ["event_type"], _CHAIN, ["value@Mean"]).to_config())
+    return _rounded(_trials(spark, sf_dir).run(plan, strict=True), "value")
+
+
+# --- reshape ---------------------------------------------------------------------------------------------------------
+def _pivot(rows: list[str], cols: list[str], target: str) -> Query:
+    def run(spark, sf_dir):
+        long = _rounded(_trials(spark, sf_dir, "lineitem").summarize(rows, cols, [], [target]), "value")
+        return summary.pivot(long, rows, cols, target, separator="_")
+
+    return run
+
+
+def _case(condition: str, label: str) -> str:
+    return f"round(avg(l_quantity) FILTER ({condition}), {DIGITS}) AS \"{label}\""
+
+
+QUERIES["pivot_rows_cols"] = _pivot(["l_returnflag"], ["l_linestatus"], "l_quantity@Mean")
+ORACLE["pivot_rows_cols"] = f"SELECT l_returnflag, {_case("l_linestatus = 'F'", 'F')}, {_case("l_linestatus = 'O'", 'O')} FROM lineitem GROUP BY l_returnflag"
+QUERIES["pivot_rows_only"] = _pivot(["l_returnflag"], [], "l_quantity@Mean")
+ORACLE["pivot_rows_only"] = f"SELECT l_returnflag, round(avg(l_quantity), {DIGITS}) AS l_quantity FROM lineitem GROUP BY l_returnflag"
+QUERIES["pivot_cols_only"] = _pivot([], ["l_linestatus"], "l_quantity@Mean")
+ORACLE["pivot_cols_only"] = f"SELECT 'l_quantity' AS variable, {_case("l_linestatus = 'F'", 'F')}, {_case("l_linestatus = 'O'", 'O')} FROM lineitem"
+
+
+@query("pivot_multilevel", None)
+def pivot_multilevel(spark, sf_dir):
+    return _pivot(["l_linenumber"], ["l_returnflag", "l_linestatus"], "l_quantity@Mean")(spark, sf_dir)
+
+
+ORACLE["pivot_multilevel"] = "SELECT l_linenumber, " + ", ".join(_case(f"l_returnflag = '{a}' AND l_linestatus = '{b}'", f"{a}_{b}") for a, b in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM lineitem GROUP BY l_linenumber"
+
+
+# --- expressions -----------------------------------------------------------------------------------------------------
+def _expressions(given: dict[str, str], table: str = "lineitem", keys: tuple[str, ...] = ("l_orderkey", "l_linenumber")) -> Query:
+    def run(spark, sf_dir):
+        data = _trials(spark, sf_dir, table)
+        for target, text in given.items():
+            data.compute(target, text)
+        out = data.data.select(*keys, *given)
+        # Quotients of cents by small whole numbers end before the ninth decimal, so none is rounded at a tie.
+        return out.withColumns({c: F.round(c, 9) for c, k in out.dtypes if c in given and k == "double"})
+
+    return run
+
+
+_Q, _P, _D = "self.data['l_quantity']", "self.data['l_extendedprice']", "self.data['l_discount']"
+for _key, _given, _sql in (
+    ("expr_arith", {"a": f"{_Q} + 2 * {_P}", "b": f"-({_P} - {_Q}) / {_Q}", "c": f"{_Q} ** 2", "d": f"1 / {_Q}"}, "round(l_quantity + 2 * l_extendedprice, 9) AS a, round(-(l_extendedprice - l_quantity) / l_quantity, 9) AS b, round(l_quantity ** 2, 9) AS c, round(1 / l_quantity, 9) AS d"),
+    ("expr_log_exp", {"a": f"np.log({_P})", "b": f"np.exp({_D})"}, "round(ln(l_extendedprice), 9) AS a, round(exp(l_discount), 9) AS b"),
+    ("expr_logical", {"a": f"np.logical_and({_Q} > 10, {_D} > 0.05)", "b": f"({_Q} > 40) | ({_D} < 0.01)", "c": f"~({_Q} > 10)", "d": f"np.logical_or({_D}, {_Q} < 3)"}, "l_quantity > 10 AND l_discount > 0.05 AS a, l_quantity > 40 OR l_discount < 0.01 AS b, NOT (l_quantity > 10) AS c, l_discount <> 0 OR l_quantity < 3 AS d"),
+    ("expr_compare", {"a": f"{_Q} == 10", "b": f"{_Q} != 10", "c": f"{_Q} <= 10", "d": f"{_Q} >= 10"}, "l_quantity = 10 AS a, l_quantity <> 10 AS b, l_quantity <= 10 AS c, l_quantity >= 10 AS d"),
+):
+    QUERIES[_key] = _expressions(_given)
+    ORACLE[_key] = f"SELECT l_orderkey, l_linenumber, {_sql} FROM lineitem"
+QUERIES["expr_boxcox"] = _expressions({"boxcox": "runBoxcox(self.data['value'])"}, "events", ("event_id",))
+QUERIES["expr_divide_zero"] = _expressions({"a": f"{_Q} / ({_D} - {_D})"})
+ORACLE["expr_divide_zero"] = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) WHEN l_quantity < 0 THEN CAST('-inf' AS DOUBLE) END AS a FROM lineitem"
+
+
+# --- fits ------------------------------------------------------------------------------------------------------------
+_FITS = {
+    "fit_gamma": "Gamma (k, θ)",
+    "fit_weibull": "Weibull (k, θ)",
+    "fit_lognormal": "LogNormal (k, θ)",
+    "fit_wald": "Wald (m, a)",
+    "fit_exwald": "Ex-Wald (m, a, τ)",
+    "fit_shifted_wald": "Shifted Wald (m, a, shift)",
+    "fit_exgauss": "Ex-Gaussian (μ, σ, τ)",
+    "fit_invgauss": "Inv-Gaussian (μ, λ)",
+    "fit_shifted_ig": "Shifted Inv-Gaussian (μ, λ, shift)",
+}
+
+
+def _fit(op: str) -> Query:
+    return lambda spark, sf_dir: _rounded(_trials(spark, sf_dir).summarize(["event_type"], [], [], [f"value@{op}"]), "value")
+
+
+for _key, _op in _FITS.items():
+    QUERIES[_key] = _fit(_op)
+
+
+def _fit_sql(op: str, parts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT event_type, 'value' AS variable, '{op}' AS operation, '{p}' AS parameter, round({sql}, {DIGITS}) AS value FROM events GROUP BY event_type" for p, sql in parts.items())
+
+
+_LAMBDA = "(1 / (avg(1 / value) - 1 / avg(value)))"
+ORACLE["fit_lognormal"] = _fit_sql(_FITS["fit_lognormal"], {"k": "stddev_pop(ln(value))", "θ": "exp(avg(ln(value)))"})
+ORACLE["fit_wald"] = _fit_sql(_FITS["fit_wald"], {"m": f"sqrt({_LAMBDA}) / avg(value)", "a": f"sqrt({_LAMBDA})"})
+ORACLE["fit_invgauss"] = _fit_sql(_FITS["fit_invgauss"], {"μ": _LAMBDA, "λ": "avg(value)"})
+
+
+# --- pooled probabilities --------------------------------------------------------------------------------------------
+@query("cdf_pooling")
+def cdf_pooling(spark, sf_dir):
+    marked = cdf.pooled(_table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", ["event_type"])
+    return _rounded(marked, "value_cdf")
+
+
+@query("cdf_rule")
+def cdf_rule(spark, sf_dir):
+    return _rounded(_trials(spark, sf_dir).filter(["event_type"], [], ["value:Pooling CDF"], [0.9]).select("event_id", "value", "value_cdf"), "value_cdf")
+
+
+@query("cdf_omega_fit")
+def cdf_omega_fit(spark, sf_dir):
+    p, omega = _trials(spark, sf_dir).omega("value", ["event_type"])
+    return spark.createDataFrame([(round(p, DIGITS), round(omega, DIGITS))], "p double, omega double")
+
+
+@query("cdf_histogram")
+def cdf_histogram(spark, sf_dir):
+    return cdf.histogram(cdf_pooling(spark, sf_dir), "value_cdf")
