@@ -25,8 +25,14 @@ from .common import table
 NBEST = 3
 #: Units that a worker keeps; beyond it the store is emptied and filled anew.
 KEPT = 250_000
+#: Longest units that one vectorised Viterbi pass takes; longer ones are searched alone.
+SHORT = (4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 32, 48, 64)
+#: Characters of text that are encoded in one go.
+STEP = 1 << 20
 #: A byte costs so much more than the worst piece.
 BYTE_PENALTY = 10.0
+#: Of the rolling hash by which the Viterbi pass finds pieces.
+BASE = 0x9E3779B97F4A7C15
 
 
 def default_model() -> str:
@@ -62,14 +68,125 @@ class Lattice:
         apart = not any(re.search("[^ ] ", p) for p in self.pieces)
         lines = not any("\n" in p for p in self.pieces)
         self.units = re.compile("(?s:.+)" if not apart else r" +[^ \n]*|\n|[^ \n]+" if lines else " +[^ ]*|[^ ]+")
+        self._index()
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.found: list[list[tuple[float, tuple[int, ...]]]] = []
-        self.best: list[np.ndarray] = []
-        self.score: list[float] = []
-        self.gap: list[float] = []
+        self.names: list[str] = []
+        self.searched: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        self.ids = np.empty(0, dtype=np.int32)
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.score = self.gap = np.empty(0)
+
+    def _index(self) -> None:
+        """Hashes of the pieces, and two tables by different bits of a hash; the few that share a place of one lie in the other."""
+        texts = list(self.pieces)
+        self.piece_hash = np.array([self._hash(t) for t in texts], dtype=np.uint64)
+        self.piece_id = np.array([self.pieces[t][0] for t in texts], dtype=np.int32)
+        self.piece_score = np.array([self.pieces[t][1] for t in texts])
+        self.tables = [np.zeros(1 << 20, dtype=np.int32) for _ in range(2)]
+        for i, h in enumerate(self.piece_hash.tolist()):
+            places = [h >> 44, (h >> 20) & 0xFFFFF]
+            free = [t for t in (0, 1) if not self.tables[t][places[t]]]
+            if not free:
+                raise ValueError("two pieces fall on the same places; choose another base")
+            self.tables[free[0]][places[free[0]]] = i + 1
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * BASE + ord(c) + 1) % 2**64
+        return h * BASE % 2**64
+
+    def _match(self, h: np.ndarray) -> np.ndarray:
+        """Place of the piece with each hash in piece_hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        for t, place in ((0, h >> np.uint64(44)), (1, (h >> np.uint64(20)) & np.uint64(0xFFFFF))):
+            i = self.tables[t][place.astype(np.int64)].astype(np.int64) - 1
+            np.copyto(out, i, where=(i >= 0) & (self.piece_hash[i] == h))
+        return out
+
+    def viterbi(self, units: list[str]) -> tuple[list[np.ndarray | None], np.ndarray, np.ndarray]:
+        """Of units of up to SHORT[-1] characters: best ids (None where bytes are needed), best score, distance of the second best."""
+        m, lengths = len(units), np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        wide = int(lengths.max())
+        codes = np.zeros((m, wide), dtype=np.uint64)
+        codes[np.arange(wide)[None, :] < lengths[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        base = np.uint64(BASE)
+        sums = np.zeros((wide + 1, m), dtype=np.uint64)
+        for k in range(wide):
+            sums[k + 1] = sums[k] * base + codes[:, k] + np.uint64(1)
+        power = np.cumprod(np.array([1] + [BASE] * self.longest, dtype=np.uint64), dtype=np.uint64)
+        low = -np.inf
+        one, two = np.full((wide + 1, m), low), np.full((wide + 1, m), low)
+        came, piece = np.zeros((wide + 1, m), dtype=np.int16), np.full((wide + 1, m), -1, dtype=np.int64)
+        one[0] = 0
+        for k in range(1, wide + 1):
+            for size in range(min(self.longest, k), 0, -1):
+                j = k - size
+                hit = self._match((sums[k] - sums[j] * power[size]) * base)
+                own = np.flatnonzero(hit >= 0)
+                gain, hit = self.piece_score[hit[own]], hit[own]
+                if size == 1 and len(own) < m:
+                    bare = np.ones(m, dtype=bool)
+                    bare[own] = False
+                    bare = np.flatnonzero(bare)
+                    code = codes[bare, j]
+                    own = np.concatenate((own, bare))
+                    gain = np.concatenate((gain, self.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+                    hit = np.concatenate((hit, np.full(len(bare), -1)))
+                if not len(own):
+                    continue
+                first, second, top, next_ = one[j, own] + gain, two[j, own] + gain, one[k, own], two[k, own]
+                better = first > top
+                two[k, own] = np.where(better, np.maximum(top, second), np.maximum(next_, first))
+                one[k, own] = np.where(better, first, top)
+                came[k, own[better]] = size
+                piece[k, own[better]] = hit[better]
+        rows, place = np.arange(m), lengths.copy()
+        path, byte = np.full((wide, m), -1, dtype=np.int32), np.zeros(m, dtype=bool)
+        for step in range(wide - 1, -1, -1):
+            live = place > 0
+            if not live.any():
+                break
+            p = piece[place, rows]
+            byte |= live & (p < 0)
+            path[step] = np.where(live, self.piece_id[p], -1)
+            place = place - np.where(live, came[place, rows], 0)
+        best = path.T
+        return [None if x else r[r >= 0] for r, x in zip(best, byte, strict=True)], one[lengths, rows], one[lengths, rows] - two[lengths, rows]
+
+    def learn(self, units: list[str]) -> None:
+        """Search units that are new to the store."""
+        found: dict[int, np.ndarray] = {}
+        score, gap = np.zeros(len(units)), np.full(len(units), np.inf)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        for below, upto in zip((0, *SHORT), SHORT, strict=False):
+            own = [i for i in order if below < len(units[i]) <= upto]
+            for x in range(0, len(own), 20000):
+                part = own[x : x + 20000]
+                ids, score[part], gap[part] = self.viterbi([units[i] for i in part])
+                found.update((i, r) for i, r in zip(part, ids, strict=True) if r is not None)
+        begin = len(self.names)
+        for i, unit in enumerate(units):
+            if i not in found:
+                results = self.search(unit)
+                self.searched[begin + i] = results
+                found[i], score[i] = np.array(results[0][1], dtype=np.int32), results[0][0]
+                gap[i] = results[0][0] - results[1][0] if len(results) > 1 else np.inf
+            self.at[unit] = begin + i
+        self.names += units
+        self.ids = np.concatenate([self.ids, *(found[i] for i in range(len(units)))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(found[i]) for i in range(len(units))])])
+        self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+
+    def results(self, which: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best segmentations of a kept unit."""
+        if which not in self.searched:
+            self.searched[which] = self.search(self.names[which])
+        return self.searched[which]
 
     def search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """The N best segmentations of a unit, best first: forward Viterbi, then backward A-star."""
@@ -107,29 +224,29 @@ class Lattice:
                 agenda = heapq.nsmallest(self.nbest, agenda)
         return done
 
-    def lookup(self, unit: str) -> int:
-        found = self.search(unit)
-        self.found.append(found)
-        self.best.append(np.array(found[0][1], dtype=np.int32))
-        self.score.append(found[0][0])
-        self.gap.append(found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
-        self.at[unit] = len(self.found) - 1
-        return self.at[unit]
-
-    def encode(self, text: str) -> tuple[np.ndarray, list[float], list[list[tuple[int, int]]]]:
-        """Ids of the best segmentation, scores of the N best, and for each of them the units that differ: (unit, rank)."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]]:
+        """Of each text: ids of the best segmentation, scores of the N best, the units by which each of those differs as (unit, rank), its units."""
         if len(self.at) > KEPT:
             self.clear()
-        units = self.units.findall(" " + text) if text else []
-        at = self.at
-        which = [at[u] if u in at else self.lookup(u) for u in units]
-        if not which:
-            return np.empty(0, dtype=np.int32), [0.0], [[]]
-        ids = np.concatenate([self.best[i] for i in which])
-        total = sum(self.score[i] for i in which)
+        units = [self.units.findall(" " + t) if t else [] for t in texts]
+        new = list({u: None for own in units for u in own if u not in self.at})
+        if new:
+            self.learn(new)
+        return [self._encoded(np.fromiter(map(self.at.__getitem__, own), dtype=np.int64, count=len(own))) for own in units]
+
+    def _encoded(self, which: np.ndarray) -> tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]:
+        if not len(which):
+            return np.empty(0, dtype=np.int32), [0.0], [[]], which
+        begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
+        upto = np.cumsum(size)
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto + size, size)]
+        total = float(self.score[which].sum())
         # Only the units with the smallest steps down can take part in the N best.
-        near = heapq.nsmallest(self.nbest - 1, range(len(which)), key=lambda k: (self.gap[which[k]], k)) if self.nbest > 1 else []
-        ranked = [[(self.found[which[k]][0][0] - s) for s, _ in self.found[which[k]]] for k in near]
+        gaps = self.gap[which]
+        near = np.argsort(gaps, kind="stable")[: self.nbest - 1] if len(gaps) < 64 else np.sort(np.argpartition(gaps, self.nbest)[: self.nbest - 1])
+        near = [int(k) for k in near if np.isfinite(gaps[k])]
+        found = [self.results(int(which[k])) for k in near]
+        ranked = [[r[0][0] - s for s, _ in r] for r in found]
         agenda, seen, done = [(0.0, (0,) * len(near))], set(), []
         while agenda and len(done) < self.nbest:
             loss, state = heapq.heappop(agenda)
@@ -141,17 +258,24 @@ class Lattice:
                 if r + 1 < len(ranked[i]):
                     step = state[:i] + (r + 1,) + state[i + 1 :]
                     heapq.heappush(agenda, (sum(ranked[k][x] for k, x in enumerate(step)), step))
-        return ids, [total - loss for loss, _ in done], [[(near[i], r) for i, r in enumerate(state) if r] for _, state in done]
-
-    def alternatives(self, text: str) -> tuple[list[list[int]], list[float]]:
-        """All N best segmentations of a text with their scores."""
-        _, scores, changes = self.encode(text)
-        units = [self.at[u] for u in (self.units.findall(" " + text) if text else [])]
+        return ids, [total - loss for loss, _ in done], [[(near[i], r) for i, r in enumerate(state) if r] for _, state in done], which
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]]:
+        """encode() in steps of bounded size."""
+        begin = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > STEP or i + 1 == len(texts):
+                yield from self.encode(texts[begin : i + 1])
+                begin, size = i + 1, 0
+
+    def others(self, changes: list[list[tuple[int, int]]], which: np.ndarray) -> list[list[int]]:
+        """The ids of the second to N-th best segmentation of a text just encoded."""
         out = []
-        for change in changes:
+        for change in changes[1:]:
             rank = dict(change)
-            out.append([i for k, u in enumerate(units) for i in self.found[u][rank.get(k, 0)][1]])
-        return out, scores
+            out.append([i for k, u in enumerate(which.tolist()) for i in (self.results(u)[rank[k]][1] if k in rank else self.ids[self.ends[u] : self.ends[u + 1]].tolist())])
+        return out
 
     def decode(self, ids) -> str:
         """Ids -> text; the blank that encoding puts in front goes."""
@@ -167,8 +291,8 @@ def lattice(path: str, nbest: int) -> Lattice:
     return _LATTICES[path, nbest]
 
 
-def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> DataFrame:
-    """docs plus piece_ids (the best segmentation), piece_scores (of the N best, best first) and piece_nbest (the others' ids).
+def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None, spelled: bool = True) -> DataFrame:
+    """docs plus piece_ids (the best segmentation), piece_scores (of the N best, best first) and piece_nbest (the others' ids, if spelled).
 
     Null and empty texts have no pieces and the score 0. Columns of docs with the names of the new ones are replaced;
     all others, rows that repeat and rows without id included, stay as they are. An empty table gives an empty result.
@@ -177,10 +301,8 @@ def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> Dat
 
     @F.pandas_udf("struct<ids array<int>, scores array<double>, others array<array<int>>>")
     def pieces(texts: pd.Series) -> pd.DataFrame:
-        lat, rows = lattice(model, nbest), []
-        for t in texts:
-            found, scores = lat.alternatives(t or "")
-            rows.append((found[0], scores, found[1:]))
+        lat = lattice(model, nbest)
+        rows = [(ids, scores, lat.others(changes, which) if spelled else []) for ids, scores, changes, which in lat.encode_all(texts.fillna("").tolist())]
         return pd.DataFrame(rows, columns=["ids", "scores", "others"])
 
     at = docs.withColumn("piece_ids", pieces("text"))
@@ -210,8 +332,7 @@ def digests(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> Da
         lat = lattice(model, nbest)
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids, scores, _ = lat.encode(text)
+            for doc, text, (ids, scores, _, _) in zip(b["doc_id"], b["text"], lat.encode_all(b["text"].tolist()), strict=True):
                 rows.append((doc, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), scores[0], len(scores), scores[1] if len(scores) > 1 else None, lat.decode(ids.tolist()) == text))
             yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_sha256", "score", "n_best", "second_score", "round_trip"]).astype({"doc_id": "Int64", "second_score": "float64"})
 
@@ -220,7 +341,7 @@ def digests(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> Da
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its piece ids and the scores of its N best segmentations."""
-    return encode(docs).drop("piece_nbest")
+    return encode(docs, spelled=False).drop("piece_nbest")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
