@@ -292,7 +292,7 @@ def cdf_rule(spark, sf_dir):
 @query("cdf_omega_fit")
 def cdf_omega_fit(spark, sf_dir):
     p, omega = _trials(spark, sf_dir).omega("value", ["event_type"])
-    return spark.createDataFrame([(round(p, DIGITS), round(omega, DIGITS))], "p double, omega double")
+    return spark.createDataFrame([(round(float(p), DIGITS), round(float(omega), DIGITS))], "p double, omega double")
 
 
 @query("cdf_histogram")
