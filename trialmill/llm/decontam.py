@@ -63,7 +63,7 @@ def _items(bench: DataFrame) -> DataFrame:
         for b in batches:
             tokens = [token_hashes(t).view(np.int64) for t in b["text"]]
             keep = [len(t) >= LEAST for t in tokens]
-            yield pd.DataFrame({"item_id": b["item_id"][keep], "tokens": [t.tolist() for t, k in zip(tokens, keep, strict=True) if k]})
+            yield pd.DataFrame({"item_id": b["item_id"][keep], "tokens": pd.Series([t.tolist() for t, k in zip(tokens, keep, strict=True) if k], dtype=object).to_numpy()})
 
     return bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "item_id long, tokens array<long>")
 

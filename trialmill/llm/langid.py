@@ -34,16 +34,18 @@ def features(texts: list[bytes]) -> np.ndarray:
     """Rows of unit length: square roots of the shares of hashed byte n-grams of whole lower-cased texts."""
     out = np.zeros((len(texts), BUCKETS))
     for begin, end in chunks(texts, 1 << 19):
-        data = np.frombuffer(b" " + b" ".join(texts[begin:end]) + b"   ", dtype=np.uint8).astype(np.uint64)
-        lengths = np.fromiter((len(t) + 1 for t in texts[begin:end]), dtype=np.int64, count=end - begin)
+        data = np.frombuffer(b"".join(b" " + t + b" " for t in texts[begin:end]), dtype=np.uint8).astype(np.uint64)
+        lengths = np.fromiter((len(t) + 2 for t in texts[begin:end]), dtype=np.int64, count=end - begin)
         row = np.repeat(np.arange(end - begin), lengths)
         p = powers(0x9E3779B97F4A7C15, 5)
         for n in GRAMS:
-            code = np.zeros(len(row), dtype=np.uint64)
+            own = len(row) - n + 1
+            code = np.zeros(own, dtype=np.uint64)
             for k in range(n):
-                code += (data[k : k + len(row)] + np.uint64(1)) * p[k + 1]
+                code += (data[k : k + own] + np.uint64(1)) * p[k + 1]
             bucket = ((code ^ (code >> np.uint64(29))) * p[1] >> np.uint64(40)) % np.uint64(BUCKETS)
-            counts = np.bincount(row * BUCKETS + bucket.astype(np.int64), minlength=(end - begin) * BUCKETS)
+            inside = row[:own] == row[n - 1 :]  # no gram reaches into the next text
+            counts = np.bincount((row[:own] * BUCKETS + bucket.astype(np.int64))[inside], minlength=(end - begin) * BUCKETS)
             out[begin:end] += counts.reshape(end - begin, BUCKETS)
     out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)

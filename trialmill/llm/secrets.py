@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, table
 
-#: A candidate: at least 16 characters that keys are made of, with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
+#: A candidate: at least 16 characters that keys are made of, with a letter and a digit, and padding behind them.
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+"
 #: Characters before and after a candidate that its features see.
 BEFORE, AFTER = 48, 16
 #: Trees, their depth, and the share of trees that makes a finding.
