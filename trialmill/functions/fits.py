@@ -231,8 +231,8 @@ def weighted_values(df: DataFrame, keys: list[str], value: str, bins: int = BINS
         sized = first.join(size, keys)
     else:
         # Over no keys the size of the table is one row, read as a scalar.
-        one = size.agg(F.struct(F.first("__n"), F.first("__low"), F.first("__high")).alias("s")).scalar()
-        sized = first.select("__x", "__w", one.alias("__s")).select("__x", "__w", *(F.col("__s").getField(f).alias(a) for f, a in (("first(__n)", "__n"), ("first(__low)", "__low"), ("first(__high)", "__high"))))
+        one = size.agg(F.struct(*(F.first(c).alias(c) for c in ("__n", "__low", "__high"))).alias("s")).scalar()
+        sized = first.select("__x", "__w", one.alias("__s")).select("__x", "__w", "__s.*")
     wide = F.floor((F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * bins)
     place = F.when(F.col("__n") > bins, F.least(wide, F.lit(bins - 1)).cast("double")).otherwise(F.col("__x"))
     binned = sized.groupBy(*map(name, keys), place.alias("__b")).agg((F.sum(F.col("__x") * F.col("__w")) / F.sum("__w")).alias("x"), F.sum("__w").cast("double").alias("w"))
