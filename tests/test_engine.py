@@ -61,7 +61,7 @@ def test_plan_round_trip_and_validation(tmp_path):
     back = SummaryPlan.from_config(plan.to_config())
     assert (back.rows, back.cols, back.rules, back.targets) == (plan.rows, plan.cols, plan.rules, plan.targets)
     assert plan.omega_list() == [-1, 0.95]
-    compile(plan.to_script(["a.psydata"], computed=[("x", "self.data['rt'] * 2")]), "script", "exec")
+    compile(plan.to_script(["a.txt"], computed=[("x", "self.data['rt'] * 2")]), "script", "exec")
     plan.validate()
     with pytest.raises(ValueError):
         SummaryPlan(["rt"], [], [], ["rt@Mean"]).validate()
@@ -283,18 +283,18 @@ def test_pivots_and_text(spark):
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
-def test_psydata_round_trip(spark, tmp_path):
-    one = tmp_path / "1.psydata"
+def test_piped_round_trip(spark, tmp_path):
+    one = tmp_path / "1.txt"
     one.write_text('"name"|"age"|"target.rt"|"note"\n"al"|"24"|0.5|""\n"bo"|"25"|""|"x ""q"""\n')
-    two = tmp_path / "2.psydata"
+    two = tmp_path / "2.txt"
     two.write_text('"name"|"extra"\n"cy"|7\n')
-    df = tables.read_psydata(spark, [str(one), str(two)])
+    df = tables.read_piped(spark, [str(one), str(two)])
     assert dict(df.dtypes) == {"name": "string", "age": "double", "target.rt": "double", "note": "string", "extra": "double"}
-    tables.write_psydata(df, str(tmp_path / "out"))
-    back = tables.read_psydata(spark, [str(tmp_path / "out")])
+    tables.write_piped(df, str(tmp_path / "out"))
+    back = tables.read_piped(spark, [str(tmp_path / "out")])
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
-    TrialData(spark, df).save_psydata(str(tmp_path / "kept"), rules=["age:> 24"])
-    assert tables.read_psydata(spark, [str(tmp_path / "kept")]).count() == 1
+    TrialData(spark, df).save_piped(str(tmp_path / "kept"), rules=["age:> 24"])
+    assert tables.read_piped(spark, [str(tmp_path / "kept")]).count() == 1
 
 
 def test_delimited_text(spark, tmp_path):

@@ -22,8 +22,8 @@ class TrialData:
         self.results: list[DataFrame] = []
 
     # --- load and save -----------------------------------------------------------------------------------------------
-    def read_psydata(self, paths: list[str]) -> TrialData:
-        self.data = tables.read_psydata(self.spark, paths)
+    def read_piped(self, paths: list[str]) -> TrialData:
+        self.data = tables.read_piped(self.spark, paths)
         return self
 
     def read_text(self, paths: list[str], header: bool = True, encoding: str = "utf-8", delimiter: str = r"\s") -> TrialData:
@@ -38,9 +38,9 @@ class TrialData:
         self.data = tables.read_any(self.spark, paths, **options)
         return self
 
-    def save_psydata(self, path: str, rows: list[str] | None = None, cols: list[str] | None = None, rules: list[str] | None = None) -> None:
+    def save_piped(self, path: str, rows: list[str] | None = None, cols: list[str] | None = None, rules: list[str] | None = None) -> None:
         """The table, or what rules leave of it."""
-        tables.write_psydata(self.filter(rows or [], cols or [], rules) if rules else self.data, path)
+        tables.write_piped(self.filter(rows or [], cols or [], rules) if rules else self.data, path)
 
     # --- variables ---------------------------------------------------------------------------------------------------
     def compute(self, target: str, expression: str, overwrite: bool = True) -> TrialData:

@@ -190,7 +190,7 @@ class SummaryPlan:
         rows, cols, targets, rules = (ast.literal_eval(line.partition(": ")[2]) for line in lines)
         return SummaryPlan(list(rows), list(cols), list(rules), list(targets))
 
-    def to_script(self, files: list[str], reader: str = "read_psydata", computed: list[tuple[str, str]] | None = None) -> str:
+    def to_script(self, files: list[str], reader: str = "read_piped", computed: list[tuple[str, str]] | None = None) -> str:
         """A script that runs this plan with the library."""
         lines = ["from pyspark.sql import SparkSession", "", "from trialmill.engine import TrialData", "", "spark = SparkSession.builder.getOrCreate()", f"file_list = {files!r}", f"data = TrialData(spark).{reader}(file_list)"]
         lines += [f"data.compute({name!r}, {expr!r})" for name, expr in computed or []]

@@ -41,7 +41,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
 
 
-def read_psydata(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_piped(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Pipe-separated tables with a header; quoted numbers are numbers, empty fields are missing."""
     one = lambda p: spark.read.csv(p, sep="|", header=True, quote='"', escape='"', multiLine=False)
     return typed(union([one(p) for p in paths]))
@@ -115,7 +115,7 @@ def legal_names(df: DataFrame) -> DataFrame:
     return df.toDF(*unique([clean(c) for c in df.columns]))
 
 
-def psydata_lines(df: DataFrame) -> DataFrame:
+def piped_lines(df: DataFrame) -> DataFrame:
     """The table's rows as lines: text quoted, numbers bare, missing values empty quotes."""
 
     def field(f: T.StructField):
@@ -127,11 +127,11 @@ def psydata_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("|", *map(field, df.schema.fields)).alias("value"))
 
 
-def write_psydata(df: DataFrame, path: str) -> None:
-    """A folder of parts, each with the header, that read_psydata() reads back. Parts are written where rows lie."""
+def write_piped(df: DataFrame, path: str) -> None:
+    """A folder of parts, each with the header, that read_piped() reads back. Parts are written where rows lie."""
     header = "|".join('"' + c.replace('"', '""') + '"' for c in df.columns)
     # The header is the name of the one column, so the writer puts it on top of each part.
-    psydata_lines(df).withColumnRenamed("value", header).write.csv(path, sep="\x01", header=True, quote="", escape="", emptyValue="", mode="error")
+    piped_lines(df).withColumnRenamed("value", header).write.csv(path, sep="\x01", header=True, quote="", escape="", emptyValue="", mode="error")
 
 
 def read_any(spark: SparkSession, paths: list[str], **options) -> DataFrame:
@@ -144,5 +144,5 @@ def read_any(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 
         return read_matlab(spark, paths, **options)
     if ending == ".psydata":
-        return read_psydata(spark, paths)
+        return read_piped(spark, paths)
     raise ValueError(f"no reader for {ending!r}")
