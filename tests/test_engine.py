@@ -239,6 +239,19 @@ def test_binned_fit_is_close_to_the_whole(spark):
     assert fits.weighted_values(df, ["k"], "x", bins=500).select(F.size("points")).first()[0] <= 500
 
 
+def test_bounded_fits_recover_what_was_cut_off():
+    for op in ("Weibull (k, θ)", "LogNormal (k, θ)", "Ex-Gaussian (μ, σ, τ)", "Inv-Gaussian (μ, λ)", "Gamma (k, θ)"):
+        x = fits.simulate(op, CASES[op], 6000)
+        bounds = tuple(np.quantile(x, [0.05, 0.9]))
+        seen = x[(x >= bounds[0]) & (x <= bounds[1])]
+        w = np.ones(len(seen))
+        got = fits.fit_bounded(op, seen, w, bounds, CASES[op])
+        assert fits.bounded_loss(op, got, seen, w, bounds) <= fits.bounded_loss(op, CASES[op], seen, w, bounds)
+        assert all(abs(g - v) < 0.4 * abs(v) for g, v in zip(got, CASES[op])), (op, got)
+        with pytest.raises(ValueError):
+            fits.bounded_loss(op, got, x, np.ones(len(x)), bounds)
+
+
 def test_special_functions():
     assert np.isclose(special.digamma(1.0), -0.5772156649015329) and np.isclose(special.trigamma(1.0), math.pi**2 / 6)
     z = np.array([0.5 + 0.5j, 2 + 1j, 0.01 + 3j])

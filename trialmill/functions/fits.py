@@ -193,6 +193,46 @@ ITERATIVE: dict[str, Callable[[np.ndarray, np.ndarray], list[float]]] = {
 }
 
 
+def _invgauss_logpdf(x: np.ndarray, shape: float, mean: float, shift: float = 0.0) -> np.ndarray:
+    y = np.where(x > shift, x - shift, np.nan)
+    return 0.5 * np.log(shape / (2 * np.pi * y**3)) - shape * (y - mean) ** 2 / (2 * mean * mean * y)
+
+
+#: Log density and distribution function of each family, by its parameters in order.
+DENSITIES: dict[str, tuple[Callable, Callable]] = {
+    "Gamma (k, θ)": (lambda x, k, t: (k - 1) * np.log(x / t) - x / t - math.lgamma(k) - math.log(t), S.gamma_cdf),
+    "Weibull (k, θ)": (lambda x, k, t: math.log(k / t) + (k - 1) * np.log(x / t) - (x / t) ** k, S.weibull_cdf),
+    "LogNormal (k, θ)": (lambda x, k, t: -np.log(x * k * math.sqrt(2 * math.pi)) - (np.log(x / t) / k) ** 2 / 2, S.lognormal_cdf),
+    "Wald (m, a)": (S.wald_logpdf, S.wald_cdf),
+    "Ex-Wald (m, a, τ)": (lambda x, m, a, t: np.log(S.exwald_pdf(x, m, a, t)), S.exwald_cdf),
+    "Shifted Wald (m, a, shift)": (lambda x, m, a, s: S.wald_logpdf(np.where(x > s, x - s, np.nan), m, a), lambda x, m, a, s: S.wald_cdf(x - s, m, a)),
+    "Ex-Gaussian (μ, σ, τ)": (S.exgauss_logpdf, S.exgauss_cdf),
+    "Inv-Gaussian (μ, λ)": (_invgauss_logpdf, S.invgauss_cdf),
+    "Shifted Inv-Gaussian (μ, λ, shift)": (_invgauss_logpdf, S.invgauss_cdf),
+}
+
+
+def bounded_loss(op: str, params: list[float], x: np.ndarray, w: np.ndarray, bounds: tuple[float, float]) -> float:
+    """Negative log-likelihood of data that were only seen between bounds."""
+    low, high = bounds
+    if x.min() < low or x.max() > high:
+        raise ValueError("data beyond the bounds")
+    logpdf, cdf = DENSITIES[op]
+    with np.errstate(all="ignore"):
+        inside = float(np.diff(cdf(np.array([low, high], dtype=float), *params))[0])
+        return _loss(logpdf(x, *params) - math.log(max(inside, FLOOR)), w)
+
+
+def fit_bounded(op: str, x: np.ndarray, w: np.ndarray, bounds: tuple[float, float], start: list[float]) -> list[float]:
+    """Maximum of the bounded likelihood, from a start such as the unbounded fit; all parameters but locations stay above zero."""
+    free = [op.startswith("Ex-Gaussian") and i == 0 or "shift" in op and i == 2 for i in range(len(start))]
+    scale = float(x.max() - x.min()) or 1.0
+    there = np.array([v / scale if f else math.log(v) for v, f in zip(start, free, strict=True)])
+    back = lambda p: [float(v * scale) if f else float(np.exp(np.clip(v, -50, 50))) for v, f in zip(p, free, strict=True)]
+    loss = lambda p: bounded_loss(op, back(p), x, w, bounds)
+    return back(simplex(loss, simplex(loss, there, 0.2), 0.05))
+
+
 def from_means(op: str, x: Column) -> Column:
     """array<double> of parameters from means; the shape of the gamma still wants gamma_parameters()."""
     positive = F.when(x > 0, x)
