@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,22 +190,21 @@ class Lattice:
         return self.searched[which]
 
     def search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best segmentations of a unit, best first: forward Viterbi, then backward A-star."""
+        """The N best segmentations of a unit, best first: forward Viterbi, then backward A-star.
+
+        Only scores are kept on the way forward; the arcs into a place are found again when the search takes it.
+        """
         n, get = len(unit), self.pieces.get
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        forward = [0.0] + [-float("inf")] * n
+        forward = array("d", [0.0]) + array("d", [-float("inf")]) * n
         for j in range(n):
             here = forward[j]
             for k in range(j + 1, min(n, j + self.longest) + 1):
                 hit = get(unit[j:k])
                 if hit:
-                    into[k].append((j, hit[1], (hit[0],)))
                     if here + hit[1] > forward[k]:
                         forward[k] = here + hit[1]
                 elif k == j + 1:
-                    ids = tuple(self.byte_id[x] for x in unit[j].encode("utf-8", "surrogatepass"))
-                    into[k].append((j, self.byte_score * len(ids), ids))
-                    forward[k] = max(forward[k], here + self.byte_score * len(ids))
+                    forward[k] = max(forward[k], here + self.byte_score * len(unit[j].encode("utf-8", "surrogatepass")))
         # Entries: (-(score behind + forward score), order, place, score behind, path); each is completed at just that value.
         order, agenda, done = itertools.count(), [], []
         agenda.append((-forward[n], next(order), n, 0.0, None))
@@ -217,8 +217,15 @@ class Lattice:
                     path = path[1]
                 done.append((-value, tuple(ids)))
                 continue
-            for j, score, piece in into[place]:
-                g = behind + score
+            for j in range(max(0, place - self.longest), place):
+                hit = get(unit[j:place])
+                if hit:
+                    g, piece = behind + hit[1], (hit[0],)
+                elif j == place - 1:
+                    piece = tuple(self.byte_id[x] for x in unit[j].encode("utf-8", "surrogatepass"))
+                    g = behind + self.byte_score * len(piece)
+                else:
+                    continue
                 heapq.heappush(agenda, (-(g + forward[j]), next(order), j, g, (piece, path)))
             if len(agenda) > self.nbest:
                 agenda = heapq.nsmallest(self.nbest, agenda)
