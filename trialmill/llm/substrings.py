@@ -26,6 +26,8 @@ SIZE, ANCHOR = 50, 8
 SHARD_WORDS, SHARDS = 400_000, 100_000
 #: An anchor in more documents than this hands on its windows one by one, so that no shard gathers all its surroundings.
 HOT = 2000
+#: Tasks over which the copies of one document are spread.
+SALTS = 16
 
 _GRAM = 0xA24BAED4963EE407
 
@@ -192,9 +194,13 @@ def repeats(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
             yield out.astype({"doc_id": "Int64"})
 
     scanned = materialise(given.mapInPandas(scan, "doc_id long, n_words long, words_sha256 string, anchors array<long>"))
-    # Documents with the very same words stand for each other: all but the smallest lose all their words.
-    same = scanned.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).groupBy("words_sha256").agg(F.min("doc_id").alias("least"))
-    known = scanned.join(same, "words_sha256", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
+    # Documents with the very same words stand for each other: all but the smallest lose all their words. A group of
+    # copies is dealt to SALTS tasks, on the way to its smallest document and back.
+    scanned = scanned.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    by_salt = scanned.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).groupBy("words_sha256", "salt").agg(F.min("doc_id").alias("least"))
+    same = materialise(by_salt.groupBy("words_sha256").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts")))
+    spread = same.select("words_sha256", "least", F.explode("salts").alias("salt"))
+    known = scanned.join(spread, ["words_sha256", "salt"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     first = known.filter((F.col("doc_id") == F.col("least")))
     grams = first.select("doc_id", F.explode(F.array_distinct("anchors")).alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).filter("a < z").select("gram", (F.col("n") > hot).alias("hot"))
