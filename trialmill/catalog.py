@@ -240,7 +240,7 @@ for _key, _given, _sql in (
 ):
     QUERIES[_key] = _expressions(_given)
     ORACLE[_key] = f"SELECT l_orderkey, l_linenumber, {_sql} FROM lineitem"
-QUERIES["expr_boxcox"] = _expressions({"boxcox": "runBoxcox(self.data['value'])"}, "events", ("event_id",))
+QUERIES["expr_boxcox"] = _expressions({"boxcox": "runBoxcox(self.data['value'] + 1)"}, "events", ("event_id",))
 QUERIES["expr_divide_zero"] = _expressions({"a": f"{_Q} / ({_D} - {_D})"})
 ORACLE["expr_divide_zero"] = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) WHEN l_quantity < 0 THEN CAST('-inf' AS DOUBLE) END AS a FROM lineitem"
 

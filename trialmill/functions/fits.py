@@ -235,9 +235,9 @@ def fit_bounded(op: str, x: np.ndarray, w: np.ndarray, bounds: tuple[float, floa
 
 def from_means(op: str, x: Column) -> Column:
     """array<double> of parameters from means; the shape of the gamma still wants gamma_parameters()."""
-    positive = F.when(x > 0, x)
-    logs = F.ln(positive)
-    inverse = 1 / (F.avg(1 / F.nullif(x, F.lit(0.0))) - 1 / F.avg(x))
+    x = F.when(x > 0, x)  # what these families can yield
+    logs = F.ln(x)
+    inverse = 1 / (F.avg(1 / x) - 1 / F.avg(x))
     if op == "LogNormal (k, θ)":
         return F.array(F.stddev_pop(logs), F.exp(F.avg(logs)))
     if op == "Wald (m, a)":
