@@ -19,8 +19,13 @@ from .common import Words, chunks, id_text, materialise, mix, powers, table, wor
 
 #: Masks over consecutive tokens: 1 is compared, 0 is ignored.
 MASKS = ("111010011", "110101101", "101100111", "111111")
-#: A hit is confirmed when this many aligned tokens (all of a shorter item) agree in this share; items with fewer than LEAST tokens are no evidence.
-WINDOW, SHARE, LEAST = 16, 0.8, 5
+#: More masks for items of so many tokens: with them some mask hits whatever tokens of the item SHARE lets differ.
+SHORT = {
+    **{k: ("1" * k,) for k in range(1, 5)}, 5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"),
+    8: ("1111011", "1101111"), 10: ("1110101", "11111"), 11: ("1111011",), 15: ("11110101",),
+}
+#: A hit is confirmed when this many aligned tokens (all of a shorter item) agree in this share, which for less than five means all; items with fewer than LEAST tokens are no evidence.
+WINDOW, SHARE, LEAST = 16, 0.8, 1
 #: log2 of the bits of the filter, two for each seed. Its size is fixed; a very large benchmark only makes it less selective.
 FILTER_BITS = 26
 #: Tokens kept on either side of a hit for its verification.
@@ -43,9 +48,8 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(lengths: list[int]) -> tuple[str, ...]:
-    """The fixed masks, and for items too short for the longest of them a solid mask as long as the item."""
-    longest = max(map(len, MASKS))
-    return MASKS + tuple("1" * k for k in sorted({k for k in lengths if LEAST <= k < longest}) if "1" * k not in MASKS)
+    """The fixed masks, and those for items of these lengths."""
+    return tuple(dict.fromkeys((*MASKS, *(m for k in sorted(set(lengths)) for m in SHORT.get(k, ())))))
 
 
 def token_hashes(text: str) -> np.ndarray:
@@ -95,15 +99,15 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = materialise(_items(bench.filter("item_id is not null")))
-    lengths = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(max(map(len, MASKS)))).alias("n")).distinct().collect()]
+    lengths = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW)).alias("n")).distinct().collect()]
     masks = masks_for(lengths)
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for item, tokens in zip(b["item_id"], b["tokens"], strict=True):
                 h = [seeds(np.asarray(tokens, dtype=np.int64).view(np.uint64), m) for m in masks]
-                # A solid mask shorter than the fixed ones is for the items of just its length.
-                h = [x if m in MASKS or len(tokens) == len(m) else x[:0] for x, m in zip(h, masks, strict=True)]
+                # The other masks are for the items of just their lengths.
+                h = [x if m in MASKS or m in SHORT.get(len(tokens), ()) else x[:0] for x, m in zip(h, masks, strict=True)]
                 at = np.concatenate([np.arange(len(x)) for x in h])
                 yield pd.DataFrame({"seed": np.concatenate(h).view(np.int64), "item_id": item, "item_at": at})
 
