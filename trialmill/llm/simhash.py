@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise, table
 from .components import components
+from .similar import near_copies
 
 #: Fixed values of the contract: hash seed, words of a shingle, bits by which linked fingerprints may differ.
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -194,9 +195,12 @@ def near_dups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> Da
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays; documents without a doc_id stay."""
-    found = near_dups(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    """Pipeline stage: of near copies the document with the smallest doc_id stays; documents without a doc_id stay.
+
+    Near copies share 0.8 of their five-word shingles, directly or by links. Their fingerprints differ in up to about
+    a quarter of the bits, where vantage points rule out nothing, so candidates come from keys of shingles instead.
+    """
+    gone = near_copies(docs).filter("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
 
 
