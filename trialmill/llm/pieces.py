@@ -30,6 +30,8 @@ KEPT = 250_000
 SHORT = (4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 32, 48, 64)
 #: Characters of text that are encoded in one go.
 STEP = 1 << 20
+#: Pieces of best segmentations that are handed on at once.
+HELD = 1 << 17
 #: A byte costs so much more than the worst piece.
 BYTE_PENALTY = 10.0
 #: Of the rolling hash by which the Viterbi pass finds pieces.
@@ -276,12 +278,15 @@ class Lattice:
                 yield from self.encode(texts[begin : i + 1])
                 begin, size = i + 1, 0
 
-    def others(self, changes: list[list[tuple[int, int]]], which: np.ndarray) -> list[list[int]]:
+    def others(self, changes: list[list[tuple[int, int]]], which: np.ndarray) -> list[np.ndarray]:
         """The ids of the second to N-th best segmentation of a text just encoded."""
         out = []
+        parts = [self.ids[a:z] for a, z in zip(self.ends[which].tolist(), self.ends[which + 1].tolist(), strict=True)]
         for change in changes[1:]:
-            rank = dict(change)
-            out.append([i for k, u in enumerate(which.tolist()) for i in (self.results(u)[rank[k]][1] if k in rank else self.ids[self.ends[u] : self.ends[u + 1]].tolist())])
+            own = list(parts)
+            for k, r in change:
+                own[k] = np.array(self.results(int(which[k]))[r][1], dtype=np.int32)
+            out.append(np.concatenate(own))
         return out
 
     def decode(self, ids) -> str:
@@ -298,8 +303,8 @@ def lattice(path: str, nbest: int) -> Lattice:
     return _LATTICES[path, nbest]
 
 
-def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None, spelled: bool = True) -> DataFrame:
-    """docs plus piece_ids (the best segmentation), piece_scores (of the N best, best first) and piece_nbest (the others' ids, if spelled).
+def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> DataFrame:
+    """docs plus piece_ids (the best segmentation), piece_scores (of the N best, best first) and piece_nbest (the others' ids).
 
     Null and empty texts have no pieces and the score 0. Columns of docs with the names of the new ones are replaced;
     all others, rows that repeat and rows without id included, stay as they are. An empty table gives an empty result.
@@ -307,10 +312,18 @@ def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None, spelle
     model = model or default_model()
 
     @F.pandas_udf("struct<ids array<int>, scores array<double>, others array<array<int>>>")
-    def pieces(texts: pd.Series) -> pd.DataFrame:
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lat = lattice(model, nbest)
-        rows = [(ids, scores, lat.others(changes, which) if spelled else []) for ids, scores, changes, which in lat.encode_all(texts.fillna("").tolist())]
-        return pd.DataFrame(rows, columns=["ids", "scores", "others"])
+        for texts in batches:
+            held, size = [], 0
+            for ids, scores, changes, which in lat.encode_all(texts.fillna("").tolist()):
+                held.append((ids, scores, lat.others(changes, which)))
+                size += len(ids)
+                if size > HELD:
+                    yield pd.DataFrame(held, columns=["ids", "scores", "others"])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["ids", "scores", "others"])
 
     at = docs.withColumn("piece_ids", pieces("text"))
     return at.withColumns({"piece_scores": F.col("piece_ids.scores"), "piece_nbest": F.col("piece_ids.others")}).withColumn("piece_ids", F.col("piece_ids.ids"))
@@ -329,26 +342,34 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, score, n_best, second_score, round_trip): the encoding of whole texts and whether decoding gives the text back.
+    """(doc_id, n_pieces, ids_sha256, score, n_best, second_score, round_trip, nbest_sha256, nbest_scores): the N best encodings of whole texts.
 
-    ids_sha256 is over the ids as little-endian 32-bit integers.
+    The first ones are of the best; round_trip says whether each of the N decodes to the text. nbest_sha256 and
+    nbest_scores have all N, best first. Digests are over the ids as little-endian 32-bit integers.
     """
     model = model or default_model()
+    sha = lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+    columns = ["doc_id", "n_pieces", "ids_sha256", "score", "n_best", "second_score", "round_trip", "nbest_sha256", "nbest_scores"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattice(model, nbest)
         for b in batches:
             rows = []
-            for doc, text, (ids, scores, _, _) in zip(b["doc_id"], b["text"], lat.encode_all(b["text"].tolist()), strict=True):
-                rows.append((doc, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), scores[0], len(scores), scores[1] if len(scores) > 1 else None, lat.decode(ids.tolist()) == text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_sha256", "score", "n_best", "second_score", "round_trip"]).astype({"doc_id": "Int64", "second_score": "float64"})
+            for doc, text, (ids, scores, changes, which) in zip(b["doc_id"], b["text"], lat.encode_all(b["text"].tolist()), strict=True):
+                every = [ids, *lat.others(changes, which)]
+                digest = [sha(x) for x in every]
+                same = all(lat.decode(x.tolist()) == text for x in every)
+                rows.append((doc, len(ids), digest[0], scores[0], len(scores), scores[1] if len(scores) > 1 else None, same, digest, scores))
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "second_score": "float64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, n_pieces long, ids_sha256 string, score double, n_best long, second_score double, round_trip boolean")
+    kinds = "long, string, double, long, double, boolean, array<string>, array<double>".split(", ")
+    schema = "doc_id long, " + ", ".join(f"{c} {k}" for c, k in zip(columns[1:], kinds, strict=True))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, schema)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its piece ids and the scores of its N best segmentations."""
-    return encode(docs, spelled=False).drop("piece_nbest")
+    """Pipeline stage: every document with the piece ids and scores of its N best segmentations."""
+    return encode(docs)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
