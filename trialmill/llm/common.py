@@ -55,6 +55,22 @@ def chunks(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
+def slices(text: bytes, splits: np.ndarray, limit: int = STEP_BYTES) -> list[bytes]:
+    """A text in parts of about limit bytes that are cut between words; a longer word stays in one part."""
+    parts, begin = [], 0
+    while len(text) - begin > limit:
+        size, cut = limit, np.empty(0, dtype=np.int64)
+        while not len(cut) and begin + size < len(text):
+            cut = np.flatnonzero(splits[np.frombuffer(text, dtype=np.uint8, count=min(size, len(text) - begin), offset=begin)])
+            size *= 2
+        if not len(cut):
+            break
+        end = begin + int(cut[np.searchsorted(cut, limit, side="right") - 1] if cut[0] <= limit else cut[0]) + 1
+        parts.append(text[begin:end])
+        begin = end
+    return [*parts, text[begin:]]
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}

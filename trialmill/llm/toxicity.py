@@ -1,9 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Bigram counts of all labelled texts are gathered for the toxic and the ordinary class; a bigram counts once in each
-text. Each class has an interpolated Kneser-Ney model: its bigrams back off to the bigrams that both classes share, those
-to the class's continuation counts, and those to the shared continuation counts, so a rare expression weighs little. A
-text's score comes from the length-normalised difference of its two log-likelihoods.
+The models spell words: an event is a byte of a word, or its end, after up to ORDER - 1 bytes that never reach beyond
+the word's beginning. So every whole word is read, inflected and compound forms share what they have in common, and
+scripts without blanks are read like any other. Occurrences in all labelled texts are counted for the toxic and the
+ordinary class. Both counts together give an interpolated Kneser-Ney model, whose lower orders use continuation counts;
+each class's model takes discounts off its own counts and backs off to that shared model, so a rare expression weighs
+little. There are three discounts for each order and class, for counts of one, two and more, found from counts of counts
+(modified Kneser-Ney). Keys are the bytes themselves: there are no hash buckets and nothing is dropped.
+
+A text is scored by the length-normalised difference of its two log-likelihoods. What language and topic owe to the
+classes shifts all words of a text alike, so the difference is also taken against the text's median word.
 """
 
 from __future__ import annotations
@@ -15,163 +21,242 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, materialise, mix, stored, table, word_mask
+from .common import Words, chunks, materialise, slices, stored, table, word_mask
 
-#: log2 of the buckets of the tables that score; what is counted and summed covers every labelled text.
-BUCKET_BITS = 20
+#: Bytes of an event with its context; at most 8, so that a key is a long. UTF-8 has no byte above 244, so keys lie apart from those of contexts.
+ORDER = 8
+#: Entries of the model that executors hold in memory; the most frequent ones. All others are joined.
+HOT = 1 << 22
 #: Labelled rows at most on which the two-class threshold is calibrated, all of the calibration fold.
 CALIBRATION = 5000
 #: Labelled ids are broadcast up to this many rows; more are joined by a shuffle of the texts.
 BROADCAST_ROWS = 2_000_000
-#: Entries of those tables that one executor row brings to the driver.
-BLOCK = 1 << 13
-#: Count pairs that a task holds before it hands them on.
-FLUSH = 2_000_000
-#: Taken off every count of a class and given to the shared counts. Above one: what a class has seen a few times is left to what both share.
-DISCOUNT = 4.0
-#: Bounds of the discount of the shared counts, which counts of counts estimate.
-SHARED_DISCOUNT = (0.5, 0.95)
-
-#: A token is the first so many bytes of a word: endings vary where abuse is inflected.
-STEM = 6
-
-#: A bigram stands out in its text when its difference exceeds the text's median by so much.
-MARGIN = 1.5
-FEATURES = 4
-
-_SIZE = 1 << BUCKET_BITS
-
-
-def _pairs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """For runs of texts: 32-bit hashes of the tokens of each distinct bigram (0 before a start), the first bigram of each text, the run."""
-    split = word_mask()
-    for begin, end in chunks(texts):
-        words = Words(texts[begin:end], split)
-        words.end = np.minimum(words.end, words.start + STEM)
-        now = words.hashes() >> np.uint64(32)
-        before = np.concatenate((np.zeros(1, dtype=np.uint64), now))[: len(now)]
-        starts = words.first[:-1]
-        before[starts[starts < len(now)]] = 0
-        of = np.repeat(np.arange(end - begin, dtype=np.uint64), np.diff(words.first))
-        _, once = np.unique(mix((before << np.uint64(32)) | now) ^ mix(of + np.uint64(1)), return_index=True)
-        once.sort()
-        yield before[once], now[once], np.searchsorted(once, words.first), begin, end
+#: Counted events that a task holds before it hands them on.
+FLUSH = 1_000_000
+#: Bytes of text that a task counts or scores at once.
+STEP = 1 << 19
+#: By so much a word's difference has to exceed the text's median to stand out.
+MARGIN = 2.0
+FEATURES = 3
+#: A discount keeps so far from none and from all of a count.
+LEAST = 0.05
+
+_BLANK = 32
 
 
 def _bytes(texts: pd.Series) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") for t in texts]
 
 
-def count_bigrams(labelled: DataFrame) -> DataFrame:
-    """(text, toxic) -> (pair, n0, n1): counts of every bigram in ordinary and toxic texts; pair holds both tokens' hashes."""
+def distinct_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a run of texts, the place of one of each kind, and the kind of every word."""
+    words = Words(texts, word_mask())
+    _, place, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    return words, place, kind
+
+
+def events(words: Words, place: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words at these places: the key of every event, bytes from the word's leading blank on, and each word's first event."""
+    size = words.end[place] - words.start[place] + 2  # a blank on either side
+    first = np.concatenate(([0], np.cumsum(size)))
+    of = np.repeat(np.arange(len(place)), size)
+    within = np.arange(first[-1]) - first[of]
+    raw = np.frombuffer(words.data, dtype=np.uint8)
+    own = (within > 0) & (within < size[of] - 1)
+    spelled = np.full(first[-1], _BLANK, dtype=np.uint64)
+    spelled[own] = raw[words.start[place][of[own]] + within[own] - 1]
+    padded = np.concatenate((np.zeros(order - 1, dtype=np.uint64), spelled))
+    key = np.zeros(len(spelled), dtype=np.uint64)
+    for i in range(order):
+        key = (key << np.uint64(8)) | padded[i : i + len(spelled)]
+    short = np.flatnonzero(within + 1 < order)
+    key[short] &= (np.uint64(1) << (8 * (within[short] + 1)).astype(np.uint64)) - np.uint64(1)
+    keep = within > 0
+    return key[keep].view(np.int64), first[:-1] - np.arange(len(place))
+
+
+def contexts(key: np.ndarray) -> np.ndarray:
+    """The keys of events' contexts."""
+    return -1 - (key.view(np.uint64) >> np.uint64(8)).view(np.int64)
+
+
+def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(text, toxic) -> (key, n0, n1): how often each event occurs in ordinary and toxic texts."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[list, list] = ([], [])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pd.DataFrame:
-            keys = [np.unique(np.concatenate(h) if h else np.empty(0, dtype=np.uint64), return_counts=True) for h in held]
-            both = np.union1d(keys[0][0], keys[1][0])
-            n = np.zeros((2, len(both)), dtype=np.int64)
-            for c in (0, 1):
-                n[c, np.searchsorted(both, keys[c][0])] = keys[c][1]
-                held[c].clear()
-            return pd.DataFrame({"pair": both.view(np.int64), "n0": n[0], "n1": n[1]})
-
-        size = 0
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.stack([np.bincount(at, np.concatenate([w[:, c] for _, w in held]), len(keys)) for c in (0, 1)]).astype(np.int64)
+            held.clear()
+            return pd.DataFrame({"key": keys, "n0": n[0], "n1": n[1]})
+
         for b in batches:
-            toxic = b["toxic"].to_numpy()
-            for before, now, first, begin, end in _pairs(_bytes(b["text"])):
-                pair = (before << np.uint64(32)) | now
-                own = np.repeat(toxic[begin:end] == 1, np.diff(first))
-                held[1].append(pair[own])
-                held[0].append(pair[~own])
-                size += len(pair)
-                if size > FLUSH:
+            parts = [slices(t, word_mask(), STEP) for t in _bytes(b["text"])]
+            toxic, texts = np.repeat(b["toxic"].to_numpy() == 1, list(map(len, parts))), [p for own in parts for p in own]
+            for begin, end in chunks(texts, STEP):
+                words, place, kind = distinct_words(texts[begin:end])
+                of = np.repeat(toxic[begin:end], np.diff(words.first))
+                times = np.stack([np.bincount(kind[of == c], minlength=len(place)) for c in (False, True)], axis=1)
+                key, first = events(words, place, order)
+                keys, at = np.unique(key, return_inverse=True)
+                of = np.repeat(np.arange(len(place)), np.diff(np.append(first, len(key))))
+                held.append((keys, np.stack([np.bincount(at, times[of, c], len(keys)) for c in (0, 1)], axis=1)))
+                if sum(len(k) for k, _ in held) > FLUSH:
                     yield flush()
-                    size = 0
-        yield flush()
+        if held:
+            yield flush()
 
-    return labelled.select("text", "toxic").mapInPandas(each, "pair long, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = labelled.select("text", "toxic").mapInPandas(each, "key long, n0 long, n1 long")
+    return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _dense(buckets: DataFrame, wide: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
-    """Columns over buckets as arrays of _SIZE entries (wide ones as 64-bit numbers), put together in blocks by the executors."""
-    columns = [c for c in buckets.columns if c != "bucket"]
-    kind = lambda c: np.int64 if c in wide else np.float32
+def _context(key: str = "key") -> Column:
+    return F.shiftrightunsigned(key, 8)
 
-    def block(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        at, out = b["bucket"].to_numpy(dtype=np.int64) & (BLOCK - 1), {"block": [key[0]]}
-        for c in columns:
-            dense = np.zeros(BLOCK, dtype=kind(c))
-            dense[at] = b[c].to_numpy()
-            out[c] = [dense.tobytes()]
-        return pd.DataFrame(out)
 
-    rows = buckets.groupBy(F.shiftright("bucket", BLOCK.bit_length() - 1).alias("block")).applyInPandas(block, "block long, " + ", ".join(f"{c} binary" for c in columns)).collect()
-    found = {c: np.zeros(_SIZE, dtype=kind(c)) for c in columns}
-    for r in rows:
-        for c in columns:
-            found[c][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r[c], dtype=kind(c))
-    return found
+def _length(key: str, order: int) -> Column:
+    """Bytes of a key; no byte of a word or blank is zero, and only the longest keys are negative."""
+    out = F.lit(1)
+    for k in range(1, order):
+        out = F.when(F.col(key) >= 1 << (8 * k), k + 1).otherwise(out)
+    return F.when(F.col(key) < 0, order).otherwise(out)
 
 
-def _bucket(pair: np.ndarray) -> np.ndarray:
-    return (mix(pair) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def discounts(of: list[int]) -> list[float]:
+    """What is taken off counts of one, two and more, from how many events have the counts one to four."""
+    y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
+    raw = [k - (k + 1) * y * of[k] / of[k - 1] if of[k - 1] else k * y for k in (1, 2, 3)]
+    return [min(max(d, LEAST), k - LEAST) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-class Models:
-    """Both classes' models as tables of fixed size, and the calibration of their difference."""
-
-    def __init__(self, unigram: dict[str, np.ndarray], context: dict[str, np.ndarray], pairs: dict[str, np.ndarray], discount: float, shared_discount: float):
-        self.empty = not unigram["shared"].any()
-        if self.empty:
-            return
-        shared = unigram["shared"].astype(np.float64)
-        kinds = max(1, np.count_nonzero(shared))
-        # Shared continuation counts: absolute discounting over a uniform share for unseen expressions.
-        d = shared_discount
-        base = np.maximum(shared - d, 0) / shared.sum() + d * kinds / shared.sum() / (kinds + 1)
-        self.unigram, self.inverse, self.pair = [], [], []
-        for c in (0, 1):
-            d = discount
-            cont = unigram[f"cont{c}"].astype(np.float64)
-            total = max(cont.sum(), 1.0)
-            # What the discount takes off goes back where the shared counts expect it, so a word that both classes use alike is neutral.
-            self.unigram.append(((np.maximum(cont - d, 0) + np.minimum(d, total * base)) / total).astype(np.float32))
-        n = context["n"]
-        self.backoff = np.where(n > 0, context["freed"] / np.maximum(n, 1), 1).astype(np.float32)
-        for c in ("0", "1", ""):  # the classes' bigrams, then those of both
-            n = context[f"n{c}"]
-            self.inverse.append((1 / np.maximum(n, 1)).astype(np.float32))
-            self.pair.append(np.maximum(pairs[f"n{c}"] - discount, 0).astype(np.float32))
-        self.owner = pairs["pair"]
+def _taken(count: str, d: list[float]) -> Column:
+    """The discount of a count."""
+    c = F.col(count)
+    return F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _few(count: str) -> list[Column]:
+    return [F.count_if(F.col(count) == k).alias(f"{count}_{k}") for k in (1, 2, 3, 4)]
+
+
+def shared_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, p): the interpolated Kneser-Ney probability of each counted event in both classes' counts.
+
+    An event of the highest order or at a word's beginning has its own count, every other the number of distinct bytes
+    before it. Below the shortest events all bytes are alike.
+    """
+    sized = counts.select("key", (F.col("n0") + F.col("n1")).alias("a"), _length("key", order).alias("size"))
+    level = stored(sized.filter(F.col("size") == order).select("key", "a"))
+    levels = []
+    for k in range(order, 0, -1):
+        levels.append(level)
+        cut = level.select(F.col("key").bitwiseAND((1 << (8 * (k - 1))) - 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("a"))
+        level = stored(cut.unionByName(sized.filter(F.col("size") == k - 1).select("key", "a"))) if k > 1 else level
+    below, done = None, None
+    for k, rows in enumerate(reversed(levels), 1):
+        d = discounts(list(rows.agg(*_few("a")).first()))
+        around = rows.groupBy(_context().alias("context")).agg(F.sum("a").alias("all"), F.sum(_taken("a", d)).alias("freed"))
+        own = rows.withColumn("context", _context()).join(around, "context").withColumn("low", F.col("key").bitwiseAND((1 << (8 * (k - 1))) - 1))
+        own = own.withColumn("p_low", F.lit(1 / 256)) if below is None else own.join(below, "low")
+        p = (F.col("a") - _taken("a", d) + F.col("freed") * F.col("p_low")) / F.col("all")
+        # What the next order reads is cut from its lineage, or each order would repeat all those below it.
+        level = own.select("key", p.alias("p"))
+        level = stored(level) if k < order else level
+        below = level.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
+        done = level if done is None else done.unionByName(level)
+    return counts.select("key").join(done, "key")
+
+
+def ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, r, n): log P(toxic) - log P(ordinary) of each counted event, and of a context before what it was never
+    seen with, under the key -1 - context; n is how often it was seen."""
+    few = list(counts.agg(*_few("n0"), *_few("n1")).first())
+    d = [discounts(few[:4]), discounts(few[4:])]
+    context = _context().alias("context")
+    total = [F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)] + [F.sum(_taken(f"n{c}", d[c])).alias(f"freed{c}") for c in (0, 1)]
+    around = stored(counts.groupBy(context).agg(*total))
+    share = lambda c: F.when(F.col(f"all{c}") > 0, F.col(f"freed{c}") / F.col(f"all{c}")).otherwise(1.0)
+    own = lambda c: F.when(F.col(f"all{c}") > 0, (F.col(f"n{c}") - _taken(f"n{c}", d[c])) / F.col(f"all{c}")).otherwise(0.0)
+    known = counts.join(shared_model(counts, order), "key").withColumn("context", context).join(around, "context")
+    p = [own(c) + share(c) * F.col("p") for c in (0, 1)]
+    seen = known.select("key", (F.ln(p[1]) - F.ln(p[0])).alias("r"), (F.col("n0") + F.col("n1")).alias("n"))
+    unseen = around.select((-1 - F.col("context")).alias("key"), (F.ln(share(1)) - F.ln(share(0))).alias("r"), (F.col("all0") + F.col("all1")).alias("n"))
+    return seen.unionByName(unseen)
+
+
+class Scorer:
+    """What an executor needs: the most frequent entries of the model, whether they are all, and the calibration."""
+
+    def __init__(self, keys: np.ndarray, r: np.ndarray, whole: bool, order: int):
+        order_ = np.argsort(keys)
+        self.keys, self.r, self.whole, self.order = keys[order_], r[order_].astype(np.float64), whole, order
         self.weights = np.zeros(FEATURES + 1)
 
-    def differences(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text: what its distinct bigrams' log P(toxic model) - log P(ordinary model) come to.
+    def look(self, keys: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of keys and whether there are any, in memory or in `more`."""
+        out, hit = np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+        for have, r in ((self.keys, self.r), more or (self.keys[:0], self.r[:0])):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                own = have[at] == keys
+                out[own], hit = r[at[own]], hit | own
+        return out, hit
+
+    def events(self, key: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The difference that each event makes: its own, or its context's, or none."""
+        out, hit = self.look(key, more)
+        out[~hit] = self.look(contexts(key[~hit]), more)[0]
+        return out
 
-        Their mean; by how much it exceeds their median, which stands for what a text's language and topic owe to the
-        share of toxic texts in them; the mean of what lies over the median by more than MARGIN; the logarithm of that sum.
-        """
+    def missing(self, text: bytes) -> np.ndarray:
+        """Keys of a text that decide its score and are not in memory."""
+        key = np.empty(0, dtype=np.int64)
+        for part in slices(text, word_mask(), STEP):
+            words, place, _ = distinct_words([part])
+            key = np.union1d(key, events(words, place, self.order)[0])
+        key = key[~self.look(key)[1]]
+        context = np.unique(contexts(key))
+        return np.concatenate((key, context[~self.look(context)[1]]))
+
+    def differences(self, texts: list[bytes], more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The difference of each kind of word, the kind of each word and the first word of each text."""
+        words, place, kind = distinct_words(texts)
+        if not len(place):
+            return np.empty(0), kind, words.first
+        key, first = events(words, place, self.order)
+        keys, at = np.unique(key, return_inverse=True)
+        return np.add.reduceat(self.events(keys, more)[at], first), kind, words.first
+
+    def features(self, texts: list[bytes], more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Of each text: the mean of its words' differences, by how much that exceeds their median, and the mean of what exceeds the median by more than MARGIN."""
         out = np.zeros((len(texts), FEATURES))
-        if self.empty:
-            return out
-        for before, now, first, begin, end in _pairs(texts):
-            v, w, pair = (before & np.uint64(_SIZE - 1)).astype(np.int64), (now & np.uint64(_SIZE - 1)).astype(np.int64), (before << np.uint64(32)) | now
-            b = _bucket(pair)
-            own = self.owner[b] == pair.view(np.int64)
-            seen = [np.where(own, self.pair[c][b], 0) * self.inverse[c][v] for c in (0, 1, 2)]
-            lower = [seen[2] + self.backoff[v] * self.unigram[c][w] for c in (0, 1)]
-            p = [seen[c] + np.minimum(DISCOUNT * self.inverse[c][v], lower[c]) for c in (0, 1)]
-            each = (np.log(p[1]) - np.log(p[0])).astype(np.float64)
+        for begin, end in chunks(texts, STEP):
+            if end - begin == 1 and len(texts[begin]) > 2 * STEP:
+                # A very long text comes in parts; of each word only its difference is kept.
+                parts = [self.differences([p], more) for p in slices(texts[begin], word_mask(), STEP)]
+                own = np.sort(np.concatenate([each[kind] for each, kind, _ in parts]))
+                if len(own):
+                    usual = own[len(own) // 2]
+                    out[begin] = own.mean(), own.mean() - usual, np.sqrt(np.maximum(own - usual - MARGIN, 0).mean())
+                continue
+            each, kind, first = self.differences(texts[begin:end], more)
+            if not len(each):
+                continue
             n = np.diff(first)
             of = np.repeat(np.arange(end - begin), n)
-            mean = np.bincount(of, each, minlength=end - begin) / np.maximum(n, 1)
-            ranked = each[np.lexsort((each, of))]
-            usual = np.where(n > 0, ranked[np.minimum(first[:-1] + n // 2, len(each) - 1)], 0.0) if len(each) else 0.0
-            excess = np.maximum(each - np.repeat(usual, n) - MARGIN, 0)
-            tail = np.bincount(of, excess, minlength=end - begin)
-            out[begin:end] = np.stack([mean, mean - usual, tail / np.maximum(n, 1), np.log1p(tail)], axis=1)
+            mean = np.bincount(of, each[kind], minlength=end - begin) / np.maximum(n, 1)
+            # Ranks of the kinds make the median of each text a sort of numbers.
+            rank = np.empty(len(each), dtype=np.int64)
+            by_rank = np.argsort(each, kind="stable")
+            rank[by_rank] = np.arange(len(each))
+            sorted_ = np.sort(of * len(each) + rank[kind]) % len(each)
+            usual = each[by_rank[sorted_[np.minimum(first[:-1] + n // 2, len(sorted_) - 1)]]]
+            usual[n == 0] = 0
+            excess = np.maximum(each[kind] - np.repeat(usual, n) - MARGIN, 0)
+            tail = np.bincount(of, excess, minlength=end - begin) / np.maximum(n, 1)
+            out[begin:end] = np.stack([mean, mean - usual, np.sqrt(tail)], axis=1)
         return out
 
     def calibrate(self, x: np.ndarray, toxic: np.ndarray) -> None:
@@ -183,70 +268,86 @@ class Models:
             w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(FEATURES + 1), g)
         self.weights = w
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if self.empty:
-            return np.zeros(len(texts))
-        x = self.differences(texts)
-        return 1 / (1 + np.exp(-np.clip(np.hstack([x, np.ones((len(x), 1))]) @ self.weights, -30, 30)))
 
+class Models:
+    """The fitted model: a table of entries, its most frequent part in memory, and the calibration. Nothing was learnt if scorer is None."""
 
-def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -> Models:
+    def __init__(self, entries: DataFrame | None, scorer: Scorer | None):
+        self.entries, self.scorer = entries, scorer
+
+
+def _featured(docs: DataFrame, models: Models, columns: list[str]) -> DataFrame:
+    """columns of docs and x, the features of the column text, null counting as empty; rows stay where they are unless entries have to be joined."""
+    held = docs.sparkSession.sparkContext.broadcast(models.scorer)  # HOT entries at most
+
+    @F.pandas_udf("array<double>")
+    def direct(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(held.value.features(_bytes(texts.fillna("")))))
+
+    if models.scorer.whole:
+        return docs.select(*columns, direct("text").alias("x"))
+
+    @F.pandas_udf("array<long>")
+    def missing(texts: pd.Series) -> pd.Series:
+        return pd.Series([held.value.missing(t) for t in _bytes(texts)])
+
+    @F.pandas_udf("array<double>")
+    def joined(texts: pd.Series, keys: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for t, k, v in zip(_bytes(texts.fillna("")), keys, r, strict=True):
+            order = np.argsort(k) if k is not None else []
+            out.append(held.value.features([t], None if k is None else (np.asarray(k)[order], np.asarray(v)[order]))[0])
+        return pd.Series(out)
+
+    # A score depends on nothing but the text, so texts are named by their digest.
+    mark = F.sha2(F.col("text").cast("binary"), 256)
+    wanted = docs.filter("text is not null").select(mark.alias("__mark"), F.explode(missing("text")).alias("key")).distinct()
+    found = wanted.join(models.entries.select("key", "r"), "key").groupBy("__mark").agg(F.collect_list(F.struct("key", "r")).alias("__more"))
+    faced = docs.withColumn("__mark", mark).join(found, "__mark", "left")
+    return faced.select(*columns, joined("text", F.col("__more.key"), F.col("__more.r")).alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION, order: int = ORDER, hot: int = HOT) -> Models:
     """Models from all labelled rows; a quarter of them, by hash of doc_id, is held back to calibrate the score.
 
     Rows without label, text or id teach nothing; of several labels of a document the largest counts.
     """
-    spark = docs.sparkSession
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = materialise(marks)
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     back = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    taught = materialise(marks.filter(~back))
-    taught = F.broadcast(taught) if taught.count() <= BROADCAST_ROWS else taught
-    counts = stored(count_bigrams(texts.filter(~back).join(taught, "doc_id")))
-    both = F.col("n0") + F.col("n1")
-    once, twice = counts.agg(F.count_if(both == 1), F.count_if(both == 2)).first()
-    shared = min(SHARED_DISCOUNT[1], max(SHARED_DISCOUNT[0], once / (once + 2 * twice) if once else 0))
-    low = F.lit(_SIZE - 1)
-    has = lambda c: F.count_if(F.col(c) > 0)
-    freed = lambda c: F.sum(F.least(c.cast("double"), F.lit(DISCOUNT)))
-    unigram = _dense(counts.groupBy(F.col("pair").bitwiseAND(low).alias("bucket")).agg(has("n0").alias("cont0"), has("n1").alias("cont1"), F.count(F.lit(1)).alias("shared")))
-    context = _dense(counts.groupBy(F.shiftrightunsigned("pair", 32).bitwiseAND(low).alias("bucket")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(both).alias("n"), freed(both).alias("freed")))
-
-
-    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(bucket=_bucket(b["pair"].to_numpy(dtype=np.int64).view(np.uint64)))
-
-    # Of frequent bigrams that share a bucket the most frequent has it; the others are left to the lower order.
-    frequent = counts.filter(both > DISCOUNT).mapInPandas(bucketed, "pair long, n0 long, n1 long, bucket long")
-    top = frequent.groupBy("bucket").agg(F.max(F.struct(both.alias("n"), "pair", "n0", "n1")).alias("top"))
-    pairs = _dense(top.select("bucket", "top.*"), ("pair",))
-    models = Models(unigram, context, pairs, DISCOUNT, shared)
-    held = spark.sparkContext.broadcast(models)  # tables of 2**BUCKET_BITS entries
-
-    names = [f"x{i}" for i in range(FEATURES)]
-
-    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = held.value.differences(_bytes(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{f"x{i}": x[:, i] for i in range(FEATURES)}})
-
-    if not models.empty:
-        ids = materialise(marks.filter(back).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration))
-        drawn = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInPandas(differences, "doc_id long, " + ", ".join(f"{c} double" for c in names)).join(ids, "doc_id").toPandas().sort_values(["doc_id", *names])
-        if len(drawn):
-            models.calibrate(drawn[names].to_numpy(), drawn["toxic"].to_numpy(dtype=np.float64))
+    labelled = texts.join(marks, "doc_id")
+    counts = stored(count_events(labelled.filter(~back), order))
+    if counts.isEmpty():
+        return Models(None, None)
+    entries = stored(ratios(counts, order))
+    whole = entries.count() <= hot
+    some = (entries if whole else entries.orderBy(F.desc("n"), "key").limit(hot)).select("key", "r").toPandas()
+    models = Models(entries, Scorer(some["key"].to_numpy(dtype=np.int64), some["r"].to_numpy(dtype=np.float64), whole, order))
+    # Rows are bounded, not ids: what repeats an id has its own place in the order.
+    mark = F.xxhash64("text").alias("mark")
+    drawn = materialise(labelled.filter(back).select("doc_id", mark).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(calibration))
+    own = labelled.filter(back).withColumn("mark", mark).join(F.broadcast(drawn), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    got = _featured(own, models, ["doc_id", "mark", "toxic"]).orderBy("doc_id", "mark").toPandas()
+    if len(got):
+        models.scorer.calibrate(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=np.float64))
     return models
 
 
-def score_column(spark: SparkSession, models: Models) -> Column:
-    """The score of the column text; null counts as empty."""
-    held = spark.sparkContext.broadcast(models)  # tables of 2**BUCKET_BITS entries
+def scored(docs: DataFrame, models: Models, name: str = "score") -> DataFrame:
+    """docs with the score of the column text as a further column; null counts as empty."""
+    if models.scorer is None:
+        return docs.withColumn(name, F.lit(0.0))
+    held = docs.sparkSession.sparkContext.broadcast(models.scorer.weights)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(_bytes(texts.fillna(""))))
+    def score(x: pd.Series) -> pd.Series:
+        at = np.hstack([np.stack(x.to_numpy()), np.ones((len(x), 1))]) if len(x) else np.zeros((0, FEATURES + 1))
+        return pd.Series(1 / (1 + np.exp(-np.clip(at @ held.value, -30, 30))))
 
-    return score("text")
+    names = [f"`{c}`" for c in docs.columns]
+    return _featured(docs, models, names).withColumn(name, score("x")).drop("x")
 
 
 def scores(docs: DataFrame, models: Models) -> DataFrame:
@@ -255,12 +356,19 @@ def scores(docs: DataFrame, models: Models) -> DataFrame:
     Empty texts get the score of a text without evidence. If there was nothing to learn from every score is 0. Rows
     that repeat get a row each, null ids stay null; other columns are ignored; an empty table gives an empty result.
     """
-    return docs.select("doc_id", score_column(docs.sparkSession, models).alias("score"))
+    return scored(docs.select("doc_id", "text"), models).select("doc_id", "score")
 
 
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is 0.5 or more go; labels teach, but never decide."""
-    return docs.filter(score_column(spark, fit(docs, table(spark, sf_dir, "labels"))) < 0.5)
+    """Pipeline stage: documents whose score is 0.5 or more go; labels teach, but never decide.
+
+    Rows are judged one by one: rows that repeat go or stay together, rows without id are judged like any other, null and
+    empty texts stay unless most labelled empty texts are toxic. All columns stay as they are; an empty table gives an
+    empty result. Texts of any length are read in whole.
+    """
+    models = fit(docs, table(spark, sf_dir, "labels"))
+    mark = "score" if "score" not in docs.columns else "score of toxicity"
+    return scored(docs, models, mark).filter(F.col(f"`{mark}`") < 0.5).drop(mark)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
