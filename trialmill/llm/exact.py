@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, id_text, materialise, table
 
 #: Tasks over which one content's copies are spread.
-SALTS = 16
+SALTS = 64
 
 
 def content(text: Column) -> Column:
@@ -29,37 +29,73 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+def _salted(docs: DataFrame, digest: Callable[[Column], Column], salts: int, *more: Column) -> DataFrame:
+    """docs' doc_id, content, code points and digest; the salt comes from the row itself, so it is the same whenever the row is read."""
+    salt = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(salts)).cast("int").alias("salt")
+    given = id_text(docs, *more)
+    rest = [c for c in given.columns if c not in ("doc_id", "text")]
+    return given.select("doc_id", content(F.col("text")).alias("norm"), F.length("text").alias("points"), salt, *rest).withColumn("digest", digest(F.col("norm")))
+
+
+def _winners(salted: DataFrame, *more: str) -> DataFrame:
+    """(digest, norm, win, size, salts): the best row of each content, as (points, ~doc_id, more), its copies and the salts they have."""
+    # The bitwise complement turns the order of ids round and has no overflow; a missing id loses against any other.
+    best = F.max(F.struct(F.col("points"), F.bitwise_not("doc_id").alias("back"), *more)).alias("win")
+    by_salt = salted.groupBy("digest", "salt", "norm").agg(best, F.count(F.lit(1)).alias("size"))
+    return by_salt.groupBy("digest", "norm").agg(F.max("win").alias("win"), F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
+
+
+def _collides(named: DataFrame) -> bool:
+    """Whether two contents share a digest; never seen with SHA-256."""
+    return not named.groupBy("digest").count().filter("count > 1").isEmpty()
+
+
 def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of docs.
 
     Texts are equal when they are identical without white space; null counts as empty. Of equal texts the row with the
     most code points stays, then the smallest doc_id. Rows that repeat a doc_id count each and get a row each; a row
     with null doc_id stays only if its group holds no other of its length. An empty table gives an empty result; other
-    columns are ignored. digest may be weakened in tests: contents that share a digest are still told apart.
+    columns are ignored; texts of any length are compared whole. digest may be weakened in tests: contents that share a
+    digest are still told apart.
     """
-    # Two columns only, and the salt from the id: the same row has the same salt whenever it is read.
-    salted = id_text(docs).select("doc_id", content(F.col("text")).alias("norm"), F.length("text").alias("points"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(salts)).cast("int").alias("salt")).withColumn("digest", digest(F.col("norm")))
-    best = lambda: F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("back")))
-    by_salt = salted.groupBy("digest", "salt", "norm").agg(best().alias("win"), F.count(F.lit(1)).alias("size"))
-    whole = by_salt.groupBy("digest", "norm").agg(F.max("win").alias("win"), F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
-    named = materialise(whole.select("digest", F.md5(F.concat(F.lit("c"), F.col("norm")).cast("binary")).alias("mark"), (-F.col("win.back")).alias("keep_id"), F.col("size").alias("group_size"), "salts"))
-    shared = named.groupBy("digest").count().filter("count > 1").select("digest")
-    back = salted.select("doc_id", "digest", "salt", "points")
-    if not shared.isEmpty():
-        # Never seen with SHA-256; the content itself decides here.
-        exact = whole.select(F.col("digest"), "norm", (-F.col("win.back")).alias("keep_id"), F.col("size").alias("group_size"))
+    salted = _salted(docs, digest, salts)
+    whole = _winners(salted)
+    keep = F.bitwise_not("win.back").alias("keep_id")
+    named = materialise(whole.select("digest", keep, F.col("size").alias("group_size"), "salts"))
+    if _collides(named):
+        # The content itself decides here.
+        exact = whole.select("digest", "norm", keep, F.col("size").alias("group_size"))
         out = salted.join(exact, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", sha256(F.col("norm")).alias("text_sha256"))
     else:
         # A row for each salt that a content has: a hot digest meets its rows in as many tasks.
         spread = named.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
-        out = back.join(spread, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"))
+        out = salted.select("doc_id", "digest", "salt").join(spread, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts one document stays; documents without a doc_id stay."""
-    gone = groups(docs).filter("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
+    """Pipeline stage: of the rows whose texts are equal without white space one stays, all others go.
+
+    It is decided for each row, not for each doc_id: the row with the most code points, then the smallest doc_id, then
+    the largest hash of all its columns; identical rows collapse into one. A row without id stays only if its group has
+    no other of its length. Null and empty texts are one group. All columns stay as they are, whatever their names; an
+    empty table gives an empty result; texts of any length are compared whole.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    mark = F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("mark")
+    whole = _winners(_salted(docs.select("doc_id", "text", mark), digest, salts, F.col("mark")), "mark")
+    named = materialise(whole.select("digest", F.col("win.points").alias("most"), F.bitwise_not("win.back").alias("keep_id"), F.col("win.mark").alias("own")))
+    rows = _salted(packed.withColumn("mark", F.xxhash64("row.*")), digest, salts, F.col("row"), F.col("mark"))
+    same = F.col("points").eqNullSafe(F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("own"))
+    if _collides(named):
+        exact = whole.select("digest", "norm", F.col("win.points").alias("most"), F.bitwise_not("win.back").alias("keep_id"), F.col("win.mark").alias("own"))
+        kept = rows.join(exact, ["digest", "norm"]).filter(same).dropDuplicates(["digest", "norm"])
+    else:
+        # Only the winner's salt is looked up, and what is left of a content are its identical rows, so it stays where it is.
+        salt = F.pmod(F.xxhash64("keep_id", "most"), F.lit(salts)).cast("int").alias("salt")
+        kept = rows.drop("norm").join(named.withColumn("salt", salt), ["digest", "salt"]).filter(same).dropDuplicates(["digest", "salt"])
+    return kept.select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ from .common import table
 
 #: Segmentations for each text.
 NBEST = 3
-#: Units that a worker keeps; beyond it the store is emptied and filled anew.
-KEPT = 250_000
+#: Units and their characters that a worker keeps; beyond either the store is emptied and filled anew.
+KEPT, KEPT_CHARS = 120_000, 4_000_000
 #: Longest units that one vectorised Viterbi pass takes; longer ones are searched alone.
 SHORT = (4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 32, 48, 64)
+#: Units in one such pass.
+LANES = 10_000
 #: Characters of text that are encoded in one go.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Pieces of best segmentations that are handed on at once.
 HELD = 1 << 17
 #: A byte costs so much more than the worst piece.
@@ -75,6 +77,7 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
+        self.chars = 0
         self.at: dict[str, int] = {}
         self.names: list[str] = []
         self.searched: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
@@ -111,8 +114,8 @@ class Lattice:
             np.copyto(out, i, where=(i >= 0) & (self.piece_hash[i] == h))
         return out
 
-    def viterbi(self, units: list[str]) -> tuple[list[np.ndarray | None], np.ndarray, np.ndarray]:
-        """Of units of up to SHORT[-1] characters: best ids (None where bytes are needed), best score, distance of the second best."""
+    def viterbi(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of units of up to SHORT[-1] characters: best ids one after another, how many are of each unit (0 where bytes are needed), best score, distance of the second best."""
         m, lengths = len(units), np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         wide = int(lengths.max())
         codes = np.zeros((m, wide), dtype=np.uint64)
@@ -158,32 +161,42 @@ class Lattice:
             byte |= live & (p < 0)
             path[step] = np.where(live, self.piece_id[p], -1)
             place = place - np.where(live, came[place, rows], 0)
+        path[:, byte] = -1
         best = path.T
-        return [None if x else r[r >= 0] for r, x in zip(best, byte, strict=True)], one[lengths, rows], one[lengths, rows] - two[lengths, rows]
+        return best[best >= 0], (best >= 0).sum(axis=1), one[lengths, rows], one[lengths, rows] - two[lengths, rows]
 
     def learn(self, units: list[str]) -> None:
-        """Search units that are new to the store."""
-        found: dict[int, np.ndarray] = {}
-        score, gap = np.zeros(len(units)), np.full(len(units), np.inf)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        """Search units that are new to the store; those that the vectorised pass takes come first, by length."""
+        length = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        order = np.argsort(length, kind="stable")
+        sized, names, ids, counts, score, gap, alone = length[order], [], [], [], [], [], []
         for below, upto in zip((0, *SHORT), SHORT, strict=False):
-            own = [i for i in order if below < len(units[i]) <= upto]
-            for x in range(0, len(own), 20000):
-                part = own[x : x + 20000]
-                ids, score[part], gap[part] = self.viterbi([units[i] for i in part])
-                found.update((i, r) for i, r in zip(part, ids, strict=True) if r is not None)
+            x, end = np.searchsorted(sized, (below, upto), side="right")
+            for begin in range(x, end, LANES):
+                part = [units[i] for i in order[begin : min(begin + LANES, end)]]
+                flat, n, best, second = self.viterbi(part)
+                whole = n > 0
+                names += itertools.compress(part, whole)
+                alone += itertools.compress(part, ~whole)
+                ids.append(flat)
+                for held, new in ((counts, n), (score, best), (gap, second)):
+                    held.append(new[whole])
+        alone += [units[i] for i in order[np.searchsorted(sized, SHORT[-1], side="right") :]]
         begin = len(self.names)
-        for i, unit in enumerate(units):
-            if i not in found:
-                results = self.search(unit)
-                self.searched[begin + i] = results
-                found[i], score[i] = np.array(results[0][1], dtype=np.int32), results[0][0]
-                gap[i] = results[0][0] - results[1][0] if len(results) > 1 else np.inf
-            self.at[unit] = begin + i
-        self.names += units
-        self.ids = np.concatenate([self.ids, *(found[i] for i in range(len(units)))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(found[i]) for i in range(len(units))])])
-        self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+        if alone:
+            found = [self.search(u) for u in alone]
+            self.searched.update(zip(range(begin + len(names), begin + len(units)), found, strict=True))
+            ids += [np.array(r[0][1], dtype=np.int32) for r in found]
+            counts.append(np.array([len(r[0][1]) for r in found]))
+            score.append(np.array([r[0][0] for r in found]))
+            gap.append(np.array([r[0][0] - r[1][0] if len(r) > 1 else np.inf for r in found]))
+            names += alone
+        self.at.update(zip(names, range(begin, begin + len(names)), strict=True))
+        self.names += names
+        self.chars += int(length.sum())
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        self.score, self.gap = np.concatenate([self.score, *score]), np.concatenate([self.gap, *gap])
 
     def results(self, which: int) -> list[tuple[float, tuple[int, ...]]]:
         """The N best segmentations of a kept unit."""
@@ -233,19 +246,20 @@ class Lattice:
                 agenda = heapq.nsmallest(self.nbest, agenda)
         return done
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]]:
-        """Of each text: ids of the best segmentation, scores of the N best, the units by which each of those differs as (unit, rank), its units."""
-        if len(self.at) > KEPT:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray]]]:
+        """Of each text: ids of the best segmentation, scores of the N best, ids of the others of those."""
+        if len(self.at) > KEPT or self.chars > KEPT_CHARS:
             self.clear()
         units = [self.units.findall(" " + t) if t else [] for t in texts]
         new = list({u: None for own in units for u in own if u not in self.at})
         if new:
             self.learn(new)
-        return [self._encoded(np.fromiter(map(self.at.__getitem__, own), dtype=np.int64, count=len(own))) for own in units]
+        for own in units:
+            yield self._encoded(np.fromiter(map(self.at.__getitem__, own), dtype=np.int64, count=len(own)))
 
-    def _encoded(self, which: np.ndarray) -> tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]:
+    def _encoded(self, which: np.ndarray) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
         if not len(which):
-            return np.empty(0, dtype=np.int32), [0.0], [[]], which
+            return np.empty(0, dtype=np.int32), [0.0], []
         begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
         upto = np.cumsum(size)
         ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto + size, size)]
@@ -267,9 +281,17 @@ class Lattice:
                 if r + 1 < len(ranked[i]):
                     step = state[:i] + (r + 1,) + state[i + 1 :]
                     heapq.heappush(agenda, (sum(ranked[k][x] for k, x in enumerate(step)), step))
-        return ids, [total - loss for loss, _ in done], [[(near[i], r) for i, r in enumerate(state) if r] for _, state in done], which
-
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int]]], np.ndarray]]:
+        others = []
+        for _, state in done[1:]:
+            # Between the units that differ stands what the best segmentation has there.
+            parts, at = [], 0
+            for k, i in sorted((near[i], i) for i, r in enumerate(state) if r):
+                parts += [ids[at : upto[k] - size[k]], np.array(found[i][state[i]][1], dtype=np.int32)]
+                at = upto[k]
+            others.append(np.concatenate([*parts, ids[at:]]))
+        return ids, [total - loss for loss, _ in done], others
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray]]]:
         """encode() in steps of bounded size."""
         begin = size = 0
         for i, t in enumerate(texts):
@@ -278,17 +300,6 @@ class Lattice:
                 yield from self.encode(texts[begin : i + 1])
                 begin, size = i + 1, 0
 
-    def others(self, changes: list[list[tuple[int, int]]], which: np.ndarray) -> list[np.ndarray]:
-        """The ids of the second to N-th best segmentation of a text just encoded."""
-        out = []
-        parts = [self.ids[a:z] for a, z in zip(self.ends[which].tolist(), self.ends[which + 1].tolist(), strict=True)]
-        for change in changes[1:]:
-            own = list(parts)
-            for k, r in change:
-                own[k] = np.array(self.results(int(which[k]))[r][1], dtype=np.int32)
-            out.append(np.concatenate(own))
-        return out
-
     def decode(self, ids) -> str:
         """Ids -> text; the blank that encoding puts in front goes."""
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")[1:]
@@ -316,8 +327,8 @@ def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> Dat
         lat = lattice(model, nbest)
         for texts in batches:
             held, size = [], 0
-            for ids, scores, changes, which in lat.encode_all(texts.fillna("").tolist()):
-                held.append((ids, scores, lat.others(changes, which)))
+            for ids, scores, others in lat.encode_all(texts.fillna("").tolist()):
+                held.append((ids, scores, others))
                 size += len(ids)
                 if size > HELD:
                     yield pd.DataFrame(held, columns=["ids", "scores", "others"])
@@ -355,8 +366,8 @@ def digests(docs: DataFrame, nbest: int = NBEST, model: str | None = None) -> Da
         lat = lattice(model, nbest)
         for b in batches:
             rows = []
-            for doc, text, (ids, scores, changes, which) in zip(b["doc_id"], b["text"], lat.encode_all(b["text"].tolist()), strict=True):
-                every = [ids, *lat.others(changes, which)]
+            for doc, text, (ids, scores, others) in zip(b["doc_id"], b["text"], lat.encode_all(b["text"].tolist()), strict=True):
+                every = [ids, *others]
                 digest = [sha(x) for x in every]
                 same = all(lat.decode(x.tolist()) == text for x in every)
                 rows.append((doc, len(ids), digest[0], scores[0], len(scores), scores[1] if len(scores) > 1 else None, same, digest, scores))

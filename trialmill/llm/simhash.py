@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise, table
 from .components import components
-from .similar import near_copies
+from .similar import near_copies, text_mark
 
 #: Fixed values of the contract: hash seed, words of a shingle, bits by which linked fingerprints may differ.
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -195,13 +195,22 @@ def near_dups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> Da
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of near copies the document with the smallest doc_id stays; documents without a doc_id stay.
+    """Pipeline stage: of near copies the row with the smallest doc_id stays.
 
     Near copies share 0.8 of their five-word shingles, directly or by links. Their fingerprints differ in up to about
     a quarter of the bits, where vantage points rule out nothing, so candidates come from keys of shingles instead.
+    It is decided for each row, not for each doc_id: rows that share an id but not a text are told apart, and of rows
+    with the same id and text one stays. Rows without doc_id stay. Null and empty texts are copies of each other; all
+    columns stay as they are, whatever their names; an empty table gives an empty result; texts are compared whole.
     """
-    gone = near_copies(docs).filter("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), row)
+    gone = near_copies(docs).filter("node <> root").select("node.doc_id", "node.mark")
+    kept = marked.join(gone, ["doc_id", "mark"], "left_anti")
+    twice = marked.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1")
+    if not twice.isEmpty():
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "mark"]).unionByName(kept.filter("doc_id is null"))
+    return kept.select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

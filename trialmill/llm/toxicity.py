@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, materialise, slices, stored, table, word_mask
+from .common import Words, chunks, fresh, materialise, slices, stored, table, word_mask
 
 #: Bytes of an event with its context; at most 8, so that a key is a long. UTF-8 has no byte above 244, so keys lie apart from those of contexts.
 ORDER = 8
@@ -276,8 +276,8 @@ class Models:
         self.entries, self.scorer = entries, scorer
 
 
-def _featured(docs: DataFrame, models: Models, columns: list[str]) -> DataFrame:
-    """columns of docs and x, the features of the column text, null counting as empty; rows stay where they are unless entries have to be joined."""
+def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "x") -> DataFrame:
+    """columns of docs and x, or another name: the features of the column text, null counting as empty; rows stay where they are unless entries have to be joined."""
     held = docs.sparkSession.sparkContext.broadcast(models.scorer)  # HOT entries at most
 
     @F.pandas_udf("array<double>")
@@ -285,7 +285,7 @@ def _featured(docs: DataFrame, models: Models, columns: list[str]) -> DataFrame:
         return pd.Series(list(held.value.features(_bytes(texts.fillna("")))))
 
     if models.scorer.whole:
-        return docs.select(*columns, direct("text").alias("x"))
+        return docs.select(*columns, direct("text").alias(name))
 
     @F.pandas_udf("array<long>")
     def missing(texts: pd.Series) -> pd.Series:
@@ -300,11 +300,11 @@ def _featured(docs: DataFrame, models: Models, columns: list[str]) -> DataFrame:
         return pd.Series(out)
 
     # A score depends on nothing but the text, so texts are named by their digest.
-    mark = F.sha2(F.col("text").cast("binary"), 256)
-    wanted = docs.filter("text is not null").select(mark.alias("__mark"), F.explode(missing("text")).alias("key")).distinct()
-    found = wanted.join(models.entries.select("key", "r"), "key").groupBy("__mark").agg(F.collect_list(F.struct("key", "r")).alias("__more"))
-    faced = docs.withColumn("__mark", mark).join(found, "__mark", "left")
-    return faced.select(*columns, joined("text", F.col("__more.key"), F.col("__more.r")).alias("x"))
+    mark, of, more = F.sha2(F.col("text").cast("binary"), 256), fresh(docs, "digest"), fresh(docs, "entries")
+    wanted = docs.filter("text is not null").select(mark.alias(of), F.explode(missing("text")).alias("key")).distinct()
+    found = wanted.join(models.entries.select("key", "r"), "key").groupBy(of).agg(F.collect_list(F.struct("key", "r")).alias(more))
+    faced = docs.withColumn(of, mark).join(found, of, "left")
+    return faced.select(*columns, joined("text", F.col(f"{more}.key"), F.col(f"{more}.r")).alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION, order: int = ORDER, hot: int = HOT) -> Models:
@@ -346,8 +346,8 @@ def scored(docs: DataFrame, models: Models, name: str = "score") -> DataFrame:
         at = np.hstack([np.stack(x.to_numpy()), np.ones((len(x), 1))]) if len(x) else np.zeros((0, FEATURES + 1))
         return pd.Series(1 / (1 + np.exp(-np.clip(at @ held.value, -30, 30))))
 
-    names = [f"`{c}`" for c in docs.columns]
-    return _featured(docs, models, names).withColumn(name, score("x")).drop("x")
+    names, x = [f"`{c}`" for c in docs.columns], fresh(docs, "x")
+    return _featured(docs, models, names, x).withColumn(name, score(x)).drop(x)
 
 
 def scores(docs: DataFrame, models: Models) -> DataFrame:
@@ -367,7 +367,7 @@ def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty result. Texts of any length are read in whole.
     """
     models = fit(docs, table(spark, sf_dir, "labels"))
-    mark = "score" if "score" not in docs.columns else "score of toxicity"
+    mark = fresh(docs, "score")
     return scored(docs, models, mark).filter(F.col(f"`{mark}`") < 0.5).drop(mark)
 
 
