@@ -187,12 +187,10 @@ def ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Scorer:
-    """What an executor needs: the most frequent entries of the model, whether they are all, and the calibration."""
+    """What an executor needs: the most frequent entries of the model in the order of their keys, and whether they are all."""
 
     def __init__(self, keys: np.ndarray, r: np.ndarray, whole: bool, order: int):
-        order_ = np.argsort(keys)
-        self.keys, self.r, self.whole, self.order = keys[order_], r[order_].astype(np.float64), whole, order
-        self.weights = np.zeros(FEATURES + 1)
+        self.keys, self.r, self.whole, self.order = keys, r, whole, order
 
     def look(self, keys: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Entries of keys and whether there are any, in memory or in `more`."""
@@ -259,26 +257,39 @@ class Scorer:
             out[begin:end] = np.stack([mean, mean - usual, np.sqrt(tail)], axis=1)
         return out
 
-    def calibrate(self, x: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a weak ridge."""
-        x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(FEATURES + 1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (p - toxic) + 1e-3 * w
-            w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(FEATURES + 1), g)
-        self.weights = w
+
+def calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression, by Newton steps with a weak ridge."""
+    x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(FEATURES + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - toxic) + 1e-3 * w
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(FEATURES + 1), g)
+    return w
 
 
 class Models:
-    """The fitted model: a table of entries, its most frequent part in memory, and the calibration. Nothing was learnt if scorer is None."""
+    """The fitted model: a table of all entries, the most frequent ones for the executors, and the calibration. Nothing was learnt if scorer is None."""
 
     def __init__(self, entries: DataFrame | None, scorer: Scorer | None):
-        self.entries, self.scorer = entries, scorer
+        self.entries, self.scorer, self.weights = entries, scorer, np.zeros(FEATURES + 1)
+        self.held = entries.sparkSession.sparkContext.broadcast(scorer) if scorer else None  # HOT entries at most
+
+
+def _held_entries(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their entries; executors sort and pack them, the driver only puts the parts together."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"least": b["key"].iloc[:1], "keys": [b["key"].to_numpy(dtype=np.int64).tobytes()], "r": [b["r"].to_numpy(dtype=np.float64).tobytes()]})
+
+    parts = sorted(entries.select("key", "r").orderBy("key").mapInPandas(packed, "least long, keys binary, r binary").collect(), key=lambda p: p["least"])
+    return np.frombuffer(b"".join(p["keys"] for p in parts), dtype=np.int64), np.frombuffer(b"".join(p["r"] for p in parts), dtype=np.float64)
 
 
 def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "x") -> DataFrame:
     """columns of docs and x, or another name: the features of the column text, null counting as empty; rows stay where they are unless entries have to be joined."""
-    held = docs.sparkSession.sparkContext.broadcast(models.scorer)  # HOT entries at most
+    held = models.held
 
     @F.pandas_udf("array<double>")
     def direct(texts: pd.Series) -> pd.Series:
@@ -323,15 +334,14 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION, orde
         return Models(None, None)
     entries = stored(ratios(counts, order))
     whole = entries.count() <= hot
-    some = (entries if whole else entries.orderBy(F.desc("n"), "key").limit(hot)).select("key", "r").toPandas()
-    models = Models(entries, Scorer(some["key"].to_numpy(dtype=np.int64), some["r"].to_numpy(dtype=np.float64), whole, order))
+    models = Models(entries, Scorer(*_held_entries(entries if whole else entries.orderBy(F.desc("n"), "key").limit(hot)), whole, order))
     # Rows are bounded, not ids: what repeats an id has its own place in the order.
     mark = F.xxhash64("text").alias("mark")
     drawn = materialise(labelled.filter(back).select("doc_id", mark).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(calibration))
     own = labelled.filter(back).withColumn("mark", mark).join(F.broadcast(drawn), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     got = _featured(own, models, ["doc_id", "mark", "toxic"]).orderBy("doc_id", "mark").toPandas()
     if len(got):
-        models.scorer.calibrate(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=np.float64))
+        models.weights = calibrated(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=np.float64))
     return models
 
 
@@ -339,12 +349,12 @@ def scored(docs: DataFrame, models: Models, name: str = "score") -> DataFrame:
     """docs with the score of the column text as a further column; null counts as empty."""
     if models.scorer is None:
         return docs.withColumn(name, F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(models.scorer.weights)
+    weights = models.weights
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         at = np.hstack([np.stack(x.to_numpy()), np.ones((len(x), 1))]) if len(x) else np.zeros((0, FEATURES + 1))
-        return pd.Series(1 / (1 + np.exp(-np.clip(at @ held.value, -30, 30))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(at @ weights, -30, 30))))
 
     names, x = [f"`{c}`" for c in docs.columns], fresh(docs, "x")
     return _featured(docs, models, names, x).withColumn(name, score(x)).drop(x)
