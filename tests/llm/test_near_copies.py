@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from trialmill.llm import similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -20,7 +22,11 @@ def edited(rng, words, n):
     return c
 
 
-def test_edited_copies_go(spark):
+@pytest.mark.parametrize(("small", "block", "shingles"), [(32, 1024, 20_000), (2, 16, 100)])
+def test_edited_copies_go(spark, monkeypatch, small, block, shingles):
+    monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "SHINGLES", shingles)
     rng = random.Random(6)
     texts = [None, "", " \n", "one", "ONE", "two words"]
     for _ in range(40):
