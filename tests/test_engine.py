@@ -45,10 +45,12 @@ def test_rules_are_written_as_they_are_read(text):
 def test_rule_details():
     assert parse_rule("rt:> 1 and >= 3").cutoffs[1].op == ">="
     assert parse_rule("rt:> 1 and >= 3", frozenset({"second_op"})).cutoffs[1].op == ">"
-    assert parse_rule("rt:< .5").cutoffs[0].number == 5  # the first number that the pattern finds
+    for text, number, loose in (("rt:< .5", 0.5, 5), ("rt:< 1e3", 1000, 1), ("rt:> -2.5", -2.5, -2.5), ("rt:> mean -2.5 * SD", 2.5, -2.5), ("rt:< median + 1.5e0 * MAD", 1.5, 1.5), ("rt:< 0.1234567891", 0.1234567891, 0.1234567891)):
+        assert parse_rule(text).cutoffs[0].number == number and parse_rule(parse_rule(text).text()) == parse_rule(text)
+        assert parse_rule(text, frozenset({"loose_numbers"})).cutoffs[0].number == loose  # the first run of digits
     assert parse_rule("w: = 'a=b<c:d' = 2").values == ("a=b<c:d", 2.0)
     assert parse_rule("rt: Pooling CDF").kind == "cdf" and parse_rule("rt:") == Rule("rt", "checklist")
-    for bad in ("rt", ":< 3", "rt:< x", "rt:< 1 and < 2 and < 3"):
+    for bad in ("rt", ":< 3", "rt:< x", "rt:< 1 and < 2 and < 3", "rt:< 1.5 or > 3 and < 9", "rt:< mean + -2 * SD", "rt:< 3 ms", "rt:< mean * SD", "rt:< 1 2"):
         with pytest.raises(ValueError):
             parse_rule(bad)
     with pytest.raises(ValueError):
@@ -210,6 +212,50 @@ def test_boxcox_lambda(spark):
         boxcox.best_lambda(df.union(df.limit(1).select(F.lit(-1.0))), F.col("x"))
 
 
+def test_boxcox_beyond_the_first_grid(spark):
+    from trialmill.functions import boxcox
+
+    rng = np.random.default_rng(2)
+    for true in (8.0, -7.0):
+        x = (1 + true * rng.normal(0, 0.01, 3000)) ** (1 / true)
+        df = spark.createDataFrame([(float(v) * 300,) for v in x], "x double")
+        got = boxcox.best_lambda(df, F.col("x"))
+        y = np.log(x / np.exp(np.log(x).mean()))
+        loss = lambda v: np.var(np.expm1(v * y) / v)
+        assert loss(got) <= min(loss(v) for v in np.linspace(-40, 40, 2001)) * (1 + 1e-9)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["mean", "__mean", "sd", "n", "median", "mad", "salt", "fit", "fit0", "x", "place", "part", "row", "first", "low", "quartiles"]
+    rows = [("s", float(v), *(111 + v for _ in names)) for v in range(60)]
+    df = spark.createDataFrame(rows, ["key", "rt", *names])
+    for skewed in (True, False):
+        kept = filters.apply_rules(df, ["rt:< mean + 1 * SD", "rt:> median - 3 * MAD", "rt:< mean + Shifting Z * SD"], ["key"], skewed=skewed)
+        assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} < set(rows)
+    placed = expressions.compute(df, "z", "self.data['rt'][1:]")
+    assert placed.select(df.columns).exceptAll(df).isEmpty()
+    from trialmill.operators import cdf
+
+    assert cdf.pooled(df, "rt", ["key"]).select(df.columns).exceptAll(df).isEmpty()
+
+
+def test_a_large_cell_is_spread_over_tasks(spark):
+    from trialmill.functions import stats
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("key"), F.rand(1).alias("rt"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = stats.beside(df, df.groupBy("key").agg(F.avg("rt").alias("m")), ["key"])
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 40_000 and max(sizes) < 12_000  # the cell has 36,000 rows
+
+
 # --- fits ------------------------------------------------------------------------------------------------------------
 CASES = {
     "Gamma (k, θ)": [2.5, 120],
@@ -232,11 +278,23 @@ def test_parameter_recovery(spark):
         assert len(got) == len(want) and all(abs(g - w) <= loose * abs(w) + 0.02 for g, w in zip(got, want)), (op, got)
 
 
-def test_binned_fit_is_close_to_the_whole(spark):
-    df = spark.createDataFrame([("g", float(v)) for v in fits.simulate("Ex-Gaussian (μ, σ, τ)", [900, 150, 300], 5000)], "k string, x double")
-    whole, binned = (fits.fit_cells(df, ["k"], "x", ["Ex-Gaussian (μ, σ, τ)"], bins=b).first()["fit0"] for b in (10000, 500))
-    assert np.allclose(whole, binned, rtol=0.01)
-    assert fits.weighted_values(df, ["k"], "x", bins=500).select(F.size("points")).first()[0] <= 500
+@pytest.mark.parametrize("outlier", [None, 10_000.0, 1_000_000.0, 1e12])
+def test_binned_fit_is_the_exact_one_with_outliers_too(spark, outlier):
+    x = fits.simulate("Ex-Gaussian (μ, σ, τ)", [500, 50, 150], 5000)
+    x = x if outlier is None else np.append(x, outlier)
+    for op in ("Ex-Gaussian (μ, σ, τ)", "Weibull (k, θ)", "Shifted Wald (m, a, shift)"):
+        df = spark.createDataFrame([("g", float(v)) for v in x], "k string, x double").repartition(3)
+        got = fits.fit_cells(df, ["k"], "x", [op]).first()["fit0"]
+        assert np.allclose(fits.ITERATIVE[op](np.sort(x), np.ones(len(x))), got, rtol=0.01), op
+    points = fits.weighted_values(df, ["k"], "x").first()["points"]
+    assert points[-1]["x"] == x.max() and points[0]["x"] == x.min() and sum(p["w"] for p in points) == len(x)
+    whole = fits.weighted_values(df, [], "x").first()["points"]
+    assert (whole[0]["x"], whole[-1]["x"]) == (x.min(), x.max()) and sum(p["w"] for p in whole) == len(x)
+
+
+def test_points_do_not_grow_with_trials(spark):
+    df = spark.range(300_000).select((F.rand(5) * 100 + 300).alias("x"))
+    assert fits.weighted_values(df, [], "x").select(F.size("points")).first()[0] < 2 * fits.STEPS
 
 
 def test_bounded_fits_recover_what_was_cut_off():

@@ -48,10 +48,10 @@ class TrialData:
         return self
 
     # --- filter and summarise ----------------------------------------------------------------------------------------
-    def filter(self, rows: list[str], cols: list[str], rules: list[str], omegas: list | None = None, keep: str = "above", skewed: bool = False) -> DataFrame:
+    def filter(self, rows: list[str], cols: list[str], rules: list[str], omegas: list | None = None, keep: str = "above", skewed: bool | None = None) -> DataFrame:
         return filters.apply_rules(self.data, rules, [*rows, *cols], omegas, self.compat, keep, skewed)
 
-    def summarize(self, rows: list[str], cols: list[str], rules: list[str], targets: list[str], omegas: list | None = None, strict: bool = False, keep: str = "above", skewed: bool = False) -> DataFrame:
+    def summarize(self, rows: list[str], cols: list[str], rules: list[str], targets: list[str], omegas: list | None = None, strict: bool = False, keep: str = "above", skewed: bool | None = None) -> DataFrame:
         """The long result. strict: keys must be known everywhere and a variable may have one role only."""
         if strict:
             SummaryPlan(rows, cols, rules, targets, omegas).validate()

@@ -7,22 +7,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Half width of the first grid, points of each grid, and how often it is narrowed around its best point.
-REACH, POINTS, ROUNDS = 5.0, 21, 6
+REACH, POINTS, ROUNDS = 5.0, 13, 8
+#: How often a grid moves on whose best point lies at its end; each time it is twice as wide.
+MOVES = 8
 
 
 def best_lambda(df: DataFrame, x: Column) -> float:
-    """lambda that maximises the likelihood of positive x; every round is one aggregation for the whole grid."""
-    centre, reach = 0.0, REACH
-    for _ in range(ROUNDS):
+    """lambda that maximises the likelihood of positive x; every round is one aggregation for the whole grid.
+
+    lambda doesn't depend on the scale of x, so powers are taken of x divided by its geometric mean.
+    """
+    first = df.agg(F.min(x).alias("least"), F.count(x).alias("n"), F.avg(F.ln(x)).alias("log")).first()
+    if not first["n"]:
+        return 1.0
+    if first["least"] <= 0:
+        raise ValueError("Box-Cox needs values above zero")
+    scaled, centre, reach, narrowed, moved = x / F.lit(float(np.exp(first["log"]))), 0.0, REACH, 0, 0
+    while narrowed < ROUNDS:
         grid = [round(float(v), 12) for v in np.linspace(centre - reach, centre + reach, POINTS)]
-        spread = [F.var_pop(_power(x, v)).alias(f"v{i}") for i, v in enumerate(grid)]
-        row = df.agg(F.min(x).alias("least"), F.count(x).alias("n"), F.sum(F.ln(x)).alias("logs"), *spread).first()
-        if not row["n"]:
+        row = df.agg(*(F.var_pop(_power(scaled, v)).alias(f"v{i}") for i, v in enumerate(grid))).first()
+        # With a geometric mean of one only the variance is left of the likelihood.
+        spread = [row[f"v{i}"] for i in range(POINTS)]
+        spread = [v if v is not None and v > 0 and np.isfinite(v) else np.inf for v in spread]
+        if not np.isfinite(min(spread)):
             return 1.0
-        if row["least"] <= 0:
-            raise ValueError("Box-Cox needs values above zero")
-        likelihood = [(v - 1) * row["logs"] - row["n"] / 2 * np.log(row[f"v{i}"]) if row[f"v{i}"] else -np.inf for i, v in enumerate(grid)]
-        centre, reach = grid[int(np.argmax(likelihood))], reach * 2 / (POINTS - 1)
+        best = int(np.argmin(spread))
+        centre = grid[best]
+        if best in (0, POINTS - 1) and moved < MOVES:
+            reach, moved = reach * 2, moved + 1
+        else:
+            reach, narrowed = reach * 2 / (POINTS - 1), narrowed + 1
     return centre
 
 

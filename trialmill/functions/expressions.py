@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import boxcox
-from .stats import known, name
+from .stats import fresh, known, name
 
 _ROOTS = re.compile(r"\b(?:aggData\.data|self\.dataFrame|self\.data)\b")
 
@@ -152,9 +152,9 @@ def compute(df: DataFrame, target: str, text: str, overwrite: bool = True) -> Da
         raise ValueError(f"{target!r} exists")
     if "[" in text and ":" in text:
         # Slices need positions: rows are numbered where they lie, partition after partition, by counts of each.
-        at = "__place"
-        marked = df.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-        begin = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        placed = marked.join(begin.drop("__n"), "__part").withColumn(at, F.col("__from") + F.col("__id").bitwiseAND(F.lit(2**33 - 1)))
+        at, part, row, n, first = fresh(df, "place", "part", "row", "n", "first")
+        marked = df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+        begin = marked.groupBy(part).agg(F.count(F.lit(1)).alias(n)).withColumn(first, F.coalesce(F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        placed = marked.join(begin.drop(n), part).withColumn(at, F.col(first) + F.col(row).bitwiseAND(F.lit(2**33 - 1)))
         return placed.withColumn(target, compile_expression(df, text, F.col(at))).select(*(name(c) for c in df.columns if c != target), name(target))
     return df.withColumn(target, compile_expression(df, text))

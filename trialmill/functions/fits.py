@@ -1,8 +1,10 @@
 """Maximum-likelihood fits of response-time distributions.
 
-Four families need nothing but means that combine before a shuffle. The others are fitted on the weighted values of a
-cell: distinct values with their counts, or, in a cell with more than BINS trials, the means and counts of BINS equal
-bins between its extremes. So no task ever holds more than BINS points of a cell, however many trials it has.
+Four families need nothing but means that combine before a shuffle. The others are fitted on the weighted points of a
+cell: means and counts of narrow bins that are equal on the scale asinh((x - median) / interquartile range), so they are
+fine where the data are and grow with the distance in the tails. The extremes are points of their own. An outlier, however
+far, adds one point and moves no other; the number of points grows with the logarithm of the spread, not with the number
+of trials; cells of all sizes are treated alike.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import special as S
-from .stats import name
+from .stats import beside, fresh, name
 
-#: Weighted points of a cell at most.
-BINS = 4096
+#: Bins for each interquartile range around the median, and the accuracy of the quartiles' sketch.
+STEPS, ACCURACY = 1024, 2000
 #: Smallest density that a point contributes to a likelihood.
 FLOOR = 1e-10
 
@@ -252,34 +254,35 @@ def from_means(op: str, x: Column) -> Column:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def gamma_parameters(means: pd.Series) -> pd.Series:
     """(ln mean - mean ln, mean) -> (shape, scale)."""
-    def one(v):
-        if v is None or v[0] is None or not v[0] > 0:
-            return None
-        k = float(gamma_shape(np.array([v[0]]))[0])
-        return [k, v[1] / k]
+    at = np.array([[np.nan, np.nan] if v is None else [np.nan if k is None else k for k in v] for v in means], dtype=float).reshape(-1, 2)
+    good = np.nan_to_num(at[:, 0]) > 0
+    k = gamma_shape(np.where(good, at[:, 0], 1.0))
+    return pd.Series([[a, b] if g else None for a, b, g in zip(k, at[:, 1] / k, good, strict=True)])
 
-    return means.map(one)
 
+def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STEPS) -> DataFrame:
+    """keys, points: the weighted points (x, w) of each cell in order.
 
-def weighted_values(df: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
-    """keys, points: the weighted values of each cell, at most `bins` of them; sums combine before every shuffle."""
-    x = name(value)
-    known = df.filter(x.isNotNull() & ~x.isin(float("inf"), float("-inf"))).select(*map(name, keys), x.alias("__x"))
-    first = known.groupBy(*map(name, keys), "__x").agg(F.count(F.lit(1)).alias("__w"))
-    size = first.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
+    One aggregation finds quartiles and extremes, a second one the bins; both combine before their shuffle.
+    """
+    given = df.filter(name(value).isNotNull() & ~name(value).isin(float("inf"), float("-inf")))
+    x, low, high, q, place = fresh(df, "x", "low", "high", "quartiles", "place")
+    given = given.select(*map(name, keys), name(value).alias(x))
+    aggregates = F.min(x).alias(low), F.max(x).alias(high), F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(q)
     if keys:
-        sized = first.join(size, keys)
+        sized = beside(given, given.groupBy(*map(name, keys)).agg(*aggregates), keys)
     else:
-        # Over no keys the size of the table is one row, read as a scalar.
-        one = size.agg(F.struct(*(F.first(c).alias(c) for c in ("__n", "__low", "__high"))).alias("s")).scalar()
-        sized = first.select("__x", "__w", one.alias("__s")).select("__x", "__w", "__s.*")
-    wide = F.floor((F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * bins)
-    place = F.when(F.col("__n") > bins, F.least(wide, F.lit(bins - 1)).cast("double")).otherwise(F.col("__x"))
-    binned = sized.groupBy(*map(name, keys), place.alias("__b")).agg((F.sum(F.col("__x") * F.col("__w")) / F.sum("__w")).alias("x"), F.sum("__w").cast("double").alias("w"))
-    return binned.groupBy(*map(name, keys)).agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("points"))
+        # Over no keys the statistics of the table are one row, read as a scalar.
+        one = given.agg(*aggregates).agg(F.struct(*(F.first(c).alias(c) for c in (low, high, q))).alias("s")).scalar()
+        sized = given.withColumn("s", one).select(x, "s.*")
+    width = F.coalesce(F.nullif(F.col(q)[2] - F.col(q)[0], F.lit(0.0)), F.nullif(F.col(high) - F.col(low), F.lit(0.0)), F.lit(1.0))
+    bin_ = F.floor(F.asinh((F.col(x) - F.col(q)[1]) / width) * steps).cast("double")
+    own = F.when(F.col(x) == F.col(low), float("-inf")).when(F.col(x) == F.col(high), float("inf")).otherwise(bin_)
+    binned = sized.groupBy(*map(name, keys), own.alias(place)).agg(F.avg(x).alias(x), F.count(F.lit(1)).cast("double").alias("w"))
+    return binned.groupBy(*map(name, keys)).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), "w"))).alias("points"))
 
 
-def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], bins: int = BINS) -> DataFrame:
+def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], steps: int = STEPS) -> DataFrame:
     """keys and, for each iterative family of ops, an array<double> fit0, fit1, ...; a family that cannot be fitted gives null."""
 
     @F.pandas_udf("array<array<double>>")
@@ -297,7 +300,7 @@ def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], bins:
             out.append(row)
         return pd.Series(out)
 
-    cells = weighted_values(df, keys, value, bins).select(*map(name, keys), fitted(F.col("points.x"), F.col("points.w")).alias("__f"))
+    cells = weighted_values(df, keys, value, steps).select(*map(name, keys), fitted(F.col("points.x"), F.col("points.w")).alias("__f"))
     return cells.select(*map(name, keys), *(F.col("__f")[i].alias(f"fit{i}") for i in range(len(ops))))
 
 

@@ -20,6 +20,33 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+#: Tasks over which the rows of one cell are spread when they meet the cell's statistics.
+SALTS = 16
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like these that df doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in wanted:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def beside(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of its row of cells, one for each combination of keys; rows whose keys cells doesn't have go.
+
+    Cells stand there SALTS times, so a cell with a large share of all rows meets its statistics in as many tasks. A few
+    cells are broadcast by the optimizer anyway.
+    """
+    (salt,) = fresh(df.join(cells.limit(0), keys) if keys else df, "salt")
+    salted = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    spread = cells.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*keys, salt]).drop(salt)
+
+
 def known(c: Column) -> Column:
     """NaN is a missing value."""
     return F.when(F.isnan(c), None).otherwise(c)

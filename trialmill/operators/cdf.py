@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fits, special
-from ..functions.stats import name, number
+from ..functions.stats import beside, fresh, name, number
 
 #: Trials that a cell needs.
 LEAST_TRIALS = 50
@@ -24,23 +24,25 @@ def pooled(df: DataFrame, var: str, keys: list[str], least: int = LEAST_TRIALS)
     own = df.drop(target).withColumn(var, number(df, var))
     if keys:
         own = own.filter(" and ".join(f"`{k}` is not null" for k in keys))
-    sizes = own.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < least).count()
-    if small or sizes.isEmpty():
+    sizes = own.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("trials"))
+    small, cells = sizes.agg(F.count_if(F.col("trials") < least), F.count(F.lit(1))).first()
+    if small or not cells:
         raise ValueError(f"{small or 'all'} cells have fewer than {least} trials")
 
     @F.pandas_udf(T.DoubleType())
     def probability(x: pd.Series, mu: pd.Series, sigma: pd.Series, tau: pd.Series) -> pd.Series:
         return pd.Series(special.exgauss_cdf(x.to_numpy(float), mu.to_numpy(float), sigma.to_numpy(float), tau.to_numpy(float)))
 
-    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"])
+    (fit,) = fresh(own, "fit")
+    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"]).withColumnRenamed("fit0", fit)
     if keys:
-        faced = own.join(params, keys, "left")
+        # Every cell has a row, with null where nothing could be fitted.
+        faced = beside(own, own.select(*map(name, keys)).distinct().join(params, keys, "left"), keys)
     else:
         got = params.first()
-        faced = own.withColumn("fit0", F.lit(got["fit0"] if got else None).cast("array<double>"))
-    p = probability(name(var), *(F.get("fit0", F.lit(i)) for i in range(3)))
-    return faced.withColumn(target, F.when(name(var).isNotNull() & F.col("fit0").isNotNull(), p)).drop("fit0")
+        faced = own.withColumn(fit, F.lit(got[fit] if got else None).cast("array<double>"))
+    p = probability(name(var), *(F.get(name(fit), F.lit(i)) for i in range(3)))
+    return faced.withColumn(target, F.when(name(var).isNotNull() & name(fit).isNotNull(), p)).drop(fit)
 
 
 def fit_omega(marked: DataFrame, target: str) -> tuple[float, float]:

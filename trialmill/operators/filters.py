@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.stats import MAD_SCALE, name, number, shifting_z
+from ..functions.stats import MAD_SCALE, beside, fresh, name, number, shifting_z
 from ..plans.rules import Cutoff, Rule, parse_rule
 from . import cdf
 
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+#: Rows of a cell that one task takes for its window.
+CELL_ROWS = 1_000_000
+_STATISTICS = ("mean", "sd", "n", "median", "mad")
 _NEEDS = {"raw": (), "sd": ("mean", "sd"), "shifting": ("mean", "sd", "n"), "mad": ("median", "mad")}
 
 
@@ -27,43 +30,48 @@ def _cut(c: Cutoff, x: Column, s: dict[str, Column]) -> Column:
 
 
 def _windowed(df: DataFrame, x: Column, keys: list[str], needs: set[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """Statistics of a row's cell by one window; rows stay where the keys put them, so more rules need no more shuffles."""
-    cell = W.partitionBy(*map(name, keys))
+    """Statistics of a row's cell by one window; rows stay where the keys put them, so more rules need no more shuffles. For cells that fit a task."""
+    cell, names = W.partitionBy(*map(name, keys)), _names(df)
     made = {"mean": lambda: F.avg(x), "sd": lambda: F.stddev_samp(x), "n": lambda: F.count(x), "median": lambda: F.median(x)}
     out = df
     for need in sorted(needs & made.keys() | ({"median"} if "mad" in needs else set())):
-        out = out.withColumn(f"__{need}", made[need]().over(cell))
+        out = out.withColumn(names[need], made[need]().over(cell))
     if "mad" in needs:
-        out = out.withColumn("__mad", F.median(F.abs(x - F.col("__median"))).over(cell))
-    return out, {n: F.col(f"__{n}") for n in needs}
+        out = out.withColumn(names["mad"], F.median(F.abs(x - name(names["median"]))).over(cell))
+    return out, {n: name(names[n]) for n in needs}
 
 
-def _aggregates(x: Column, needs: set[str], grouped: bool) -> list[Column]:
+def _names(df: DataFrame) -> dict[str, str]:
+    """Columns for statistics that df doesn't have yet."""
+    return dict(zip(_STATISTICS, fresh(df, *_STATISTICS), strict=True))
+
+
+def _aggregates(x: Column, needs: set[str], grouped: bool, names: dict[str, str]) -> list[Column]:
     made = {"mean": F.avg(x), "sd": F.stddev_samp(x), "n": F.count(x) if grouped else F.count(F.lit(1)), "median": F.median(x)}
-    return [made[n].alias(f"__{n}") for n in sorted(needs & made.keys() | ({"median"} if "mad" in needs else set()))]
+    return [made[n].alias(names[n]) for n in sorted(needs & made.keys() | ({"median"} if "mad" in needs else set()))]
 
 
 def _joined(df: DataFrame, x: Column, keys: list[str], needs: set[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """The same by aggregation and join: sums combine before the shuffle and adaptive execution splits a hot cell."""
-    stats = df.groupBy(*map(name, keys)).agg(*_aggregates(x, needs, True))
-    out = df.join(stats, keys)
+    """The same by aggregation and join: sums combine before the shuffle, and the rows of a large cell meet them in several tasks."""
+    names = _names(df)
+    out = beside(df, df.groupBy(*map(name, keys)).agg(*_aggregates(x, needs, True, names)), keys)
     if "mad" in needs:
-        out = out.join(out.groupBy(*map(name, keys)).agg(F.median(F.abs(x - F.col("__median"))).alias("__mad")), keys)
-    return out, {n: F.col(f"__{n}") for n in needs}
+        out = beside(out, out.groupBy(*map(name, keys)).agg(F.median(F.abs(x - name(names["median"]))).alias(names["mad"])), keys)
+    return out, {n: name(names[n]) for n in needs}
 
 
 def _overall(df: DataFrame, x: Column, needs: set[str], compat: frozenset[str]) -> dict[str, Column]:
     """Statistics of the whole table as scalars: one row, never a window over everything."""
-    row = df.agg(*_aggregates(x, needs, False)).collect()[0].asDict() if needs else {}
-    found = {k[2:]: F.lit(v) for k, v in row.items()}
+    row = df.agg(*_aggregates(x, needs, False, {n: n for n in _STATISTICS})).collect()[0].asDict() if needs else {}
+    found = {k: F.lit(v) for k, v in row.items()}
     if "mad" in needs:
         missing = "global_mad_nulls" in compat and not df.filter(x.isNull()).isEmpty()
-        mad = None if row["__median"] is None or missing else df.agg(F.median(F.abs(x - F.lit(row["__median"])))).first()[0]
+        mad = None if row["median"] is None or missing else df.agg(F.median(F.abs(x - F.lit(row["median"])))).first()[0]
         found["mad"] = F.lit(mad).cast("double")
     return found
 
 
-def apply_range(df: DataFrame, rule: Rule, keys: list[str], compat: frozenset[str] = frozenset(), skewed: bool = False) -> DataFrame:
+def apply_range(df: DataFrame, rule: Rule, keys: list[str], compat: frozenset[str] = frozenset(), skewed: bool | None = True) -> DataFrame:
     x = number(df, rule.var)
     needs = {n for c in rule.cutoffs for n in _NEEDS[c.kind]}
     out, stats = df, {}
@@ -104,8 +112,11 @@ def _is_number(text: str) -> bool:
     return True
 
 
-def apply_rules(df: DataFrame, rules: list[str], keys: list[str], omegas: list | None = None, compat: frozenset[str] = frozenset(), keep: str = "above", skewed: bool = False) -> DataFrame:
-    """All rules in order. omegas: one for each rule; only pooled-CDF rules use theirs (None or -1: only mark the rows)."""
+def apply_rules(df: DataFrame, rules: list[str], keys: list[str], omegas: list | None = None, compat: frozenset[str] = frozenset(), keep: str = "above", skewed: bool | None = None) -> DataFrame:
+    """All rules in order. skewed: whether a cell may be too large for a task; if not, rules on the same keys share one
+    exchange; None: it is measured, by one count over the keys. omegas: one for each rule; only pooled-CDF rules use theirs (None or -1: only mark the rows)."""
+    if skewed is None and keys and any(c.kind != "raw" for text in rules for c in parse_rule(text, compat).cutoffs):
+        skewed = (df.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > CELL_ROWS
     for i, text in enumerate(rules):
         rule = parse_rule(text, compat)
         if rule.var not in df.columns:

@@ -27,10 +27,19 @@ POOLING = "Pooling CDF"
 COMPAT = {
     "second_op": "the second clause of a compound range reads >= as > and <= as <",
     "strict_types": "an unquoted checklist number matches numeric columns only, a quoted one text columns only",
+    "loose_numbers": "a cutoff's number is the first run of digits in it, so .5 reads as 5 and 1e3 as 1, and a multiplier may be negative",
     "global_mad_nulls": "a global MAD cutoff is unknown if any value is missing",
 }
 
-_NUMBER = re.compile(r"-?\d+\.\d+|-?\d+")
+# How a number is found under "loose_numbers", and how the four kinds of cutoff are written.
+_LOOSE = re.compile(r"-?\d+\.\d+|-?\d+")
+_NUMBER = r"(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+_CUTOFFS = {
+    "raw": re.compile(rf"([+-]?{_NUMBER})"),
+    "sd": re.compile(rf"mean\s*[+-]\s*({_NUMBER})\s*\*\s*SD"),
+    "shifting": re.compile(r"mean\s*[+-]\s*Shifting Z\s*\*\s*SD"),
+    "mad": re.compile(rf"median\s*[+-]\s*({_NUMBER})\s*\*\s*MAD"),
+}
 _LITERAL = re.compile(r"\s*=\s*('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^\s=]+)\s*")
 
 
@@ -44,7 +53,7 @@ class Cutoff:
 
     def text(self) -> str:
         sign = "-" if self.op.startswith(">") else "+"
-        n = f"{self.number:g}"
+        n = f"{self.number:.17g}" if float(f"{self.number:g}") != self.number else f"{self.number:g}"
         return f"{self.op} " + {"raw": n, "sd": f"mean {sign} {n} * SD", "shifting": f"mean {sign} Shifting Z * SD", "mad": f"median {sign} {n} * MAD"}[self.kind]
 
 
@@ -66,18 +75,24 @@ class Rule:
         return f"{self.var}:" + "".join(f" = {v!r}" if isinstance(v, str) else f" = {v:g}" for v in self.values)
 
 
-def _cutoff(text: str, weaken: bool = False) -> Cutoff:
-    m = re.match(r"\s*(<=|>=|<|>)\s*(.*)", text, re.S)
+def _cutoff(text: str, weaken: bool = False, loose: bool = False) -> Cutoff:
+    """A comparator and a cutoff. The sign before a multiplier is decoration: the comparator decides the side."""
+    m = re.match(r"\s*(<=|>=|<|>)\s*(.*?)\s*$", text, re.S)
     if not m:
         raise ValueError(f"a range needs one of {', '.join(COMPARATORS)}: {text!r}")
     op, rest = m[1][0] if weaken else m[1], m[2]
-    if "Shifting Z" in rest:
-        return Cutoff(op, "shifting")
-    number = _NUMBER.search(rest)
-    if not number:
-        raise ValueError(f"no number in {text!r}")
-    # The sign before a multiplier is decoration: the comparator decides the side.
-    return Cutoff(op, "mad" if "MAD" in rest else "sd" if "SD" in rest else "raw", float(number[0]))
+    if loose:
+        if "Shifting Z" in rest:
+            return Cutoff(op, "shifting")
+        number = _LOOSE.search(rest)
+        if not number:
+            raise ValueError(f"no number in {text!r}")
+        return Cutoff(op, "mad" if "MAD" in rest else "sd" if "SD" in rest else "raw", float(number[0]))
+    for kind, pattern in _CUTOFFS.items():
+        read = pattern.fullmatch(rest)
+        if read:
+            return Cutoff(op, kind, float(read[1]) if pattern.groups else 0.0)
+    raise ValueError(f"a cutoff is a number, mean +/- number * SD, mean +/- Shifting Z * SD or median +/- number * MAD, not {rest!r}")
 
 
 def parse_rule(text: str, compat: frozenset[str] = frozenset()) -> Rule:
@@ -89,13 +104,12 @@ def parse_rule(text: str, compat: frozenset[str] = frozenset()) -> Rule:
     if expression == POOLING:
         return Rule(var, "cdf")
     if expression[:1] in "<>" and expression:
-        for joint in ("and", "or"):
-            parts = re.split(rf"\s{joint}\s", expression)
-            if len(parts) > 2:
-                raise ValueError(f"at most two clauses: {text!r}")
-            if len(parts) == 2:
-                return Rule(var, "range", (_cutoff(parts[0]), _cutoff(parts[1], "second_op" in compat)), joint)
-        return Rule(var, "range", (_cutoff(expression),))
+        loose = "loose_numbers" in compat
+        parts = re.split(r"\s(and|or)\s", expression)
+        if len(parts) > 3:
+            raise ValueError(f"at most two clauses: {text!r}")
+        cutoffs = tuple(_cutoff(c, i > 0 and "second_op" in compat, loose) for i, c in enumerate(parts[::2]))
+        return Rule(var, "range", cutoffs, parts[1] if len(parts) > 1 else "")
     values, at = [], 0
     while at < len(expression):
         m = _LITERAL.match(expression, at)
