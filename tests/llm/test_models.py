@@ -43,6 +43,19 @@ def test_langid_features_are_of_each_text_alone():
         assert np.allclose(both[i], langid.features([t])[0])
 
 
+def test_langid_draws_rows_and_counts_long_texts_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {k} of one id", "en", "s", 0) for k in range(300)] + [(1, "same", "en", "s", 0)] * 50 + [(None, "ohne id", "de", "s", 0)], SCHEMA)
+    seen = []
+    monkeypatch.setattr(langid, "Model", lambda x, langs: seen.append((len(x), sorted(set(langs)))))
+    langid.fit(docs, 21)
+    langid.fit(docs, 1000)
+    assert seen[0][0] == 21 and seen[1] == (302, ["de", "en"])
+    text = "der hund und die katze, été ".encode() * 50
+    whole = langid.features([text, b"a", b"the cat" * 30])
+    monkeypatch.setattr(langid, "STEP", 37)
+    assert np.allclose(langid.features([text, b"a", b"the cat" * 30]), whole)
+
+
 def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, SF, "labels").collect()}
     rows = [r for r in toxicity.op8_toxicity(spark, SF).collect()]

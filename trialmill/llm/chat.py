@@ -57,14 +57,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def overlap(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Sorted token spans and sorted text spans -> mask of the tokens that reach into a span, and the covered parts of each span."""
     mask, covered = np.zeros(len(starts), dtype=bool), []
-    for a, z in spans:
-        x, y = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, z, side="left")
+    begin, end = (np.array(x, dtype=np.int64) for x in zip(*spans, strict=True)) if spans else (np.empty(0, dtype=np.int64),) * 2
+    first, last = np.searchsorted(ends, begin, side="right"), np.searchsorted(starts, end, side="left")
+    for a, z, x, y in zip(begin.tolist(), end.tolist(), first.tolist(), last.tolist(), strict=True):
+        if x >= y or a >= z:
+            continue
         mask[x:y] |= ends[x:y] > starts[x:y]
-        at = a
-        for i in range(x, y):  # tokens of one character's bytes share its span
-            if ends[i] > at:
-                covered.append((max(at, int(starts[i])), min(z, int(ends[i]))))
-                at = covered[-1][1]
+        # Tokens of one character's bytes share its span; a part begins where a token leaves a gap behind all before it.
+        low, high = np.maximum(starts[x:y], a), np.maximum.accumulate(np.minimum(ends[x:y], z))
+        cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+        parts = zip(low[np.concatenate(([0], cut))].tolist(), high[np.concatenate((cut - 1, [y - x - 1]))].tolist(), strict=True)
+        covered += [(p, q) for p, q in parts if q > p]
     return mask, covered
 
 
@@ -91,25 +94,29 @@ def default_tokenizer() -> str:
 SCHEMA = "conv_id long, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, loss_spans array<array<int>>"
 
 
-def format_chats(conversations: DataFrame, path: str | None = None, learned: str = LEARNED) -> DataFrame:
+def format_chats(conversations: DataFrame, path: str | None = None, learned: str = LEARNED, tokens: bool = True) -> DataFrame:
     """One row for each conversation: its formatted text, tokens with offsets, loss mask and the spans of text under it.
 
+    tokens=False leaves out the columns of single tokens, for whoever only wants the spans that they cover.
+
     Turns go by turn, ties by role and text; repeated turns stay. Null texts and roles are empty; null turn numbers come
     first; rows with null conv_id form a conversation of their own. Empty texts have no loss. An empty table gives an
     empty result; other columns are ignored. One conversation becomes one row, so it has to fit a task; no more than
     one is held at a time.
     """
     path = path or default_tokenizer()
+    columns = [c for c in SCHEMA.split(", ") if tokens or not c.startswith(("token_", "loss_mask"))]
 
     def one(conv, turns: list[tuple[str, str]]) -> tuple:
         text, spans = render(turns)
         enc = tokenizer(path).encode(text, add_special_tokens=False)
         offsets = np.asarray(enc.offsets, dtype=np.int64).reshape(-1, 2)
         mask, covered = overlap(offsets[:, 0], offsets[:, 1], [s for s, (role, _) in zip(spans, turns, strict=True) if role == learned])
-        return (conv, len(turns), text, enc.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist(), [list(c) for c in covered])
+        single = (np.array(enc.ids, dtype=np.int32), offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32), mask) if tokens else ()
+        return (conv, len(turns), text, *single, [list(c) for c in covered])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask", "loss_spans"]
+        names = [c.split()[0] for c in columns]
         open_, turns, rows, size = None, [], [], 0
         for b in batches:
             for conv, lone, role, text in zip(b["conv_id"], b["lone"], b["role"], b["text"], strict=True):
@@ -131,7 +138,7 @@ def format_chats(conversations: DataFrame, path: str | None = None, learned: str
     empty = F.lit("")
     turns = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("lone"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     dealt = turns.repartition("conv_id", "lone").sortWithinPartitions("conv_id", "lone", "turn", "role", "text")
-    return dealt.select("conv_id", "lone", "role", "text").mapInPandas(each, SCHEMA)
+    return dealt.select("conv_id", "lone", "role", "text").mapInPandas(each, ", ".join(columns))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
-    return digests(format_chats(given.unionByName(extra)))
+    return digests(format_chats(given.unionByName(extra), tokens=False))
 
 
 QUERIES = {"op10_chat_format": op10_chat_format}

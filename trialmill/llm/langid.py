@@ -23,6 +23,8 @@ FAMILIES = {
 #: Labelled rows that the SVMs are fitted on at most, and buckets of hashed byte n-grams.
 SAMPLE, BUCKETS = 4000, 2048
 GRAMS = (1, 2, 3)
+#: Bytes of text that are counted at once.
+STEP = 1 << 19
 EPOCHS, COST = 12, 1.0
 
 
@@ -33,20 +35,25 @@ def family(lang: str) -> str:
 def features(texts: list[bytes]) -> np.ndarray:
     """Rows of unit length: square roots of the shares of hashed byte n-grams of whole lower-cased texts."""
     out = np.zeros((len(texts), BUCKETS))
-    for begin, end in chunks(texts, 1 << 19):
-        data = np.frombuffer(b"".join(b" " + t + b" " for t in texts[begin:end]), dtype=np.uint8).astype(np.uint64)
+    p = powers(0x9E3779B97F4A7C15, 5)
+    for begin, end in chunks(texts, STEP):
+        joined = b"".join(b" " + t + b" " for t in texts[begin:end])
         lengths = np.fromiter((len(t) + 2 for t in texts[begin:end]), dtype=np.int64, count=end - begin)
-        row = np.repeat(np.arange(end - begin), lengths)
-        p = powers(0x9E3779B97F4A7C15, 5)
-        for n in GRAMS:
-            own = len(row) - n + 1
-            code = np.zeros(own, dtype=np.uint64)
-            for k in range(n):
-                code += (data[k : k + own] + np.uint64(1)) * p[k + 1]
-            bucket = ((code ^ (code >> np.uint64(29))) * p[1] >> np.uint64(40)) % np.uint64(BUCKETS)
-            inside = row[:own] == row[n - 1 :]  # no gram reaches into the next text
-            counts = np.bincount((row[:own] * BUCKETS + bucket.astype(np.int64))[inside], minlength=(end - begin) * BUCKETS)
-            out[begin:end] += counts.reshape(end - begin, BUCKETS)
+        last = np.cumsum(lengths)
+        # A long text comes in parts, each with the bytes before it that its first grams need.
+        for at in range(0, len(joined), 2 * STEP):
+            before = min(at, max(GRAMS) - 1)
+            data = np.frombuffer(joined, dtype=np.uint8, count=min(2 * STEP, len(joined) - at) + before, offset=at - before).astype(np.uint64)
+            row = np.searchsorted(last, np.arange(at - before, at - before + len(data)), side="right")
+            for n in GRAMS:
+                own = len(row) - n + 1
+                code = np.zeros(max(own, 0), dtype=np.uint64)
+                for k in range(n):
+                    code += (data[k : k + own] + np.uint64(1)) * p[k + 1]
+                bucket = ((code ^ (code >> np.uint64(29))) * p[1] >> np.uint64(40)) % np.uint64(BUCKETS)
+                inside = (row[:own] == row[n - 1 :]) & (np.arange(own) + n > before)  # no gram reaches into the next text or was counted before
+                counts = np.bincount((row[:own] * BUCKETS + bucket.astype(np.int64))[inside], minlength=(end - begin) * BUCKETS)
+                out[begin:end] += counts.reshape(end - begin, BUCKETS)
     out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
@@ -111,9 +118,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from text and lang of labelled rows: those `sample` rows whose id hashes lowest; rows without lang or text are left out."""
-    rows = labelled.filter("lang is not null and text is not null")
-    ids = materialise(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    """A model from text and lang of labelled rows: those `sample` rows whose id hashes lowest; rows without lang or text are left out.
+
+    Rows are drawn, not ids: rows that share an id count each, and identical rows count once.
+    """
+    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    own = ["doc_id", "lang", "mark"]
+    ids = materialise(rows.select(own).distinct().orderBy(F.xxhash64("doc_id"), *own).limit(sample))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,7 +133,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             x = features([t.lower().encode("utf-8", "surrogatepass") for t in b["text"]]).astype(np.float32)
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "x": [r.tobytes() for r in x]})
 
-    drawn = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").mapInPandas(each, "doc_id long, lang string, x binary").toPandas()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in own]
+    drawn = rows.alias("r").join(F.broadcast(ids.alias("i")), same, "left_semi").dropDuplicates(own)
+    drawn = drawn.select("doc_id", "lang", "text").mapInPandas(each, "doc_id long, lang string, x binary").toPandas()
     drawn = drawn.sort_values(["doc_id", "lang", "x"])
     x = np.frombuffer(b"".join(drawn["x"]), dtype=np.float32).reshape(-1, BUCKETS).astype(np.float64)
     return Model(x, drawn["lang"].tolist())
