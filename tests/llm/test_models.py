@@ -127,6 +127,44 @@ def test_crf_gradient_and_viterbi():
     assert abs(step[0, 4] - (1 - expected)) < 1e-8
 
 
+def test_tokens_and_paths_against_plain_versions():
+    rng, field = random.Random(1), pii.trained()
+    for _ in range(200):
+        t = "".join(rng.choice("aAbZ 09\n.@é漢-+/\x1f\u3000ÿdotDOTat") for _ in range(rng.randint(0, 200)))
+        raw = pii.narrow(t)
+        start, end, kind = pii.tokens(raw)
+        plain = list(pii._TOKEN.finditer(t))
+        assert [m.span() for m in plain] == list(zip(start, end))
+        assert [pii.SHAPES[i] for i in pii.shape_places(raw, start, end, kind)] == [pii.shape(m[0]) for m in plain]
+    known = list(field.at)
+    batch = [[rng.choice(known) for _ in range(n)] for n in (0, 1, 5, 63, 64, 65, 0, 128, 129, 300, 2000, 3)]
+    for shapes, labels in zip(batch, field.decode(batch), strict=True):
+        assert len(shapes) == len(labels)
+        if shapes:
+            e = field.scores(field.codes(shapes))
+            best, came = e[0], []
+            for row in e[1:]:
+                ways = best[:, None] + field.step
+                came.append(ways.argmax(axis=0))
+                best = ways.max(axis=0) + row
+            path = [int(best.argmax())]
+            for c in came[::-1]:
+                path.append(int(c[path[-1]]))
+            assert labels.tolist() == path[::-1]
+
+
+def test_added_spans_on_held_out_rows():
+    rows = [pii.sentence(r) for r in pii.labelled_table(77)] + [("x " * 300_000 + "call (212) 555-0143, ok", [(600_005, 600_019, "phone")])]
+    base = [pii.base_spans(t) for t, _ in rows]
+    added = pii.added_spans(pii.trained(), [t for t, _ in rows], base)
+    hit = found = real = 0
+    for (_, spans), b, a in zip(rows, base, added, strict=True):
+        want = {s for s in spans if not any(s[0] < e and z < s[1] for z, e, _ in b)}
+        hit, found, real = hit + len(want & set(a)), found + len(a), real + len(want)
+    assert real > 100 and hit / found > 0.95 and hit / real > 0.9
+    assert added[-1] == rows[-1][1]
+
+
 def test_secrets_match_a_plain_scan(spark):
     key = "d7a8fbb307d7809469ca9abcb0082e4f8d5651e4"
     texts = ODD + [f'x token = "{key}" y', f"commit {key} ok", f"é漢 password: Zx9{key[:20]}Q\nsecret={key}", "see https://www.example.com/path/index2/page.html", "plainwordswithoutdigits " * 20, "550e8400-e29b-41d4-a716-446655440000", key * 3 + "_"]
