@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import regex
 
 from trialmill.llm import common, langid, pii, secrets, toxicity
 
@@ -167,17 +168,29 @@ def test_added_spans_on_held_out_rows():
 
 def test_secrets_match_a_plain_scan(spark):
     key = "d7a8fbb307d7809469ca9abcb0082e4f8d5651e4"
-    texts = ODD + [f'x token = "{key}" y', f"commit {key} ok", f"é漢 password: Zx9{key[:20]}Q\nsecret={key}", "see https://www.example.com/path/index2/page.html", "plainwordswithoutdigits " * 20, "550e8400-e29b-41d4-a716-446655440000", key * 3 + "_"]
+    texts = ODD + [f'x token = "{key}" y', f"commit {key} ok", f"é漢 password: Zx9{key[:20]}Q\nsecret={key}", "see https://www.example.com/path/index2/page.html", "plainwordswithoutdigits " * 20, "550e8400-e29b-41d4-a716-446655440000", key * 3 + "_", "password = Tr0ub4dor&3, ok", "é token: required. pwd:'s3cr!t9x' secret == short", "-----BEGIN RSA PRIVATE KEY-----\nMIIB+/a9\nxyz=\n-----END RSA PRIVATE KEY----- end", "key aBcdEFghIjkLmnOPqrSTuvWX here"]
     model = secrets.forest(spark)
     got = secrets.findings(frame(spark, texts), model).collect()
     pattern = secrets.CANDIDATE
-    want = {(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in re.finditer(pattern, t or "")}
+    want = {(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in regex.finditer(pattern, t or "")}
     assert {(r["doc_id"], r["start"], r["end"], r["secret"]) for r in got} == want
     sure = {(r["doc_id"], r["secret"]) for r in got if r["is_secret"]}
     assert (9, key) in sure and (11, key) in sure and (10, key) not in sure and not any(i in (12, 14) for i, _ in sure)
     assert secrets.findings(frame(spark, ODD).limit(0), model).count() == 0
 
 
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(seed=404, each=12)
+    docs = frame(spark, [a + c + z for a, c, z, _ in rows])
+    got = {}
+    for r in secrets.findings(docs, secrets.forest(spark)).collect():
+        got.setdefault(r["doc_id"], []).append((r["secret"], r["is_secret"]))
+    found = [any(c.startswith(x[0]) and x[1] or x[0] == c and x[1] for x in got.get(i, [])) for i, (_, c, _, _) in enumerate(rows)]
+    hit = sum(f and y for f, (*_, y) in zip(found, rows, strict=True))
+    print("precision", hit / sum(found), "recall", hit / sum(y for *_, y in rows))
+    assert hit / sum(found) > 0.95 and hit / sum(y for *_, y in rows) > 0.95
+
+
 def test_forest_column_equals_its_trees(spark):
     rng = np.random.default_rng(0)
     x = rng.random((200, 3))

@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 
 from .common import id_text, table
 
-#: A candidate: at least 16 characters that keys are made of, with a letter and a digit, and padding behind them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+"
+#: Words that name a secret when a value is assigned to them.
+NAMES = "password|passwd|passphrase|pwd|secret|token|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth"
+_EDGE, _VALUE = "(?<![A-Za-z0-9_+/-])", "[^\\s\"'`,;<>(){}\\[\\]]"
+#: Candidates: a private key block; six or more characters assigned to such a word; 16 or more characters that keys are
+#: made of, with a letter and a digit, and padding behind them; 20 or more letters whose case changes three times.
+CANDIDATE = "|".join((
+    "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    f"(?<=[\\s\"'`=:])(?={_VALUE}{{6}})(?<=[=:][\\s\"'`]{{0,3}})(?<=(?i:{NAMES})[\"'`]?\\s{{0,2}}[=:]{{1,2}}\\s{{0,2}}[\"'`]?){_VALUE}{{6,}}(?<![.:])",
+    f"{_EDGE}(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}+",
+    f"{_EDGE}(?=(?:[A-Z]*+[a-z]++){{2}}[A-Z])[A-Za-z]{{20,}}+={{0,2}}+",
+))
 #: Characters before and after a candidate that its features see.
 BEFORE, AFTER = 48, 16
 #: Trees, their depth, and the share of trees that makes a finding.
-TREES, DEPTH, ACCEPT = 15, 4, 0.5
+TREES, DEPTH, ACCEPT = 15, 6, 0.5
 #: Words that secrets rarely spell, words beside secrets, words beside harmless digests.
 DICTIONARY = ("access", "admin", "and", "app", "build", "cache", "class", "client", "code", "com", "config", "data", "default", "docs", "edit", "example", "false", "file", "for", "from", "get", "home", "image", "index", "key", "lib", "list", "local", "main", "model", "name", "new", "node", "org", "page", "path", "post", "release", "report", "server", "src", "static", "table", "test", "the", "this", "true", "update", "user", "value", "version", "view", "with", "www")
 BESIDE_SECRET = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
@@ -43,6 +52,8 @@ def features() -> dict[str, Column]:
         "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
+        "kinds": flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[0-9]")) + flag(c.rlike("[^A-Za-z0-9_-]")),
+        "block": flag(c.startswith("-----BEGIN")),
         "path": flag(c.rlike("/.*/") | F.col("before").rlike("(://|[./\\\\])[^ ]*$") | F.col("after").rlike("^[.][a-z]")),
         "uuid": flag(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"'`]?$")),
@@ -61,8 +72,11 @@ def labelled_findings(seed: int = 5, each: int = 30) -> list[tuple[str, str, str
     word = lambda: rng.choice(DICTIONARY)
     filler = lambda: rng.choice(["and then the ", "x\n", "see here, ", "la de ", "of in. "])
     named = lambda: filler() + rng.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "API key", "client_secret"])
+    password = lambda: rng.choice(["Tr", "hunt", "pa", "blue", "Sun", "xK"]) + some(string.digits, rng.randint(1, 3)) + some(string.ascii_letters, rng.randint(2, 4)) + rng.choice("!@#$%&*+.?") + some(alnum, rng.randint(1, 4))
+    mixed = lambda n: "aBc" + some(string.ascii_letters, n - 4) + "D"
     rows = []
     for _ in range(each):
+        kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
         q = rng.choice(['"', "'", ""])
         to = rng.choice([" = ", "=", ": ", " is "]) + q
         rows += [
@@ -79,6 +93,18 @@ def labelled_findings(seed: int = 5, each: int = 30) -> list[tuple[str, str, str
             (filler() + rng.choice(["secret = ", "token: "]), "_".join(word() for _ in range(4)) + f"_{rng.randint(1, 99)}", "", 0),
             (filler(), some(string.ascii_lowercase, rng.randint(14, 24)) + str(rng.randint(1, 99)), rng.choice([" ", ", ", "."]), 0),
             (filler() + "password = ", "-".join(["x" * 4] * 4) + "1", "", 0),
+            # Short values of words that name secrets, keys without digits, key blocks:
+            (named() + to, password(), q + " or", 1),
+            (named() + to, password(), q, 1),
+            (named() + to, some(alnum, rng.randint(8, 15)), q, 1),
+            (filler() + rng.choice(["", named() + to]), mixed(rng.randint(20, 40)), q + " ", 1),
+            (filler(), f"-----BEGIN {kind}PRIVATE KEY-----\n{some(b64, 64)}\n{some(b64, 40)}==\n-----END {kind}PRIVATE KEY-----", "\n", 1),
+            (named() + to, word() + rng.choice(["", "_" + word(), word()]) + "_name", q + " ", 0),
+            (named() + to, rng.choice(["required", "optional", "string", "undefined", "changeme", "disabled", "expired", "missing", "invalid", "placeholder", some(string.ascii_lowercase, rng.randint(6, 12))]), q + " ", 0),
+            (named() + to, rng.choice("x*.#") * rng.randint(6, 12) + "x", q, 0),
+            (named() + to, word() + "." + word() + "." + word(), q, 0),
+            (filler(), word() + "".join(word().capitalize() for _ in range(5)) + "Value", rng.choice(["(", " ", ";"]), 0),
+            (named() + to, word() + "".join(word().capitalize() for _ in range(5)), q + ";", 0),
         ]
     return rows
 
@@ -150,10 +176,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     rows = id_text(docs).filter(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
-    # The last gap has no candidate after it.
-    each = cut.select("row", "doc_id", "gaps", F.posexplode("found").alias("i", "candidate"))
-    parts = each.select("row", "doc_id", "i", "candidate", F.length(F.col("gaps")[F.col("i")]).alias("gap"), F.col("gaps")[F.col("i")].alias("front"), F.substring(F.col("gaps")[F.col("i") + 1], 1, AFTER).alias("after"))
-    parts = parts.withColumn("before", F.expr(f"right(front, {BEFORE})")).drop("front")
+    # Each finding takes along the ends of the gaps beside it, not the whole text.
+    beside = F.transform("found", lambda c, i: F.struct(i.alias("i"), c.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"), F.substring(F.get("gaps", i), -BEFORE, BEFORE).alias("before"), F.substring(F.get("gaps", i + 1), 1, AFTER).alias("after")))
+    parts = cut.select("row", "doc_id", F.explode(beside).alias("one")).select("row", "doc_id", "one.*")
     line = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("candidate")).over(line)
     return parts.withColumn("end", end).select("doc_id", (F.col("end") - F.length("candidate")).alias("start"), "end", "candidate", "before", "after")
