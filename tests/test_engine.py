@@ -284,7 +284,7 @@ def test_binned_fit_is_the_exact_one_with_outliers_too(spark, outlier):
     x = x if outlier is None else np.append(x, outlier)
     for op in ("Ex-Gaussian (μ, σ, τ)", "Weibull (k, θ)", "Shifted Wald (m, a, shift)"):
         df = spark.createDataFrame([("g", float(v)) for v in x], "k string, x double").repartition(3)
-        got = fits.fit_cells(df, ["k"], "x", [op]).first()["fit0"]
+        got = fits.fit_cells(df, ["k"], "x", [op]).first()[1]
         assert np.allclose(fits.ITERATIVE[op](np.sort(x), np.ones(len(x))), got, rtol=0.01), op
     points = fits.weighted_values(df, ["k"], "x").first()["points"]
     assert points[-1]["x"] == x.max() and points[0]["x"] == x.min() and sum(p["w"] for p in points) == len(x)

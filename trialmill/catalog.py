@@ -118,6 +118,19 @@ def agg_multi_target(spark, sf_dir):
     return _rounded(_trials(spark, sf_dir, "lineitem").summarize(["l_returnflag"], ["l_linestatus"], [], [f"{x}@{op}" for x, op in _MULTI]), "value")
 
 
+# --- medians, modes and deviations of cells that no task could hold -----------------------------------------------------------------------------------------
+def _large(targets: list[str], keys: list[str]) -> Query:
+    return lambda spark, sf_dir: _rounded(_trials(spark, sf_dir, "lineitem").summarize(keys, [], [], targets, skewed=True), "value")
+
+
+QUERIES["agg_median_large_cells"] = _large(["l_extendedprice@Median", "l_quantity@Median", "l_discount@Mean"], ["l_returnflag"])
+ORACLE["agg_median_large_cells"] = " UNION ALL ".join(_agg_sql(op, ["l_returnflag"], x, "lineitem") for x, op in (("l_extendedprice", "Median"), ("l_quantity", "Median"), ("l_discount", "Mean")))
+QUERIES["agg_mode_large_cells"] = _large(["l_extendedprice@Mode", "l_quantity@Mode"], ["l_linestatus"])
+ORACLE["agg_mode_large_cells"] = f"{_agg_sql('Mode', ['l_linestatus'], 'l_extendedprice', 'lineitem')} UNION ALL {_agg_sql('Mode', ['l_linestatus'], 'l_quantity', 'lineitem')}"
+QUERIES["agg_median_one_cell"] = _large(["l_extendedprice@Median", "l_extendedprice@Mode", "l_extendedprice@Variance"], [])
+ORACLE["agg_median_one_cell"] = " UNION ALL ".join(_agg_sql(op, [], "l_extendedprice", "lineitem") for op in ("Median", "Mode", "Variance"))
+
+
 # --- filters ---------------------------------------------------------------------------------------------------------
 def _kept(rules: list[str], keys: list[str], **options) -> Query:
     return lambda spark, sf_dir: _trials(spark, sf_dir).filter(keys, [], rules, **options).select("event_id", "value")
@@ -138,6 +151,8 @@ def _stat_sql(kind: str, keys: str, source: str = "events") -> str:
     return f"SELECT * EXCLUDE (m, s, n) FROM (SELECT *, avg(value) {over} AS m, stddev_samp(value) {over} AS s, count(value) {over} AS n FROM {source}) WHERE value < m + {z} * s"
 
 
+QUERIES["filter_mad_one_cell"] = _kept(["value:<= median + 3 * MAD"], [], skewed=True)
+ORACLE["filter_mad_one_cell"] = f"SELECT event_id, value FROM ({_stat_sql('mad', '')})"
 _RULE = {"sd": "value:< mean + 1.5 * SD", "mad": "value:<= median + 3 * MAD", "shiftz": "value:< mean + Shifting Z * SD"}
 for _kind, _rule in _RULE.items():
     QUERIES[f"filter_{_kind}_global"] = _kept([_rule], [])
@@ -147,6 +162,18 @@ for _kind, _rule in _RULE.items():
     QUERIES[f"filter_{_kind}_grouped_skewed"] = _kept([_rule], ["event_type"], skewed=True)
     ORACLE[f"filter_{_kind}_grouped_skewed"] = f"SELECT event_id, value FROM ({_stat_sql(_kind, 'event_type')})"
 
+_BOTH_SIDES = "l_extendedprice:> median - 1 * MAD and < median + 1.5 * MAD"
+
+
+@query(
+    "filter_mad_large_cells",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, median(abs(l_extendedprice - m)) OVER (PARTITION BY l_returnflag) AS d FROM "
+    "(SELECT *, median(l_extendedprice) OVER (PARTITION BY l_returnflag) AS m FROM lineitem)) WHERE l_extendedprice > m - 1.4826 * d AND l_extendedprice < m + 1.5 * 1.4826 * d",
+)
+def filter_mad_large_cells(spark, sf_dir):
+    return _trials(spark, sf_dir, "lineitem").filter(["l_returnflag"], [], [_BOTH_SIDES], skewed=True).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 for _key, _rule, _where in (
     ("filter_raw", "value:>= 20", "value >= 20"),
     ("filter_and", "value:> 10 and < 80.5", "value > 10 AND value < 80.5"),

@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import expressions
+from .functions.stats import shape
 from .operators import cdf, filters, summary
 from .plans.rules import SummaryPlan, Target
 from .sources import matlab, tables
@@ -59,8 +60,11 @@ class TrialData:
         data = self.data
         for t in dict.fromkeys(Target.parse(t).var for t in targets):
             data = data.withColumn(t, filters.number(data, t))
-        kept = filters.apply_rules(data, rules, [*rows, *cols], omegas, self.compat, keep, skewed)
-        result = summary.summarize(kept, rows, cols, targets)
+        keys, known_as = [*rows, *cols], None
+        if skewed is None and (filters.needs_shape(rules, keys, self.compat) or any(Target.parse(t).op in summary.GATHERED for t in targets)):
+            known_as = shape(data, keys)  # cells only shrink when rules drop rows
+        kept = filters.apply_rules(data, rules, keys, omegas, self.compat, keep, skewed, known_as)
+        result = summary.summarize(kept, rows, cols, targets, skewed, known_as)
         self.results.append(result)
         log.info("summary of %s by %s and %s under %s", targets, rows, cols, rules)
         return result

@@ -283,14 +283,14 @@ def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STE
 
 
 def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], steps: int = STEPS) -> DataFrame:
-    """keys and, for each iterative family of ops, an array<double> fit0, fit1, ...; a family that cannot be fitted gives null."""
+    """keys and, for each iterative family of ops, an array<double>, in this order; a family that cannot be fitted gives null."""
 
     @F.pandas_udf("array<array<double>>")
     def fitted(points_x: pd.Series, points_w: pd.Series) -> pd.Series:
         out = []
         for xs, ws in zip(points_x, points_w, strict=True):
             x, w = np.asarray(xs, dtype=float), np.asarray(ws, dtype=float)
-            row = []
+            row: list = []
             for op in ops:
                 try:
                     got = ITERATIVE[op](x, w) if len(x) > 1 else None
@@ -300,8 +300,9 @@ def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], steps:
             out.append(row)
         return pd.Series(out)
 
-    cells = weighted_values(df, keys, value, steps).select(*map(name, keys), fitted(F.col("points.x"), F.col("points.w")).alias("__f"))
-    return cells.select(*map(name, keys), *(F.col("__f")[i].alias(f"fit{i}") for i in range(len(ops))))
+    all_, *out_ = fresh(df.select(*map(name, keys)), "fits", *(f"fit{i}" for i in range(len(ops))))
+    cells = weighted_values(df, keys, value, steps).select(*map(name, keys), fitted(F.col("points.x"), F.col("points.w")).alias(all_))
+    return cells.select(*map(name, keys), *(name(all_)[i].alias(f) for i, f in enumerate(out_)))
 
 
 def simulate(op: str, params: list[float], n: int, seed: int = 42) -> np.ndarray:

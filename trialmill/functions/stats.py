@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,27 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-#: Tasks over which the rows of one cell are spread when they meet the cell's statistics.
-SALTS = 16
+#: Rows of a cell that one task takes, tasks over which the rows of one cell are spread when they meet its statistics if nothing is
+#: known about its size, the most such tasks, and cells whose statistics may be broadcast.
+CELL_ROWS, SALTS, MOST_SALTS, FEW = 1_000_000, 16, 1024, 10_000
+
+
+class Shape(NamedTuple):
+    """What is known about the cells of a table: rows of the largest one, and how many there are. Both only shrink when rows go."""
+
+    largest: int
+    cells: int
+
+    @property
+    def skewed(self) -> bool:
+        """Whether a cell may be too large for a task."""
+        return self.largest > CELL_ROWS
+
+
+def shape(df: DataFrame, keys: list[str]) -> Shape:
+    """Measured by one count over the keys."""
+    n, cells = df.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    return Shape(n or 0, cells)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -35,15 +55,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def beside(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+def beside(df: DataFrame, cells: DataFrame, keys: list[str], known_as: Shape | None = None) -> DataFrame:
     """df with the columns of its row of cells, one for each combination of keys; rows whose keys cells doesn't have go.
 
-    Cells stand there SALTS times, so a cell with a large share of all rows meets its statistics in as many tasks. A few
-    cells are broadcast by the optimizer anyway.
+    Few cells, if that was measured, are broadcast. Else cells stand there once for each salt, so a cell with a large share
+    of all rows meets its statistics in several tasks: as many as its measured size asks for.
     """
+    if known_as is not None and known_as.cells <= FEW:
+        return df.join(F.broadcast(cells), keys)
+    salts = SALTS if known_as is None else min(MOST_SALTS, 1 + known_as.largest // CELL_ROWS)
     (salt,) = fresh(df.join(cells.limit(0), keys) if keys else df, "salt")
-    salted = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    spread = cells.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = cells.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*keys, salt]).drop(salt)
 
 

@@ -34,7 +34,8 @@ def pooled(df: DataFrame, var: str, keys: list[str], least: int = LEAST_TRIALS)
         return pd.Series(special.exgauss_cdf(x.to_numpy(float), mu.to_numpy(float), sigma.to_numpy(float), tau.to_numpy(float)))
 
     (fit,) = fresh(own, "fit")
-    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"]).withColumnRenamed("fit0", fit)
+    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"])
+    params = params.withColumnRenamed(params.columns[-1], fit)
     if keys:
         # Every cell has a row, with null where nothing could be fitted.
         faced = beside(own, own.select(*map(name, keys)).distinct().join(params, keys, "left"), keys)

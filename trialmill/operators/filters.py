@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.stats import MAD_SCALE, beside, fresh, name, number, shifting_z
+from ..functions.stats import MAD_SCALE, Shape, beside, fresh, name, number, shape, shifting_z
 from ..plans.rules import Cutoff, Rule, parse_rule
-from . import cdf
+from . import cdf, selection
 
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-#: Rows of a cell that one task takes for its window.
-CELL_ROWS = 1_000_000
 _STATISTICS = ("mean", "sd", "n", "median", "mad")
 _NEEDS = {"raw": (), "sd": ("mean", "sd"), "shifting": ("mean", "sd", "n"), "mad": ("median", "mad")}
 
@@ -47,40 +45,48 @@ def _names(df: DataFrame) -> dict[str, str]:
 
 
 def _aggregates(x: Column, needs: set[str], grouped: bool, names: dict[str, str]) -> list[Column]:
-    made = {"mean": F.avg(x), "sd": F.stddev_samp(x), "n": F.count(x) if grouped else F.count(F.lit(1)), "median": F.median(x)}
-    return [made[n].alias(names[n]) for n in sorted(needs & made.keys() | ({"median"} if "mad" in needs else set()))]
+    made = {"mean": F.avg(x), "sd": F.stddev_samp(x), "n": F.count(x) if grouped else F.count(F.lit(1))}
+    return [made[n].alias(names[n]) for n in sorted(needs & made.keys())]
 
 
-def _joined(df: DataFrame, x: Column, keys: list[str], needs: set[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """The same by aggregation and join: sums combine before the shuffle, and the rows of a large cell meet them in several tasks."""
+def _joined(df: DataFrame, x: Column, keys: list[str], needs: set[str], known_as: Shape | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """The same for cells of any size: sums combine before the shuffle, medians are found by counts, and the rows of a large cell meet them in several tasks."""
     names = _names(df)
-    out = beside(df, df.groupBy(*map(name, keys)).agg(*_aggregates(x, needs, True, names)), keys)
+    sums, found = _aggregates(x, needs, True, names), []
+    if sums:
+        found.append(df.groupBy(*map(name, keys)).agg(*sums))
     if "mad" in needs:
-        out = beside(out, out.groupBy(*map(name, keys)).agg(F.median(F.abs(x - name(names["median"]))).alias(names["mad"])), keys)
-    return out, {n: name(names[n]) for n in needs}
+        found.append(selection.deviations(df, keys, x, names["median"], names["mad"], known_as))
+    elif "median" in needs:
+        found.append(selection.medians(df, keys, x, names["median"], known_as))
+    cells = found[0] if len(found) == 1 else found[0].join(found[1], keys, "left")
+    return beside(df, cells, keys, known_as), {n: name(names[n]) for n in needs}
 
 
-def _overall(df: DataFrame, x: Column, needs: set[str], compat: frozenset[str]) -> dict[str, Column]:
-    """Statistics of the whole table as scalars: one row, never a window over everything."""
-    row = df.agg(*_aggregates(x, needs, False, {n: n for n in _STATISTICS})).collect()[0].asDict() if needs else {}
-    found = {k: F.lit(v) for k, v in row.items()}
+def _overall(df: DataFrame, x: Column, needs: set[str], compat: frozenset[str], skewed: bool) -> dict[str, Column]:
+    """Statistics of the whole table as constants: one row, never a window over everything. skewed: the table is too large for one buffer of values."""
+    sums = _aggregates(x, needs, False, {n: n for n in _STATISTICS})
+    row = df.agg(*sums).first().asDict() if sums else {}
     if "mad" in needs:
-        missing = "global_mad_nulls" in compat and not df.filter(x.isNull()).isEmpty()
-        mad = None if row["median"] is None or missing else df.agg(F.median(F.abs(x - F.lit(row["median"])))).first()[0]
-        found["mad"] = F.lit(mad).cast("double")
-    return found
+        if skewed:
+            middle, mad = selection.deviations(df, [], x, "median", "mad").first() or (None, None)
+        else:
+            middle = df.agg(F.median(x)).first()[0]
+            mad = df.agg(F.median(F.abs(x - F.lit(middle).cast("double")))).first()[0]
+        row |= {"median": middle, "mad": None if "global_mad_nulls" in compat and not df.filter(x.isNull()).isEmpty() else mad}
+    return {k: F.lit(v).cast("double") for k, v in row.items()}
 
 
-def apply_range(df: DataFrame, rule: Rule, keys: list[str], compat: frozenset[str] = frozenset(), skewed: bool | None = True) -> DataFrame:
+def apply_range(df: DataFrame, rule: Rule, keys: list[str], compat: frozenset[str] = frozenset(), skewed: bool = True, known_as: Shape | None = None) -> DataFrame:
     x = number(df, rule.var)
     needs = {n for c in rule.cutoffs for n in _NEEDS[c.kind]}
     out, stats = df, {}
     if needs and keys:
         # Rows with a missing key belong to no cell.
         own = df.filter(" and ".join(f"`{k}` is not null" for k in keys))
-        out, stats = (_joined if skewed else _windowed)(own, x, keys, needs)
+        out, stats = _joined(own, x, keys, needs, known_as) if skewed else _windowed(own, x, keys, needs)
     elif needs:
-        stats = _overall(df, x, needs, compat)
+        stats = _overall(df, x, needs, compat, skewed)
     tests = [_cut(c, x, stats) for c in rule.cutoffs]
     keep = tests[0] if len(tests) == 1 else (tests[0] & tests[1]) if rule.joint == "and" else (tests[0] | tests[1])
     return out.filter(keep).select(*map(name, df.columns))
@@ -112,17 +118,25 @@ def _is_number(text: str) -> bool:
     return True
 
 
-def apply_rules(df: DataFrame, rules: list[str], keys: list[str], omegas: list | None = None, compat: frozenset[str] = frozenset(), keep: str = "above", skewed: bool | None = None) -> DataFrame:
+def needs_shape(rules: list[str], keys: list[str], compat: frozenset[str] = frozenset()) -> bool:
+    """Whether rules ask for statistics of cells, whose size then decides how they are made."""
+    kinds = {c.kind for text in rules for c in parse_rule(text, compat).cutoffs}
+    return bool(kinds - {"raw"} if keys else kinds & {"mad"})
+
+
+def apply_rules(df: DataFrame, rules: list[str], keys: list[str], omegas: list | None = None, compat: frozenset[str] = frozenset(), keep: str = "above", skewed: bool | None = None, known_as: Shape | None = None) -> DataFrame:
     """All rules in order. skewed: whether a cell may be too large for a task; if not, rules on the same keys share one
-    exchange; None: it is measured, by one count over the keys. omegas: one for each rule; only pooled-CDF rules use theirs (None or -1: only mark the rows)."""
-    if skewed is None and keys and any(c.kind != "raw" for text in rules for c in parse_rule(text, compat).cutoffs):
-        skewed = (df.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > CELL_ROWS
+    exchange; None: it is measured, by one count over the keys, unless known_as has it. omegas: one for each rule; only pooled-CDF rules use theirs (None or -1: only mark the rows)."""
+    if skewed is None and known_as is None and needs_shape(rules, keys, compat):
+        known_as = shape(df, keys)
+    if skewed is None:
+        skewed = known_as is not None and known_as.skewed
     for i, text in enumerate(rules):
         rule = parse_rule(text, compat)
         if rule.var not in df.columns:
             raise ValueError(f"no variable {rule.var!r}")
         if rule.kind == "range":
-            df = apply_range(df, rule, keys, compat, skewed)
+            df = apply_range(df, rule, keys, compat, skewed, known_as)
         elif rule.kind == "checklist":
             df = apply_checklist(df, rule, compat)
         else:

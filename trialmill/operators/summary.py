@@ -6,47 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fits
-from ..functions.stats import descriptive, name, number
+from ..functions.stats import Shape, descriptive, fresh, name, number, shape
 from ..plans.rules import FITTED, Target
+from . import selection
 
 LONG = ("variable", "operation", "parameter", "value")
 
 
-def summarize(df: DataFrame, rows: list[str], cols: list[str], targets: list[str]) -> DataFrame:
+#: Operations that need all values of a cell together, unless they are found by counts.
+GATHERED = ("Median", "Mode")
+
+
+def summarize(df: DataFrame, rows: list[str], cols: list[str], targets: list[str], skewed: bool | None = None, known_as: Shape | None = None) -> DataFrame:
     """(rows..., cols..., variable, operation, parameter, value), one row for each cell, target and parameter with a value.
 
     Rows with a missing key belong to no cell. All targets that are sums or means share one aggregation; iterative fits
-    share one for each variable.
+    share one for each variable. skewed: whether a cell, or without keys the table, may be too large for a task: then medians and modes come from
+    counts; None: it is measured, by one count over the keys, if there are such targets and known_as doesn't have it.
     """
     keys = [*rows, *cols]
+    if clash := {k.lower() for k in keys} & {*LONG}:
+        raise ValueError(f"the result has columns {sorted(clash)} of its own; rename these keys")
     wanted = list(dict.fromkeys(map(Target.parse, targets)))
     if keys:
         df = df.filter(" and ".join(f"`{k}` is not null" for k in keys))
-    values = {v: f"__x{i}" for i, v in enumerate(dict.fromkeys(t.var for t in wanted))}
-    data = df.select(*map(name, keys), *(number(df, v).alias(a) for v, a in values.items()))
+    found = fresh(df.select(*map(name, keys)), *(f"t{i}" for i in range(len(wanted))))
+    alias = dict(zip(dict.fromkeys(t.var for t in wanted), fresh(df.select(*map(name, keys)), *(f"x{i}" for i in range(len(wanted)))), strict=False))
+    data = df.select(*map(name, keys), *(number(df, v).alias(a) for v, a in alias.items()))
+    if any(t.op in GATHERED for t in wanted) and skewed is None:
+        known_as = known_as or shape(data, keys)
+        skewed = known_as.skewed
+    counted = {i for i, t in enumerate(wanted) if t.op in GATHERED and skewed}
     aggs = []
     for i, t in enumerate(wanted):
-        x = F.col(values[t.var])
-        if t.op not in FITTED:
-            aggs.append(F.array(descriptive(t.op, x, bool(keys)).cast("double")).alias(f"__t{i}"))
-        elif t.op not in fits.ITERATIVE:
-            aggs.append(fits.from_means(t.op, x).alias(f"__t{i}"))
+        x = F.col(alias[t.var])
+        if t.op not in FITTED and i not in counted:
+            aggs.append(F.array(descriptive(t.op, x, bool(keys)).cast("double")).alias(found[i]))
+        elif t.op in FITTED and t.op not in fits.ITERATIVE:
+            aggs.append(fits.from_means(t.op, x).alias(found[i]))
     cells = data.groupBy(*map(name, keys)).agg(*aggs) if aggs else data.select(*map(name, keys)).distinct() if keys else df.sparkSession.range(1).drop("id")
     for i, t in enumerate(wanted):
         if t.op == "Gamma (k, θ)":
-            cells = cells.withColumn(f"__t{i}", fits.gamma_parameters(F.col(f"__t{i}")))
-    for v, alias in values.items():
+            cells = cells.withColumn(found[i], fits.gamma_parameters(F.col(found[i])))
+        if i in counted:
+            x = F.col(alias[t.var])
+            own = selection.medians(data, keys, x, found[i], known_as) if t.op == "Median" else selection.modes(data, keys, x, found[i])
+            if keys:
+                cells = cells.join(own, keys, "left")
+            else:
+                cells = cells.withColumn(found[i], own.scalar())
+            cells = cells.withColumn(found[i], F.array(F.col(found[i]).cast("double")))
+    for v, a in alias.items():
         own = [(i, t) for i, t in enumerate(wanted) if t.var == v and t.op in fits.ITERATIVE]
         if own:
-            fitted = fits.fit_cells(data, keys, alias, [t.op for _, t in own]).select(*map(name, keys), *(F.col(f"fit{k}").alias(f"__t{i}") for k, (i, _) in enumerate(own)))
+            fitted = fits.fit_cells(data, keys, a, [t.op for _, t in own])
+            fitted = fitted.select(*map(name, keys), *(name(c).alias(found[i]) for c, (i, _) in zip(fitted.columns[len(keys) :], own, strict=True)))
             if keys:
                 cells = cells.join(fitted, keys, "left")
             else:
                 got = fitted.first()
-                cells = cells.withColumns({f"__t{i}": F.lit(got[f"__t{i}"] if got else None).cast("array<double>") for i, _ in own})
-    parts = [F.struct(F.lit(t.var).alias("variable"), F.lit(t.op).alias("operation"), F.lit(p).alias("parameter"), F.get(F.col(f"__t{i}"), F.lit(k)).alias("value")) for i, t in enumerate(wanted) for k, p in enumerate(t.parameters())]
-    long = cells.select(*map(name, keys), F.explode(F.array(*parts)).alias("__p")).select(*map(name, keys), "__p.*")
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+                cells = cells.withColumns({found[i]: F.lit(got[found[i]] if got else None).cast("array<double>") for i, _ in own})
+    parts = [F.struct(F.lit(t.var).alias("variable"), F.lit(t.op).alias("operation"), F.lit(p).alias("parameter"), F.get(F.col(found[i]), F.lit(k)).alias("value")) for i, t in enumerate(wanted) for k, p in enumerate(t.parameters())]
+    return cells.select(*map(name, keys), F.inline(F.array(*parts))).filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def pivot(long: DataFrame, rows: list[str], cols: list[str], target: str, parameter: str = "", values: list | None = None, separator: str = " | ") -> DataFrame:
@@ -58,14 +79,15 @@ def pivot(long: DataFrame, rows: list[str], cols: list[str], target: str, parame
     own = long.filter((F.col("variable") == t.var) & (F.col("operation") == t.op) & (F.col("parameter") == parameter))
     if not cols:
         return own.select(*map(name, rows), F.col("value").alias(t.var)).orderBy(*map(name, rows))
-    label = F.concat_ws(separator, *(name(c).cast("string") for c in cols)).alias("__col")
+    (across,) = fresh(own, "across")
+    label = F.concat_ws(separator, *(name(c).cast("string") for c in cols)).alias(across)
     if values is None:
         found = own.select(*map(name, cols)).distinct().orderBy(*map(name, cols)).collect()
         values = [separator.join(_label(v) for v in r) for r in found]
     flat = own.select(*map(name, rows), label, "value")
     if rows:
-        return flat.groupBy(*map(name, rows)).pivot("__col", values).agg(F.first("value")).orderBy(*map(name, rows))
-    return flat.groupBy(F.lit(t.var).alias("variable")).pivot("__col", values).agg(F.first("value"))
+        return flat.groupBy(*map(name, rows)).pivot(across, values).agg(F.first("value")).orderBy(*map(name, rows))
+    return flat.groupBy(F.lit(t.var).alias("variable")).pivot(across, values).agg(F.first("value"))
 
 
 def _label(v) -> str:
