@@ -286,22 +286,72 @@ _FITS = {
 }
 
 
-def _fit(op: str) -> Query:
-    return lambda spark, sf_dir: _rounded(_trials(spark, sf_dir).summarize(["event_type"], [], [], [f"value@{op}"]), "value")
+#: Decimals of fitted parameters.
+FIT_DIGITS = 4
+
+
+def _fit(op: str, rules: tuple[str, ...] = ()) -> Query:
+    def run(spark, sf_dir):
+        out = _trials(spark, sf_dir).summarize(["event_type"], [], list(rules), [f"value@{op}"])
+        return out.withColumn("value", F.round("value", FIT_DIGITS))
+
+    return run
 
 
 for _key, _op in _FITS.items():
     QUERIES[_key] = _fit(_op)
 
+#: Fits of trials that were only kept between bounds.
+for _key, _op in (("fit_bounded_gamma", "Gamma (k, θ)"), ("fit_bounded_weibull", "Weibull (k, θ)"), ("fit_bounded_exgauss", "Ex-Gaussian (μ, σ, τ)")):
+    QUERIES[_key] = _fit(f"{_op} [2, 200]", ("value:>= 2 and <= 200",))
+
+
+@query("fit_large_cells")
+def fit_large_cells(spark, sf_dir):
+    """Fits of a few cells with a share of all rows each; also what is fitted by means alone."""
+    out = _trials(spark, sf_dir, "lineitem").summarize(["l_linestatus"], [], [], [f"l_extendedprice@{op}" for op in (_FITS["fit_weibull"], _FITS["fit_lognormal"])])
+    return out.withColumn("value", F.round("value", FIT_DIGITS))
+
+
+def _fit_sql(op: str, parts: dict[str, str], source: str = "events", head: str = "") -> str:
+    return head + " UNION ALL ".join(f"SELECT event_type, 'value' AS variable, '{op}' AS operation, '{p}' AS parameter, round({sql}, {FIT_DIGITS}) AS value FROM {source} GROUP BY event_type" for p, sql in parts.items())
+
 
-def _fit_sql(op: str, parts: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT event_type, 'value' AS variable, '{op}' AS operation, '{p}' AS parameter, round({sql}, {DIGITS}) AS value FROM events GROUP BY event_type" for p, sql in parts.items())
+def _root(first: str, slope: str, source: str = "x", turns: int = 60, keys: str = "event_type") -> str:
+    """CTEs that halve the interval (a, b) of each cell around the zero of a rising function, `slope` over the rows of source at `m`, the interval's middle."""
+    ctes = [f"r0 AS MATERIALIZED ({first})"]
+    for i in range(turns):
+        at = f"(SELECT *, (a + b) / 2 AS m FROM r{i})"
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT {keys}, any_value(CASE WHEN s > 0 THEN a ELSE m END) AS a, any_value(CASE WHEN s > 0 THEN m ELSE b END) AS b FROM (SELECT {keys}, r.a, r.b, r.m, {slope} AS s FROM {source} JOIN {at} r USING ({keys}) GROUP BY ALL) GROUP BY {keys})")
+    return ", ".join(ctes)
 
 
+_POSITIVE = "x AS MATERIALIZED (SELECT event_type, value AS v FROM events WHERE value > 0)"
 _LAMBDA = "(1 / (avg(1 / value) - 1 / avg(value)))"
-ORACLE["fit_lognormal"] = _fit_sql(_FITS["fit_lognormal"], {"k": "stddev_pop(ln(value))", "θ": "exp(avg(ln(value)))"})
-ORACLE["fit_wald"] = _fit_sql(_FITS["fit_wald"], {"m": f"sqrt({_LAMBDA}) / avg(value)", "a": f"sqrt({_LAMBDA})"})
-ORACLE["fit_invgauss"] = _fit_sql(_FITS["fit_invgauss"], {"μ": _LAMBDA, "λ": "avg(value)"})
+ORACLE["fit_lognormal"] = _fit_sql(_FITS["fit_lognormal"], {"k": "stddev_pop(ln(value))", "θ": "exp(avg(ln(value)))"}, "(SELECT * FROM events WHERE value > 0)")
+ORACLE["fit_wald"] = _fit_sql(_FITS["fit_wald"], {"m": f"sqrt({_LAMBDA}) / avg(value)", "a": f"sqrt({_LAMBDA})"}, "(SELECT * FROM events WHERE value > 0)")
+ORACLE["fit_invgauss"] = _fit_sql(_FITS["fit_invgauss"], {"μ": _LAMBDA, "λ": "avg(value)"}, "(SELECT * FROM events WHERE value > 0)")
+
+# The profile equation of a Weibull's shape: mean of v^k ln v over mean of v^k, less 1 / k, less the mean of ln v.
+_WEIBULL = f"WITH {_POSITIVE}, {_root('SELECT event_type, 0.01 AS a, 100.0 AS b FROM x GROUP BY event_type', 'sum(exp(m * ln(v)) * ln(v)) / sum(exp(m * ln(v))) - 1 / any_value(m) - avg(ln(v))')} "
+ORACLE["fit_weibull"] = _fit_sql(_FITS["fit_weibull"], {"k": "any_value((a + b) / 2)", "θ": "pow(avg(pow(v, (a + b) / 2)), 1 / any_value((a + b) / 2))"}, "x JOIN r60 USING (event_type)", _WEIBULL)
+# The likelihood equation of a gamma's shape: digamma(k) - ln k + s, with digamma by recurrence and its asymptotic series.
+_DIGAMMA = "ln(m + 8) - 0.5 / (m + 8) - 1 / (12 * pow(m + 8, 2)) + 1 / (120 * pow(m + 8, 4)) - 1 / (252 * pow(m + 8, 6)) + 1 / (240 * pow(m + 8, 8))" + "".join(f" - 1 / (m + {i})" for i in range(8))
+_GAMMA = f"WITH {_POSITIVE}, g AS MATERIALIZED (SELECT event_type, avg(v) AS mean, ln(avg(v)) - avg(ln(v)) AS s FROM x GROUP BY event_type), {_root('SELECT event_type, 0.001 AS a, 1000.0 AS b FROM g', f'any_value({_DIGAMMA} - ln(m) + g.s)', 'g')} "
+ORACLE["fit_gamma"] = _fit_sql(_FITS["fit_gamma"], {"k": "any_value((a + b) / 2)", "θ": "any_value(mean / ((a + b) / 2))"}, "g JOIN r60 USING (event_type)", _GAMMA)
+# The profile equation of the shift of an inverse Gaussian, falling in the shift, so with its sign turned round.
+_ALL = "x AS MATERIALIZED (SELECT event_type, value AS v FROM events WHERE value IS NOT NULL)"
+_MOVED = "0.5 * (avg(pow(v - m, -2)) - pow(avg(v - m), -2)) / (avg(1 / (v - m)) - 1 / avg(v - m)) - 1.5 * avg(1 / (v - m))"
+
+
+def _shifted_sql(op: str, lowest: str, parts: dict[str, str]) -> str:
+    y, shape = "(v - (a + b) / 2)", "(1 / (avg(1 / (v - (a + b) / 2)) - 1 / avg(v - (a + b) / 2)))"
+    found = f"WITH {_ALL}, {_root(f'SELECT event_type, {lowest} AS a, min(v) AS b FROM x GROUP BY event_type', _MOVED)} "
+    return _fit_sql(op, {k: v.format(shape=shape, mean=f"avg({y})", shift="any_value((a + b) / 2)") for k, v in parts.items()}, "x JOIN r60 USING (event_type)", found)
+
+
+ORACLE["fit_shifted_wald"] = _shifted_sql(_FITS["fit_shifted_wald"], "min(v) - 2 * (max(v) - min(v))", {"m": "sqrt({shape}) / {mean}", "a": "sqrt({shape})", "shift": "{shift}"})
+ORACLE["fit_shifted_ig"] = _shifted_sql(_FITS["fit_shifted_ig"], "0.0", {"μ": "{shape}", "λ": "{mean}", "shift": "{shift}"})
 
 
 # --- pooled probabilities --------------------------------------------------------------------------------------------

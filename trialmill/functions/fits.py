@@ -5,6 +5,10 @@ cell: means and counts of narrow bins that are equal on the scale asinh((x - med
 fine where the data are and grow with the distance in the tails. The extremes are points of their own. An outlier, however
 far, adds one point and moves no other; the number of points grows with the logarithm of the spread, not with the number
 of trials; cells of all sizes are treated alike.
+
+The fit to the points is only a start. In each of ROUNDS Newton rounds all cells advance together: the gradient of the
+log-likelihood is summed over all trials by one aggregation, and the points give the curvature. What is left of the points'
+error shrinks by about their relative error in each round, so the result is the maximum over the single trials.
 """
 
 from __future__ import annotations
@@ -18,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import materialise
 from . import special as S
-from .stats import beside, fresh, name
+from .stats import Shape, beside, fresh, name
 
 #: Bins for each interquartile range around the median, and the accuracy of the quartiles' sketch.
 STEPS, ACCURACY = 1024, 2000
-#: Smallest density that a point contributes to a likelihood.
-FLOOR = 1e-10
+#: Smallest density that a value contributes to the likelihood of a family in FLOORED, whose densities can run out of digits.
+FLOOR, FLOORED = 1e-10, ("Ex-Gaussian (μ, σ, τ)", "Ex-Wald (m, a, τ)")
+#: Newton rounds over the trials, the step of the differences that stand for derivatives, and the farthest that a coordinate moves in a round.
+ROUNDS, H, FARTHEST = 3, 1e-3, 0.5
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.25, rounds: int = 600, tolerance: float = 1e-10) -> np.ndarray:
@@ -149,20 +156,23 @@ def _moments(x: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit_exgauss(x: np.ndarray, w: np.ndarray) -> list[float]:
+    """From starts around the median, whose scale outliers don't stretch, and one from moments."""
+    order = np.argsort(x)
+    centre, unit = float(x[order][np.searchsorted(np.cumsum(w[order]), w.sum() / 2)]), _spread(x, w)
     mean, var, third = _moments(x, w)
-    sd = math.sqrt(var) or 1e-9
+    starts = [(centre - 0.7 * t * unit, unit * math.sqrt(1 - t * t), t * unit) for t in (0.8, 0.4, 0.1)]
     guess = (third / 2) ** (1 / 3) if third > 0 else math.nan
-    taus = [t * sd for t in (0.8, 0.4, 0.1)] + ([guess] if 0 < guess < sd else [])
+    if 0 < guess < math.sqrt(var):
+        starts.append((mean - guess, math.sqrt(var - guess * guess), guess))
 
     def loss(p: np.ndarray) -> float:
-        sigma, tau = np.exp(np.clip(p[1:], -30, 30)) * sd
-        return _loss(S.exgauss_logpdf(x, mean + p[0] * sd, sigma, tau), w)
+        sigma, tau = np.exp(np.clip(p[1:], -30, 30)) * unit
+        return _loss(S.exgauss_logpdf(x, centre + p[0] * unit, sigma, tau), w)
 
     # Every start is tried briefly; the best is followed to its end.
-    starts = [np.array([-t / sd, 0.5 * math.log(max(1 - (t / sd) ** 2, 1e-4)), math.log(t / sd)]) for t in taus]
-    best = min((simplex(loss, s, rounds=60, tolerance=1e-7) for s in starts), key=loss)
-    best = simplex(loss, simplex(loss, best), step=0.05)
-    return [mean + best[0] * sd, float(np.exp(best[1]) * sd), float(np.exp(best[2]) * sd)]
+    tried = [simplex(loss, np.array([(m - centre) / unit, math.log(s / unit), math.log(t / unit)]), rounds=60, tolerance=1e-7) for m, s, t in starts]
+    best = simplex(loss, simplex(loss, min(tried, key=loss)), step=0.05)
+    return [centre + float(best[0]) * unit, float(np.exp(best[1]) * unit), float(np.exp(best[2]) * unit)]
 
 
 def fit_exwald(x: np.ndarray, w: np.ndarray) -> list[float]:
@@ -214,25 +224,129 @@ DENSITIES: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def bounded_loss(op: str, params: list[float], x: np.ndarray, w: np.ndarray, bounds: tuple[float, float]) -> float:
-    """Negative log-likelihood of data that were only seen between bounds."""
-    low, high = bounds
-    if x.min() < low or x.max() > high:
-        raise ValueError("data beyond the bounds")
+#: How each parameter is written without constraints: log of a positive one, a location in units of the spread, log of the distance of a shift from the least value.
+COORDINATES: dict[str, tuple[str, ...]] = {
+    op: tuple("under" if "shift" in op and i == 2 else "free" if op.startswith("Ex-Gaussian") and i == 0 else "log" for i in range(op.count(",") + 1)) for op in DENSITIES
+}
+Bounds = tuple[float, float] | None
+
+
+def logs(op: str, x: np.ndarray, params: list[float], bounds: Bounds) -> np.ndarray:
+    """Log-likelihood of each value; between bounds that of data which were only seen there."""
     logpdf, cdf = DENSITIES[op]
     with np.errstate(all="ignore"):
-        inside = float(np.diff(cdf(np.array([low, high], dtype=float), *params))[0])
-        return _loss(logpdf(x, *params) - math.log(max(inside, FLOOR)), w)
+        out = np.nan_to_num(np.asarray(logpdf(x, *params), dtype=float), nan=-1e9, neginf=-1e9)
+        if op in FLOORED:
+            out = np.maximum(out, math.log(FLOOR))
+        if bounds is not None:
+            low, high = (0.0 if math.isinf(b) and b < 0 else 1.0 if math.isinf(b) else float(np.asarray(cdf(np.array([b], dtype=float), *params))[0]) for b in bounds)
+            out = out - math.log(max(high - low, FLOOR))
+    return out
+
+
+class Scale:
+    """Parameters of a family without constraints, and derivatives by them. least: below it a shift lies; unit: the spread."""
+
+    def __init__(self, op: str, bounds: Bounds, least: float, most: float, unit: float):
+        self.op, self.bounds, self.least, self.unit = op, bounds, least, unit
+        self.kinds = COORDINATES[op]
+        # How far below the least value a shift may lie.
+        self.lowest = 0.0 if op.startswith("Shifted Inv") else least - 2 * (most - least)
+
+    def back(self, u: np.ndarray) -> list[float]:
+        made = {"log": lambda v: math.exp(min(max(v, -300), 300)), "free": lambda v: v * self.unit, "under": lambda v: self.least - math.exp(min(v, 300))}
+        return [float(made[k](v)) for k, v in zip(self.kinds, u, strict=True)]
+
+    def forth(self, params: list[float]) -> np.ndarray:
+        made = {"log": lambda v: math.log(v), "free": lambda v: v / self.unit, "under": lambda v: math.log(max(self.least - v, 1e-12 * self.unit))}
+        return np.array([made[k](v) for k, v in zip(self.kinds, params, strict=True)])
+
+    def scores(self, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """(values, coordinates): derivatives of each value's log-likelihood, exact but for terms of the order H^4."""
+        out = np.empty((len(x), len(u)))
+        for j in range(len(u)):
+            each = [c * logs(self.op, x, self.back(u + m * H * (np.arange(len(u)) == j)), self.bounds) for m, c in ((1, 8), (-1, -8), (2, -1), (-2, 1))]
+            out[:, j] = sum(each) / (12 * H)
+        return out
+
+    def curvature(self, x: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+        at = lambda j, m: w @ self.scores(x, u + m * H * (np.arange(len(u)) == j))
+        rows = np.array([(at(j, 1) - at(j, -1)) / (2 * H) for j in range(len(u))])
+        return (rows + rows.T) / 2
+
+    def step(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """One Newton step from the gradient over all trials; what would push a shift beyond its lowest place keeps it there."""
+        bend = self.curvature(x, w, u)
+        if not (np.isfinite(bend).all() and np.isfinite(gradient).all()):
+            return u
+        values, vectors = np.linalg.eigh(bend)
+        values = -np.maximum(np.abs(values), 1e-12 * np.abs(values).max(initial=1e-300))  # uphill whatever the curvature's sign
+        full = -(vectors @ ((vectors.T @ gradient) / values))
+        if "under" in self.kinds:
+            j, end = self.kinds.index("under"), math.log(max(self.least - self.lowest, 1e-12 * self.unit))
+            if u[j] + full[j] >= end:
+                rest = [i for i in range(len(u)) if i != j]
+                inner = (vectors * values) @ vectors.T
+                full[j] = end - u[j]
+                full[rest] = -np.linalg.solve(inner[np.ix_(rest, rest)], gradient[rest] + inner[rest, j] * full[j])
+        return u + full * min(1.0, FARTHEST / max(np.abs(full).max(), 1e-300))
+
+
+    def top(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, turns: int = 60) -> np.ndarray:
+        """The maximum over weighted points near u, by Newton steps that are shortened where they would lose."""
+        value = w @ logs(self.op, x, self.back(u), self.bounds)
+        for _ in range(turns):
+            move = self.step(x, w, u, w @ self.scores(x, u)) - u
+            for part in (1.0, 0.25, 0.05):
+                new = w @ logs(self.op, x, self.back(u + part * move), self.bounds)
+                if new > value:
+                    break
+            else:
+                break
+            u, value = u + part * move, new
+            if np.abs(move).max() < 1e-9:
+                break
+        return u
 
 
-def fit_bounded(op: str, x: np.ndarray, w: np.ndarray, bounds: tuple[float, float], start: list[float]) -> list[float]:
-    """Maximum of the bounded likelihood, from a start such as the unbounded fit; all parameters but locations stay above zero."""
-    free = [op.startswith("Ex-Gaussian") and i == 0 or "shift" in op and i == 2 for i in range(len(start))]
-    scale = float(x.max() - x.min()) or 1.0
-    there = np.array([v / scale if f else math.log(v) for v, f in zip(start, free, strict=True)])
-    back = lambda p: [float(v * scale) if f else float(np.exp(np.clip(v, -50, 50))) for v, f in zip(p, free, strict=True)]
-    loss = lambda p: bounded_loss(op, back(p), x, w, bounds)
-    return back(simplex(loss, simplex(loss, there, 0.2), 0.05))
+def bounded_loss(op: str, params: list[float], x: np.ndarray, w: np.ndarray, bounds: tuple[float, float]) -> float:
+    """Negative log-likelihood of data that were only seen between bounds."""
+    if x.min() < bounds[0] or x.max() > bounds[1]:
+        raise ValueError(f"data beyond the bounds {bounds}")
+    return -float(w @ logs(op, x, params, bounds))
+
+
+def fit_bounded(op: str, x: np.ndarray, w: np.ndarray, bounds: tuple[float, float], start: list[float] | None = None) -> list[float]:
+    """Maximum of the bounded likelihood over weighted points, from the unbounded fit; all parameters but locations stay above zero."""
+    scale = Scale(op, bounds, float(x.min()), float(x.max()), _spread(x, w))
+    loss = lambda u: bounded_loss(op, scale.back(u), x, w, bounds)
+    best = scale.forth(start or fit_points(op, x, w))
+    for step in (0.3, 0.1, 0.03):
+        best = simplex(loss, best, step)
+    return scale.back(best)
+
+
+def _spread(x: np.ndarray, w: np.ndarray) -> float:
+    """A unit that outliers don't stretch: from the quartiles, or the standard deviation where these are equal."""
+    order = np.argsort(x)
+    share = np.cumsum(w[order]) / w.sum()
+    low, high = x[order][np.searchsorted(share, [0.25, 0.75])]
+    return float(high - low) / 1.35 or math.sqrt(_moments(x, w)[1]) or 1.0
+
+
+def fit_points(op: str, x: np.ndarray, w: np.ndarray) -> list[float]:
+    """Unbounded fit of any family to weighted points."""
+    if op in ITERATIVE:
+        return ITERATIVE[op](x, w)
+    w, x = w[x > 0], x[x > 0]
+    mean, log_mean, inverse = (float(np.average(v, weights=w)) for v in (x, np.log(x), 1 / x))
+    if op == "LogNormal (k, θ)":
+        return [math.sqrt(np.average((np.log(x) - log_mean) ** 2, weights=w)), math.exp(log_mean)]
+    if op == "Gamma (k, θ)":
+        k = float(gamma_shape(np.array([math.log(mean) - log_mean]))[0])
+        return [k, mean / k]
+    shape = 1 / (inverse - 1 / mean)
+    return [shape, mean] if op == "Inv-Gaussian (μ, λ)" else [math.sqrt(shape) / mean, math.sqrt(shape)]
 
 
 def from_means(op: str, x: Column) -> Column:
@@ -282,26 +396,89 @@ def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STE
     return binned.groupBy(*map(name, keys)).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), "w"))).alias("points"))
 
 
-def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str], steps: int = STEPS) -> DataFrame:
-    """keys and, for each iterative family of ops, an array<double>, in this order; a family that cannot be fitted gives null."""
+def _positive(op: str) -> bool:
+    return op not in ("Ex-Gaussian (μ, σ, τ)", "Shifted Wald (m, a, shift)", "Shifted Inv-Gaussian (μ, λ, shift)")
 
-    @F.pandas_udf("array<array<double>>")
-    def fitted(points_x: pd.Series, points_w: pd.Series) -> pd.Series:
+
+def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[str, Bounds]], steps: int = STEPS, rounds: int = ROUNDS, known_as: Shape | None = None) -> DataFrame:
+    """keys and, for each family of ops, in this order, an array<double> of its parameters; a family that cannot be fitted gives null.
+
+    An op is the name of a family or (name, bounds) for data that were only seen between bounds; values beyond them are an
+    error. Families of positive values see only these. rounds: Newton rounds over all trials after the fit to the
+    points; 0 leaves it at that.
+    """
+    wanted: list[tuple[str, Bounds]] = [op if isinstance(op, tuple) else (op, None) for op in ops]
+    sizes = [len(COORDINATES[op]) for op, _ in wanted]
+    ends = np.cumsum([0, *sizes])
+    all_, *out_ = fresh(df.select(*map(name, keys)), "fits", *(f"fit{i}" for i in range(len(ops))))
+    u, x_, least, most, unit, cell, sums = fresh(df.select(*map(name, keys)), "u", "x", "least", "most", "unit", "cell", "sums")
+
+    def scales(least: float, most: float, unit: float) -> list[Scale]:
+        return [Scale(op, bounds, least, most, unit) for op, bounds in wanted]
+
+    @F.pandas_udf("struct<u array<double>,least double,most double,unit double>")
+    def started(points_x: pd.Series, points_w: pd.Series) -> pd.DataFrame:
         out = []
         for xs, ws in zip(points_x, points_w, strict=True):
             x, w = np.asarray(xs, dtype=float), np.asarray(ws, dtype=float)
-            row: list = []
-            for op in ops:
+            unit, row = _spread(x, w), []
+            for (op, bounds), size in zip(wanted, sizes, strict=True):
                 try:
-                    got = ITERATIVE[op](x, w) if len(x) > 1 else None
+                    if bounds is not None and (x.min() < bounds[0] or x.max() > bounds[1]):
+                        raise IndexError(f"{op}: data beyond the bounds {bounds}")
+                    own = x > 0 if _positive(op) else np.ones(len(x), dtype=bool)
+                    got = None if len(x) < 2 else fit_bounded(op, x[own], w[own], bounds) if bounds is not None else fit_points(op, x, w)
+                    scale = Scale(op, bounds, x.min(), x.max(), unit)
+                    row += scale.top(x[own], w[own], scale.forth(got)).tolist() if got is not None and all(map(math.isfinite, got)) else [math.nan] * size
                 except (ValueError, ZeroDivisionError, FloatingPointError, OverflowError):
-                    got = None
-                row.append(got if got is not None and all(map(math.isfinite, got)) else None)
-            out.append(row)
+                    row += [math.nan] * size
+            out.append((row, float(x.min()), float(x.max()), unit))
+        return pd.DataFrame(out, columns=["u", "least", "most", "unit"])
+
+    @F.pandas_udf("struct<" + ",".join(f"g{i} double" for i in range(ends[-1])) + ">")
+    def gradients(x: pd.Series, cells: pd.Series, us: pd.Series, least: pd.Series, most: pd.Series, unit: pd.Series) -> pd.DataFrame:
+        values, out = x.to_numpy(float), np.zeros((len(x), ends[-1]))
+        _, first, of = np.unique(cells.to_numpy(), return_index=True, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        for rows in np.split(order, np.searchsorted(of[order], np.arange(1, len(first)))):
+            k, at = rows[0], np.asarray(us.iloc[rows[0]], dtype=float)
+            for scale, a, b in zip(scales(least.iloc[k], most.iloc[k], unit.iloc[k]), ends, ends[1:], strict=False):
+                own = rows[values[rows] > 0] if _positive(scale.op) else rows
+                if np.isfinite(at[a:b]).all() and len(own):
+                    out[own, a:b] = scale.scores(values[own], at[a:b])
+        return pd.DataFrame(out, columns=[f"g{i}" for i in range(ends[-1])])
+
+    @F.pandas_udf("array<double>")
+    def stepped(points_x: pd.Series, points_w: pd.Series, us: pd.Series, gradient: pd.Series, least: pd.Series, most: pd.Series, unit: pd.Series) -> pd.Series:
+        out = []
+        for xs, ws, at, g, lo, hi, un in zip(points_x, points_w, us, gradient, least, most, unit, strict=True):
+            x, w, at, g = (np.array(v, dtype=float) for v in (xs, ws, at, g))
+            for scale, a, b in zip(scales(lo, hi, un), ends, ends[1:], strict=False):
+                own = x > 0 if _positive(scale.op) else np.ones(len(x), dtype=bool)
+                if np.isfinite(at[a:b]).all() and np.isfinite(g[a:b]).all():
+                    at[a:b] = scale.step(x[own], w[own], at[a:b], g[a:b])
+            out.append(at)
         return pd.Series(out)
 
-    all_, *out_ = fresh(df.select(*map(name, keys)), "fits", *(f"fit{i}" for i in range(len(ops))))
-    cells = weighted_values(df, keys, value, steps).select(*map(name, keys), fitted(F.col("points.x"), F.col("points.w")).alias(all_))
+    @F.pandas_udf("array<array<double>>")
+    def parameters(us: pd.Series, least: pd.Series, most: pd.Series, unit: pd.Series) -> pd.Series:
+        rows = zip(us, least, most, unit, strict=True)
+        return pd.Series([[s.back(np.asarray(at)[a:b]) if np.isfinite(np.asarray(at)[a:b]).all() else None for s, a, b in zip(scales(lo, hi, un), ends, ends[1:], strict=False)] for at, lo, hi, un in rows])
+
+    points = weighted_values(df, keys, value, steps)
+    state = points.withColumn(all_, started("points.x", "points.w")).select(*map(name, keys), "points", *(F.col(all_)[c].alias(n) for c, n in (("u", u), ("least", least), ("most", most), ("unit", unit))))
+    if rounds:
+        # Cells are numbered once, so that a task can tell them apart without their keys.
+        state = materialise(state.withColumn(cell, F.monotonically_increasing_id()))
+        rows = df.select(*map(name, keys), name(value).alias(x_)).filter(name(x_).isNotNull() & ~name(x_).isin(float("inf"), float("-inf")))
+    for _ in range(rounds):
+        small = state.select(*map(name, keys), cell, u, least, most, unit)
+        faced = beside(rows, small, keys, known_as) if keys else rows.join(F.broadcast(small))  # without keys there is one row
+        scored = faced.select(cell, gradients(x_, cell, u, least, most, unit).alias(sums))
+        total = scored.groupBy(cell).agg(F.array(*(F.sum(F.col(sums)[f"g{i}"]) for i in range(ends[-1]))).alias(sums))
+        moved = state.join(total, cell).withColumn(u, stepped("points.x", "points.w", u, sums, least, most, unit)).drop(sums)
+        state = materialise(moved)
+    cells = state.select(*map(name, keys), parameters(u, least, most, unit).alias(all_))
     return cells.select(*map(name, keys), *(name(all_)[i].alias(f) for i, f in enumerate(out_)))
 
 

@@ -17,6 +17,10 @@ LONG = ("variable", "operation", "parameter", "value")
 GATHERED = ("Median", "Mode")
 
 
+def _iterative(t: Target) -> bool:
+    return t.op in fits.ITERATIVE or t.bounds is not None
+
+
 def summarize(df: DataFrame, rows: list[str], cols: list[str], targets: list[str], skewed: bool | None = None, known_as: Shape | None = None) -> DataFrame:
     """(rows..., cols..., variable, operation, parameter, value), one row for each cell, target and parameter with a value.
 
@@ -42,11 +46,11 @@ def summarize(df: DataFrame, rows: list[str], cols: list[str], targets: list[str
         x = F.col(alias[t.var])
         if t.op not in FITTED and i not in counted:
             aggs.append(F.array(descriptive(t.op, x, bool(keys)).cast("double")).alias(found[i]))
-        elif t.op in FITTED and t.op not in fits.ITERATIVE:
+        elif t.op in FITTED and not _iterative(t):
             aggs.append(fits.from_means(t.op, x).alias(found[i]))
     cells = data.groupBy(*map(name, keys)).agg(*aggs) if aggs else data.select(*map(name, keys)).distinct() if keys else df.sparkSession.range(1).drop("id")
     for i, t in enumerate(wanted):
-        if t.op == "Gamma (k, θ)":
+        if t.op == "Gamma (k, θ)" and not t.bounds:
             cells = cells.withColumn(found[i], fits.gamma_parameters(F.col(found[i])))
         if i in counted:
             x = F.col(alias[t.var])
@@ -57,16 +61,16 @@ def summarize(df: DataFrame, rows: list[str], cols: list[str], targets: list[str
                 cells = cells.withColumn(found[i], own.scalar())
             cells = cells.withColumn(found[i], F.array(F.col(found[i]).cast("double")))
     for v, a in alias.items():
-        own = [(i, t) for i, t in enumerate(wanted) if t.var == v and t.op in fits.ITERATIVE]
+        own = [(i, t) for i, t in enumerate(wanted) if t.var == v and _iterative(t)]
         if own:
-            fitted = fits.fit_cells(data, keys, a, [t.op for _, t in own])
+            fitted = fits.fit_cells(data, keys, a, [(t.op, t.bounds) for _, t in own], known_as=known_as)
             fitted = fitted.select(*map(name, keys), *(name(c).alias(found[i]) for c, (i, _) in zip(fitted.columns[len(keys) :], own, strict=True)))
             if keys:
                 cells = cells.join(fitted, keys, "left")
             else:
                 got = fitted.first()
                 cells = cells.withColumns({found[i]: F.lit(got[found[i]] if got else None).cast("array<double>") for i, _ in own})
-    parts = [F.struct(F.lit(t.var).alias("variable"), F.lit(t.op).alias("operation"), F.lit(p).alias("parameter"), F.get(F.col(found[i]), F.lit(k)).alias("value")) for i, t in enumerate(wanted) for k, p in enumerate(t.parameters())]
+    parts = [F.struct(F.lit(t.var).alias("variable"), F.lit(t.operation()).alias("operation"), F.lit(p).alias("parameter"), F.get(F.col(found[i]), F.lit(k)).alias("value")) for i, t in enumerate(wanted) for k, p in enumerate(t.parameters())]
     return cells.select(*map(name, keys), F.inline(F.array(*parts))).filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -76,7 +80,7 @@ def pivot(long: DataFrame, rows: list[str], cols: list[str], target: str, parame
     values: the column cells, if known; otherwise they are found by a distinct over the (small) long result.
     """
     t = Target.parse(target)
-    own = long.filter((F.col("variable") == t.var) & (F.col("operation") == t.op) & (F.col("parameter") == parameter))
+    own = long.filter((F.col("variable") == t.var) & (F.col("operation") == t.operation()) & (F.col("parameter") == parameter))
     if not cols:
         return own.select(*map(name, rows), F.col("value").alias(t.var)).orderBy(*map(name, rows))
     (across,) = fresh(own, "across")

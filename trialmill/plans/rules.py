@@ -120,22 +120,32 @@ def parse_rule(text: str, compat: frozenset[str] = frozenset()) -> Rule:
     return Rule(var, "checklist", values=tuple(values))
 
 
+_BOUNDED = re.compile(rf"(.*?)\s*\[\s*([+-]?(?:{_NUMBER}|inf))\s*,\s*([+-]?(?:{_NUMBER}|inf))\s*\]", re.S)
+
+
 @dataclass(frozen=True)
 class Target:
-    """`variable@Operation`."""
+    """`variable@Operation`; a fitted family may be followed by the bounds between which values were seen: `variable@Gamma (k, θ) [0.2, 1.5]`."""
 
     var: str
     op: str
+    bounds: tuple[float, float] | None = None
 
     @staticmethod
     def parse(text: str) -> Target:
         var, at, op = text.rpartition("@")
-        if not at or op not in OPERATIONS:
-            raise ValueError(f"a target reads variable@operation with an operation of {OPERATIONS}, not {text!r}")
-        return Target(var, op)
+        bounds, read = None, _BOUNDED.fullmatch(op)
+        if read and read[1] in FITTED:
+            op, bounds = read[1], (float(read[2]), float(read[3]))
+        if not at or op not in OPERATIONS or bounds and not bounds[0] < bounds[1]:
+            raise ValueError(f"a target reads variable@operation with an operation of {OPERATIONS}, and fits may end in [low, high], not {text!r}")
+        return Target(var, op, bounds)
+
+    def operation(self) -> str:
+        return f"{self.op} [{self.bounds[0]:g}, {self.bounds[1]:g}]" if self.bounds else self.op
 
     def text(self) -> str:
-        return f"{self.var}@{self.op}"
+        return f"{self.var}@{self.operation()}"
 
     def parameters(self) -> tuple[str, ...]:
         return FITTED.get(self.op, ("",))
