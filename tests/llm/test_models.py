@@ -197,3 +197,17 @@ def test_forest_column_equals_its_trees(spark):
     forest = secrets.Forest(x, (x[:, 0] > 0.5).astype(float), ["a", "b", "c"])
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], "a double, b double, c double").withColumn("s", forest.column())
     assert all(abs(r["s"] - forest.score([r["a"], r["b"], r["c"]])) < 1e-9 for r in df.collect())
+
+
+def test_findings_compile(spark):
+    """With fallbacks off, code that cannot be compiled is an error."""
+    docs = spark.createDataFrame([(1, "token = ghp_" + "aB3dE6gH9j" * 4 + " and more"), (2, None), (3, "plain words")], "doc_id long, text string")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.codegen.factoryMode", "spark.sql.codegen.fallback")}
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        found = secrets.findings(docs, secrets.forest(spark)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert [(r.doc_id, r.is_secret) for r in found] == [(1, True)]

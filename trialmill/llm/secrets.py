@@ -7,6 +7,7 @@ features and scores are DataFrame functions from the scan to the result.
 from __future__ import annotations
 
 import functools
+import json
 import random
 import string
 
@@ -112,6 +113,10 @@ def labelled_findings(seed: int = 5, each: int = 30) -> list[tuple[str, str, str
     return rows
 
 
+def _depth(tree) -> int:
+    return 0 if isinstance(tree, float) else 1 + max(_depth(tree[2]), _depth(tree[3]))
+
+
 class Forest:
     """Random forest of small trees; a tree is (feature, threshold, left, right) or a share of secrets."""
 
@@ -141,13 +146,33 @@ class Forest:
         return f, cut, self._grow(x[left], y[left], depth - 1, rng), self._grow(x[~left], y[~left], depth - 1, rng)
 
     def column(self) -> Column:
-        def of(tree) -> Column:
+        """The share of secrets as a column. All trees lie in four arrays of nodes, and a row walks down each of them; a leaf leads to itself. So
+        the expression has one size whatever the trees', and features are evaluated once."""
+        feature, cut, left, right, leaf = [], [], [], [], []
+
+        def lay(tree) -> int:
+            at = len(feature)
+            for column, value in zip((feature, cut, left, right, leaf), (0, 1e300, at, at, 0.0), strict=True):
+                column.append(value)  # no feature exceeds this cut
             if isinstance(tree, float):
-                return F.lit(tree)
-            f, cut, left, right = tree
-            return F.when(F.col(self.names[f]) <= cut, of(left)).otherwise(of(right))
-
-        return functools.reduce(lambda a, b: a + b, map(of, self.trees)) / len(self.trees)
+                leaf[at] = tree
+            else:
+                feature[at], cut[at] = tree[:2]
+                left[at], right[at] = lay(tree[2]), lay(tree[3])
+            return at
+
+        roots = [lay(t) for t in self.trees]
+        listed = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        f_, c_, l_, r_, v_ = listed(feature, "int"), listed(cut, "double"), listed(left, "int"), listed(right, "int"), listed(leaf, "double")
+        depth = max(map(_depth, self.trees))
+
+        def score(row: Column) -> Column:
+            down = lambda node, _: F.when(F.get(row, F.get(f_, node)) <= F.get(c_, node), F.get(l_, node)).otherwise(F.get(r_, node))
+            end = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), root, down)
+            return F.aggregate(F.transform(listed(roots, "int"), lambda root: F.get(v_, end(root))), F.lit(0.0), lambda a, b: a + b) / len(roots)
+
+        row = F.array(*(F.col(n).cast("double") for n in self.names))
+        return F.get(F.transform(F.array(row), score), F.lit(0))
 
     def score(self, row: list[float]) -> float:
         def of(tree) -> float:
