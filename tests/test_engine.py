@@ -3,6 +3,7 @@
 import math
 import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -441,6 +442,67 @@ def test_delimited_text(spark, tmp_path):
     assert tables.legal_names(spark.createDataFrame([(1, 2, 3)], "`a b` int, `1x` int, `ab` int")).columns == ["ab", "col1x", "ab_1"]
 
 
+def test_names_are_unique():
+    assert tables.unique(["a", "a", "a_1"]) == ["a", "a_2", "a_1"]
+    assert tables.unique(["a", "A", "a", "b"]) == ["a", "A_1", "a_2", "b"]
+    for names in (["x_1", "x", "x", "x_1"], ["", "", "_1"]):
+        assert len({n.lower() for n in tables.unique(names)}) == len(names)
+
+
+def jobs_of(spark, made):
+    sc, group = spark.sparkContext, f"counted-{uuid.uuid4()}"
+    sc.setJobGroup(group, group)
+    out = made()
+    found = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, found
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    n = 400
+    for i in range(n):
+        head, row = ('"id"|"rt"', f"{i}|0.5") if i % 3 else ('"rt"|"extra"|"id"', f'0.25|"e"|{i}')
+        (tmp_path / f"f {i}.txt").write_text(f"{head}\n{row}\n")
+    paths = [str(tmp_path / f"f {i}.txt") for i in range(n)]
+    df, jobs = jobs_of(spark, lambda: tables.read_piped(spark, paths))
+    _, few = jobs_of(spark, lambda: tables.read_piped(spark, paths[:40]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # As many jobs for 40 files: for headers, for types, and to list paths beyond 32.
+    assert jobs == few <= 7 and plan.count("Relation [") == 1 and df.columns == ["rt", "extra", "id"]
+    assert df.agg(F.count("extra"), F.sum("id"), F.sum("rt")).first() == (134, sum(range(n)), 0.25 * 134 + 0.5 * 266)
+
+
+def test_a_large_gbk_file_is_read_by_several_tasks(spark, tmp_path):
+    rows = ["名 值"] + [f"甲{i} {i}乙" for i in range(60_000)]
+    one, two = tmp_path / "g.txt", tmp_path / "u.txt"
+    one.write_bytes("\r\n".join(rows).encode("gbk"))
+    two.write_text("\n".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        g = tables.read_texts(spark, [str(one)], encoding="gbk", file_name=False)
+        assert g.rdd.getNumPartitions() > 3 and g.columns == ["名", "值"] and g.count() == 60_000
+        assert g.exceptAll(tables.read_texts(spark, [str(two)], file_name=False)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError):
+        tables.read_texts(spark, [str(one)], encoding="utf-16")
+
+
+def test_files_of_different_headers_and_appending(spark, tmp_path):
+    for i, text in enumerate(("\n a b\n1 2\n\n3 4 5\n", "b c\nx y\n", "", "a\n")):
+        (tmp_path / f"{i}.txt").write_text(text)
+    paths = [str(tmp_path / f"{i}.txt") for i in range(4)]
+    df = tables.read_texts(spark, paths)
+    assert df.columns == ["a", "b", "untitled0", "c", "fileName"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("1", "2", None, None, "0.txt"), ("3", "4", "5", None, "0.txt"), (None, "x", None, "y", "1.txt")], key=str)
+    data = TrialData(spark).read_text(paths[:1]).read(paths[1:2], append=True)
+    assert set(data.data.columns) == set(df.columns) and data.data.count() == 3
+    (tmp_path / "p.psydata").write_text('"a"|"rt"\n"z"|1\n')
+    assert data.read_piped([str(tmp_path / "p.psydata")], append=True).data.count() == 4
+    assert tables.read_piped(spark, [paths[2]]).count() == 0
+
+
 def mat_element(kind, data):
     return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
 

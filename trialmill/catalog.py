@@ -6,6 +6,7 @@ large cells. Floating results are rounded alike on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .engine import TrialData
 from .functions.stats import Z_KNOTS, Z_SMALL, name
 from .operators import cdf, filters, summary
 from .plans.rules import SummaryPlan
+from .shared import folder
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +76,42 @@ def null_key_guard(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- files -----------------------------------------------------------------------------------------------------------
+def _written(spark: SparkSession) -> str:
+    return f"{folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    "files_piped",
+    "SELECT event_id, user_id, value, event_type FROM (SELECT CAST(event_id AS DOUBLE) AS event_id, CAST(user_id AS DOUBLE) AS user_id, value, CAST(NULL AS VARCHAR) AS event_type FROM events WHERE event_id % 2 = 0 "
+    "UNION ALL SELECT CAST(event_id AS DOUBLE), NULL, value, event_type FROM events WHERE event_id % 2 = 1)",
+)
+def files_piped(spark, sf_dir):
+    """Every event written to one of two folders with different headers, and both read back in one scan."""
+    e, (a, b) = _table(spark, sf_dir, "events"), (_written(spark), _written(spark))
+    tables.write_piped(e.filter("event_id % 2 = 0").select("event_id", "user_id", "value"), a)
+    tables.write_piped(e.filter("event_id % 2 = 1").select("value", "event_type", "event_id"), b)
+    return TrialData(spark).read_piped([a, b]).data.select("event_id", "user_id", "value", "event_type")
+
+
+@query("files_delimited", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN 'more' END AS untitled0 FROM events")
+def files_delimited(spark, sf_dir):
+    """Every event as a line of text, some with a field beyond the header, read back as text."""
+    e, path = _table(spark, sf_dir, "events"), _written(spark)
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", F.when(F.col("event_id") % 3 == 0, "more"))
+    e.select(line.alias("id kind")).write.csv(path, sep="\x01", header=True, quote="")
+    return TrialData(spark).read_text([path]).data.select("id", "kind", "untitled0")
+
+
+@query("files_appended", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(user_id) AS BIGINT) AS users FROM (SELECT event_type, user_id FROM events UNION ALL SELECT event_type, NULL FROM events WHERE value > 50) GROUP BY event_type")
+def files_appended(spark, sf_dir):
+    """What survives a rule is saved, read back and appended to the whole table."""
+    path = _written(spark)
+    data = _trials(spark, sf_dir)
+    TrialData(spark, data.data.select("event_type", "value")).save_piped(path, rules=["value:> 50"])
+    return data.read_piped([path], append=True).data.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("user_id").alias("users"))
+
+
 # --- descriptive aggregates ------------------------------------------------------------------------------------------
 _SQL_AGG = {
     "Mean": "avg({x})",

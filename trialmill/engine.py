@@ -23,21 +23,23 @@ class TrialData:
         self.results: list[DataFrame] = []
 
     # --- load and save -----------------------------------------------------------------------------------------------
-    def read_piped(self, paths: list[str]) -> TrialData:
-        self.data = tables.read_piped(self.spark, paths)
+    def _take(self, new: DataFrame, append: bool) -> TrialData:
+        """new as the table, or together with the one there is; variables that either lacks are missing there."""
+        self.data = tables.union([new, self.data]) if append and self.data is not None else new
         return self
 
-    def read_text(self, paths: list[str], header: bool = True, encoding: str = "utf-8", delimiter: str = r"\s") -> TrialData:
-        self.data = tables.read_texts(self.spark, paths, header, encoding, delimiter)
-        return self
+    def read_piped(self, paths: list[str], append: bool = False) -> TrialData:
+        return self._take(tables.read_piped(self.spark, paths), append)
+
+    def read_text(self, paths: list[str], header: bool = True, encoding: str = "utf-8", delimiter: str = r"\s", append: bool = False) -> TrialData:
+        return self._take(tables.read_texts(self.spark, paths, header, encoding, delimiter), append)
 
     def read_matlab(self, paths: list[str], append: bool = False) -> TrialData:
         self.data = matlab.read_matlab(self.spark, paths, self.data if append else None)
         return self
 
-    def read(self, paths: list[str], **options) -> TrialData:
-        self.data = tables.read_any(self.spark, paths, **options)
-        return self
+    def read(self, paths: list[str], append: bool = False, **options) -> TrialData:
+        return self._take(tables.read_any(self.spark, paths, **options), append)
 
     def save_piped(self, path: str, rows: list[str] | None = None, cols: list[str] | None = None, rules: list[str] | None = None) -> None:
         """The table, or what rules leave of it."""
