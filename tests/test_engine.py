@@ -226,6 +226,32 @@ def test_boxcox_beyond_the_first_grid(spark):
         assert loss(got) <= min(loss(v) for v in np.linspace(-40, 40, 2001)) * (1 + 1e-9)
 
 
+@pytest.mark.parametrize("true", [3.0, 0.0, 0.0002, -0.5])
+def test_boxcox_in_three_reads(spark, true):
+    from trialmill.functions import boxcox
+
+    rng = np.random.default_rng(4)
+    z = np.clip(rng.normal(0, 0.1, 20_000), -0.3, 0.3)
+    x = np.exp(z) if true == 0 else (1 + true * z) ** (1 / true)
+    df = spark.createDataFrame(pd.DataFrame({"x": x * 50})).repartition(3)
+    got, jobs = jobs_of(spark, lambda: boxcox.best_lambda(df, F.col("x")))
+    y = np.log(x) - np.log(x).mean()
+    slope = lambda v: np.cov(np.expm1(v * y) / v, (y * np.exp(v * y) - np.expm1(v * y) / v) / v)[0, 1]
+    # The slope of the variance changes its sign within a millionth.
+    assert slope(got - 1e-6) < 0 < slope(got + 1e-6)
+    assert jobs <= 9  # three aggregations, each of three stages here
+    assert abs(got - true) < 0.3
+
+
+def test_boxcox_without_spread(spark):
+    from trialmill.functions import boxcox
+
+    of = lambda *v: boxcox.best_lambda(spark.createDataFrame([(x,) for x in v], "x double"), F.col("x"))
+    assert of() == of(None) == of(3.0) == of(2.0, 2.0) == 1.0
+    with pytest.raises(ValueError):
+        of(1.0, 0.0)
+
+
 def test_columns_named_like_helpers_stay(spark):
     names = ["mean", "__mean", "sd", "n", "median", "mad", "salt", "fit", "fit0", "x", "place", "part", "row", "first", "low", "quartiles"]
     rows = [("s", float(v), *(111 + v for _ in names)) for v in range(60)]

@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 6
+#: Decimals of what a search for a maximum has found.
+FIT_DIGITS = 4
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -305,7 +307,14 @@ for _key, _given, _sql in (
 ):
     QUERIES[_key] = _expressions(_given)
     ORACLE[_key] = f"SELECT l_orderkey, l_linenumber, {_sql} FROM lineitem"
-QUERIES["expr_boxcox"] = _expressions({"boxcox": "runBoxcox(self.data['value'] + 1)"}, "events", ("event_id",))
+
+
+def expr_boxcox(spark, sf_dir):
+    out = _expressions({"boxcox": "runBoxcox(self.data['value'] + 1)"}, "events", ("event_id",))(spark, sf_dir)
+    return out.withColumn("boxcox", F.round("boxcox", FIT_DIGITS))
+
+
+QUERIES["expr_boxcox"] = expr_boxcox
 QUERIES["expr_divide_zero"] = _expressions({"a": f"{_Q} / ({_D} - {_D})"})
 ORACLE["expr_divide_zero"] = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) WHEN l_quantity < 0 THEN CAST('-inf' AS DOUBLE) END AS a FROM lineitem"
 
@@ -324,10 +333,6 @@ _FITS = {
 }
 
 
-#: Decimals of fitted parameters.
-FIT_DIGITS = 4
-
-
 def _fit(op: str, rules: tuple[str, ...] = ()) -> Query:
     def run(spark, sf_dir):
         out = _trials(spark, sf_dir).summarize(["event_type"], [], list(rules), [f"value@{op}"])
@@ -388,6 +393,10 @@ def _shifted_sql(op: str, lowest: str, parts: dict[str, str]) -> str:
     return _fit_sql(op, {k: v.format(shape=shape, mean=f"avg({y})", shift="any_value((a + b) / 2)") for k, v in parts.items()}, "x JOIN r60 USING (event_type)", found)
 
 
+# The slope of the variance of (e^(m y) - 1) / m by m, with y the logarithms less their mean.
+_SLOPE = "covar_pop((exp(m * y) - 1) / m, (y * exp(m * y) - (exp(m * y) - 1) / m) / m)"
+_LOGS = "x AS MATERIALIZED (SELECT 1 AS one, event_id, ln(value + 1) AS l, ln(value + 1) - avg(ln(value + 1)) OVER () AS y FROM events)"
+ORACLE["expr_boxcox"] = f"WITH {_LOGS}, {_root('SELECT 1 AS one, -2.9 AS a, 3.1 AS b', _SLOPE, keys='one')} SELECT event_id, round((exp((a + b) / 2 * l) - 1) / ((a + b) / 2), {FIT_DIGITS}) AS boxcox FROM x JOIN r60 USING (one)"
 ORACLE["fit_shifted_wald"] = _shifted_sql(_FITS["fit_shifted_wald"], "min(v) - 2 * (max(v) - min(v))", {"m": "sqrt({shape}) / {mean}", "a": "sqrt({shape})", "shift": "{shift}"})
 ORACLE["fit_shifted_ig"] = _shifted_sql(_FITS["fit_shifted_ig"], "0.0", {"μ": "{shape}", "λ": "{mean}", "shift": "{shift}"})
 

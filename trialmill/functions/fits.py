@@ -31,7 +31,7 @@ STEPS, ACCURACY = 1024, 2000
 #: Smallest density that a value contributes to the likelihood of a family in FLOORED, whose densities can run out of digits.
 FLOOR, FLOORED = 1e-10, ("Ex-Gaussian (μ, σ, τ)", "Ex-Wald (m, a, τ)")
 #: Newton rounds over the trials, the step of the differences that stand for derivatives, and the farthest that a coordinate moves in a round.
-ROUNDS, H, FARTHEST = 3, 1e-3, 0.5
+ROUNDS, H, FARTHEST = 2, 1e-3, 0.5
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.25, rounds: int = 600, tolerance: float = 1e-10) -> np.ndarray:
@@ -374,7 +374,7 @@ def gamma_parameters(means: pd.Series) -> pd.Series:
     return pd.Series([[a, b] if g else None for a, b, g in zip(k, at[:, 1] / k, good, strict=True)])
 
 
-def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STEPS) -> DataFrame:
+def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STEPS, known_as: Shape | None = None) -> DataFrame:
     """keys, points: the weighted points (x, w) of each cell in order.
 
     One aggregation finds quartiles and extremes, a second one the bins; both combine before their shuffle.
@@ -384,7 +384,7 @@ def weighted_values(df: DataFrame, keys: list[str], value: str, steps: int = STE
     given = given.select(*map(name, keys), name(value).alias(x))
     aggregates = F.min(x).alias(low), F.max(x).alias(high), F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(q)
     if keys:
-        sized = beside(given, given.groupBy(*map(name, keys)).agg(*aggregates), keys)
+        sized = beside(given, given.groupBy(*map(name, keys)).agg(*aggregates), keys, known_as)
     else:
         # Over no keys the statistics of the table are one row, read as a scalar.
         one = given.agg(*aggregates).agg(F.struct(*(F.first(c).alias(c) for c in (low, high, q))).alias("s")).scalar()
@@ -465,7 +465,7 @@ def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[
         rows = zip(us, least, most, unit, strict=True)
         return pd.Series([[s.back(np.asarray(at)[a:b]) if np.isfinite(np.asarray(at)[a:b]).all() else None for s, a, b in zip(scales(lo, hi, un), ends, ends[1:], strict=False)] for at, lo, hi, un in rows])
 
-    points = weighted_values(df, keys, value, steps)
+    points = weighted_values(df, keys, value, steps, known_as)
     state = points.withColumn(all_, started("points.x", "points.w")).select(*map(name, keys), "points", *(F.col(all_)[c].alias(n) for c, n in (("u", u), ("least", least), ("most", most), ("unit", unit))))
     if rounds:
         # Cells are numbered once, so that a task can tell them apart without their keys.

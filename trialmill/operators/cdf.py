@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fits, special
-from ..functions.stats import beside, fresh, name, number
+from ..functions.stats import Shape, beside, fresh, name, number
 
 #: Trials that a cell needs.
 LEAST_TRIALS = 50
@@ -24,21 +24,23 @@ def pooled(df: DataFrame, var: str, keys: list[str], least: int = LEAST_TRIALS)
     own = df.drop(target).withColumn(var, number(df, var))
     if keys:
         own = own.filter(" and ".join(f"`{k}` is not null" for k in keys))
+    # One count over the keys guards the cells' size and says how their parameters meet the rows.
     sizes = own.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("trials"))
-    small, cells = sizes.agg(F.count_if(F.col("trials") < least), F.count(F.lit(1))).first()
+    small, cells, largest = sizes.agg(F.count_if(F.col("trials") < least), F.count(F.lit(1)), F.max("trials")).first()
     if small or not cells:
         raise ValueError(f"{small or 'all'} cells have fewer than {least} trials")
+    known_as = Shape(largest, cells)
 
     @F.pandas_udf(T.DoubleType())
     def probability(x: pd.Series, mu: pd.Series, sigma: pd.Series, tau: pd.Series) -> pd.Series:
         return pd.Series(special.exgauss_cdf(x.to_numpy(float), mu.to_numpy(float), sigma.to_numpy(float), tau.to_numpy(float)))
 
     (fit,) = fresh(own, "fit")
-    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"])
+    params = fits.fit_cells(own, keys, var, ["Ex-Gaussian (μ, σ, τ)"], known_as=known_as)
     params = params.withColumnRenamed(params.columns[-1], fit)
     if keys:
         # Every cell has a row, with null where nothing could be fitted.
-        faced = beside(own, own.select(*map(name, keys)).distinct().join(params, keys, "left"), keys)
+        faced = beside(own, sizes.select(*map(name, keys)).join(params, keys, "left"), keys, known_as)
     else:
         got = params.first()
         faced = own.withColumn(fit, F.lit(got[fit] if got else None).cast("array<double>"))
