@@ -433,6 +433,31 @@ def test_pivots_and_text(spark):
     assert {r["operation"] for r in singles.collect()} == {"Count"}
 
 
+def test_text_of_a_large_result(spark, tmp_path):
+    df = spark.createDataFrame([(f"r{i:05}", i / 3, float(i), None if i % 2 else "x") for i in range(3000)], "`r.k` string, a double, b double, c string").repartition(5)
+    summary.write_text(df, str(tmp_path / "text"), "title", ["v:> 1"], order=["r.k"])
+    parts = sorted((tmp_path / "text").glob("part-*"))
+    assert len(parts) > 1 and "".join(p.read_text() for p in parts) == summary.to_text(df.orderBy("`r.k`"), "title", ["v:> 1"])
+
+
+def test_registered_operations_share_one_exchange(spark):
+    from trialmill.functions.stats import OWN, register
+
+    register("Spread", lambda x: F.max(x) - F.min(x))
+    try:
+        df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0), ("b", None)], "k string, x double")
+        out = summary.summarize(df, ["k"], [], ["x@Spread", "x@Mean"])
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, out.collect())) == [("a", "x", "Mean", "", 2.5), ("a", "x", "Spread", "", 3.0)]
+        assert SummaryPlan(["k"], [], [], ["x@Spread"]).validate() is None
+    finally:
+        del OWN["Spread"]
+    with pytest.raises(ValueError):
+        Target.parse("x@Spread")
+    with pytest.raises(ValueError):
+        register("a@b", F.max)
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 def test_piped_round_trip(spark, tmp_path):
     one = tmp_path / "1.txt"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import TrialData
-from .functions.stats import Z_KNOTS, Z_SMALL, name
+from .functions.stats import name, register
 from .operators import cdf, filters, summary
 from .plans.rules import SummaryPlan
 from .shared import folder
@@ -71,11 +71,32 @@ def union_by_name(spark, sf_dir):
     return tables.union([e.select("event_id", "value"), e.select("event_id", "event_type")])
 
 
-@query("null_key_guard", "SELECT count(*) AS n FROM events")
+@query("null_key_guard", "SELECT count(*) AS n, count(*) FILTER (value < 20) > 0 AS refused FROM events")
 def null_key_guard(spark, sf_dir):
+    """Keys of all events pass; keys that small values have lost are refused."""
     e = _table(spark, sf_dir, "events")
     filters.check_keys(e, ["user_id", "event_type"])
-    return e.agg(F.count(F.lit(1)).alias("n"))
+    try:
+        filters.check_keys(_without_keys(e), ["user_id", "event_type"])
+        refused = False
+    except ValueError:
+        refused = True
+    return e.agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
+
+
+def _without_keys(e: DataFrame) -> DataFrame:
+    """The events, of which small values have no user and some others no type."""
+    return e.withColumns({"user_id": F.when(F.col("value") >= 20, F.col("user_id")), "event_type": F.when(F.col("event_id") % 7 != 0, F.col("event_type"))})
+
+
+@query(
+    "null_keys_dropped",
+    f"SELECT user_id, event_type, 'value' AS variable, 'Mean' AS operation, '' AS parameter, round(avg(value), {DIGITS}) AS value FROM events WHERE value >= 20 AND event_id % 7 <> 0 AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, event_type",
+)
+def null_keys_dropped(spark, sf_dir):
+    """Rows without a key belong to no cell."""
+    data = TrialData(spark, _without_keys(_table(spark, sf_dir, "events")))
+    return _rounded(data.summarize(["user_id"], ["event_type"], [], ["value@Mean"]), "value")
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -158,6 +179,30 @@ def agg_multi_target(spark, sf_dir):
     return _rounded(_trials(spark, sf_dir, "lineitem").summarize(["l_returnflag"], ["l_linestatus"], [], [f"{x}@{op}" for x, op in _MULTI]), "value")
 
 
+@query(
+    "agg_registered",
+    " UNION ALL ".join(
+        f"SELECT event_type, 'value' AS variable, '{op}' AS operation, '' AS parameter, round({sql}, {DIGITS}) AS value FROM events GROUP BY event_type"
+        for op, sql in (("Range", "max(value) - min(value)"), ("Root Mean Square", "sqrt(avg(value * value))"), ("Mean", "avg(value)"))
+    ),
+)
+def agg_registered(spark, sf_dir):
+    """Operations of a program's own beside a built-in one, in one exchange."""
+    register("Range", lambda x: F.max(x) - F.min(x))
+    register("Root Mean Square", lambda x: F.sqrt(F.avg(x * x)))
+    return _rounded(_trials(spark, sf_dir).summarize(["event_type"], [], [], ["value@Range", "value@Root Mean Square", "value@Mean"]), "value")
+
+
+@query(
+    "text_lines",
+    "SELECT event_type || chr(9) || (CASE WHEN n IS NULL THEN '' ELSE CAST(n AS VARCHAR) END) || chr(9) || printf('%.2f', m) || chr(9) AS value FROM (SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.000001 AS m FROM events GROUP BY event_type)",
+)
+def text_lines(spark, sf_dir):
+    """A wide result as lines of text, made where the rows lie."""
+    wide = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.round(F.avg("value"), 6) + 0.000001).alias("m"))
+    return summary.lines_of(wide, decimals=2)
+
+
 # --- medians, modes and deviations of cells that no task could hold -----------------------------------------------------------------------------------------
 def _large(targets: list[str], keys: list[str]) -> Query:
     return lambda spark, sf_dir: _rounded(_trials(spark, sf_dir, "lineitem").summarize(keys, [], [], targets, skewed=True), "value")
@@ -177,9 +222,11 @@ def _kept(rules: list[str], keys: list[str], **options) -> Query:
 
 
 def _z_sql(n: str) -> str:
-    knots = "".join(f" WHEN {n} >= {a} THEN {za} + ({n} - {a}) * {(zb - za) / (b - a)!r}" for (a, za), (b, zb) in reversed(list(zip(Z_KNOTS, Z_KNOTS[1:], strict=False))))
-    small = "".join(f" WHEN {n} = {k} THEN {z}" for k, z in Z_SMALL)
-    return f"CASE WHEN {n} >= {Z_KNOTS[-1][0]} THEN {Z_KNOTS[-1][1]}{knots}{small} ELSE 1.0 END"
+    """z by sample size, written out by hand so that a wrong knot in the library shows."""
+    small = f"CASE {n} WHEN 4 THEN 1.458 WHEN 5 THEN 1.68 WHEN 6 THEN 1.841 WHEN 7 THEN 1.961 WHEN 8 THEN 2.05 WHEN 9 THEN 2.12 WHEN 10 THEN 2.173 WHEN 11 THEN 2.22 WHEN 12 THEN 2.246 WHEN 13 THEN 2.274 WHEN 14 THEN 2.31 ELSE 1.0 END"
+    return f"""CASE WHEN {n} < 15 THEN {small}
+  WHEN {n} < 20 THEN 2.326 + ({n} - 15) * 0.065 / 5.0 WHEN {n} < 25 THEN 2.391 + ({n} - 20) * 0.019 / 5.0 WHEN {n} < 30 THEN 2.41 + ({n} - 25) * 0.021 / 5.0
+  WHEN {n} < 35 THEN 2.431 + ({n} - 30) * 0.019 / 5.0 WHEN {n} < 50 THEN 2.45 + ({n} - 35) * 0.03 / 15.0 WHEN {n} < 100 THEN 2.48 + ({n} - 50) * 0.02 / 50.0 ELSE 2.5 END"""
 
 
 def _stat_sql(kind: str, keys: str, source: str = "events") -> str:
@@ -218,6 +265,7 @@ for _key, _rule, _where in (
     ("filter_raw", "value:>= 20", "value >= 20"),
     ("filter_and", "value:> 10 and < 80.5", "value > 10 AND value < 80.5"),
     ("filter_or", "value:< 5 or >= 90", "value < 5 OR value >= 90"),
+    ("filter_fraction", "value:>= .5e1 and < 8.05E+1", "value >= 5 AND value < 80.5"),
     ("filter_checklist_num", "user_id: = 1 = 2 = 5", "user_id IN (1, 2, 5)"),
     ("filter_checklist_str", "event_type: = 'click' = 'view'", "event_type IN ('click', 'view')"),
 ):
@@ -303,6 +351,8 @@ for _key, _given, _sql in (
     ("expr_arith", {"a": f"{_Q} + 2 * {_P}", "b": f"-({_P} - {_Q}) / {_Q}", "c": f"{_Q} ** 2", "d": f"1 / {_Q}"}, "round(l_quantity + 2 * l_extendedprice, 9) AS a, round(-(l_extendedprice - l_quantity) / l_quantity, 9) AS b, round(l_quantity ** 2, 9) AS c, round(1 / l_quantity, 9) AS d"),
     ("expr_log_exp", {"a": f"np.log({_P})", "b": f"np.exp({_D})"}, "round(ln(l_extendedprice), 9) AS a, round(exp(l_discount), 9) AS b"),
     ("expr_logical", {"a": f"np.logical_and({_Q} > 10, {_D} > 0.05)", "b": f"({_Q} > 40) | ({_D} < 0.01)", "c": f"~({_Q} > 10)", "d": f"np.logical_or({_D}, {_Q} < 3)"}, "l_quantity > 10 AND l_discount > 0.05 AS a, l_quantity > 40 OR l_discount < 0.01 AS b, NOT (l_quantity > 10) AS c, l_discount <> 0 OR l_quantity < 3 AS d"),
+    ("expr_bits", {"a": "self.data['l_linenumber'] & 3", "b": "self.data['l_linenumber'] | 4", "c": "~self.data['l_linenumber']", "d": f"+{_Q} - -{_D}"}, "CAST(l_linenumber & 3 AS DOUBLE) AS a, CAST(l_linenumber | 4 AS DOUBLE) AS b, CAST(~l_linenumber AS DOUBLE) AS c, round(l_quantity + l_discount, 9) AS d"),
+    ("expr_bool_and", {"a": f"({_Q} > 10) & ({_D} > 0.05)", "b": f"({_Q} > 10) & ~({_D} > 0.05)"}, "l_quantity > 10 AND l_discount > 0.05 AS a, l_quantity > 10 AND NOT l_discount > 0.05 AS b"),
     ("expr_compare", {"a": f"{_Q} == 10", "b": f"{_Q} != 10", "c": f"{_Q} <= 10", "d": f"{_Q} >= 10"}, "l_quantity = 10 AS a, l_quantity <> 10 AS b, l_quantity <= 10 AS c, l_quantity >= 10 AS d"),
 ):
     QUERIES[_key] = _expressions(_given)
@@ -315,6 +365,8 @@ def expr_boxcox(spark, sf_dir):
 
 
 QUERIES["expr_boxcox"] = expr_boxcox
+QUERIES["expr_slice"] = _expressions({"part": "self.data['value'][100:5000:3]", "rest": "self.data['value'][7:] + 1"}, "events", ("event_id",))
+ORACLE["expr_slice"] = "SELECT event_id, CASE WHEN r >= 100 AND r < 5000 AND (r - 100) % 3 = 0 THEN value END AS part, CASE WHEN r >= 7 THEN round(value + 1, 9) END AS rest FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events)"
 QUERIES["expr_divide_zero"] = _expressions({"a": f"{_Q} / ({_D} - {_D})"})
 ORACLE["expr_divide_zero"] = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) WHEN l_quantity < 0 THEN CAST('-inf' AS DOUBLE) END AS a FROM lineitem"
 

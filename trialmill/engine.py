@@ -82,6 +82,10 @@ class TrialData:
         """A long result as text."""
         return summary.to_text(result, "result", rules, decimals)
 
+    def save_text(self, wide: DataFrame, path: str, title: str, rules: list[str] | None = None, decimals: int = 4, order: list[str] | None = None) -> None:
+        """A wide result of any size as a folder of text."""
+        summary.write_text(wide, path, title, rules, decimals, order)
+
     def omega(self, var: str, keys: list[str]) -> tuple[float, float]:
         """(p, omega) estimated from pooled probabilities."""
         return cdf.fit_omega(cdf.pooled(self.data, var, keys), f"{var}_cdf")

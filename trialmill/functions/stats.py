@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -94,11 +95,25 @@ def shifting_z(n: Column) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
+#: Operations of a program's own, by name: what makes their aggregate from a column of numbers.
+OWN: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(op: str, made: Callable[[Column], Column]) -> None:
+    """Make an operation that targets can name. made turns a column of numbers, missing ones among them, into one aggregate Column of built-in
+    aggregates, so it combines before the shuffle and shares one exchange with all other targets."""
+    if not op.strip() or op != op.strip() or "@" in op or "[" in op:
+        raise ValueError(f"an operation's name has no blanks around it, no @ and no bracket: {op!r}")
+    OWN[op] = made
+
+
 def descriptive(op: str, x: Column, grouped: bool) -> Column:
     """The aggregate of an operation; missing values are left out.
 
     The standard error divides by the root of all rows of a cell, but over a whole table by that of its known values.
     """
+    if op in OWN:
+        return OWN[op](x)
     n = F.count(F.lit(1)) if grouped else F.count(x)
     made: dict[str, functools.partial] = {
         "Mean": functools.partial(F.avg, x),

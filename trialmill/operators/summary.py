@@ -98,19 +98,43 @@ def _label(v) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
 
-def to_text(wide: DataFrame, title: str, rules: list[str] | None = None, decimals: int = 4) -> str:
-    """A small wide result as text: rules, a blank line, then cells each followed by a tab."""
+def _cell(v, decimals: int) -> str:
+    if v is None:
+        return ""
+    if isinstance(v, float):
+        return f"{v:.0f}" if v.is_integer() else f"{v:.{decimals}f}"
+    return str(v)
+
+
+def _head(columns: list[str], title: str, rules: list[str] | None, decimals: int) -> list[str]:
     if not 0 <= decimals <= 12:
         raise ValueError("0 to 12 decimals")
+    return [*([*rules, ""] if rules else []), title, "".join(f"{c}\t" for c in columns)]
 
-    def cell(v) -> str:
-        if v is None:
-            return ""
-        if isinstance(v, float):
-            return f"{v:.0f}" if v.is_integer() else f"{v:.{decimals}f}"
-        return str(v)
 
-    lines = [*(rules or []), ""] if rules else []
-    lines += [title, "".join(f"{c}\t" for c in wide.columns)]
-    lines += ["".join(f"{cell(v)}\t" for v in r) for r in wide.collect()]
+def to_text(wide: DataFrame, title: str, rules: list[str] | None = None, decimals: int = 4) -> str:
+    """A small wide result as text, such as for a clipboard: rules, a blank line, then cells each followed by a tab. Large results are for write_text()."""
+    lines = _head(wide.columns, title, rules, decimals)
+    lines += ["".join(f"{_cell(v, decimals)}\t" for v in r) for r in wide.collect()]
     return "\n".join(lines) + "\n"
+
+
+def lines_of(wide: DataFrame, decimals: int = 4) -> DataFrame:
+    """(value): the rows of a wide result as lines of text, made where they lie and in their order."""
+
+    def cell(c: str, kind: str):
+        v = name(c)
+        if kind in ("double", "float"):
+            whole = F.abs(v) < 2**53
+            v = F.when(whole & (v == F.floor(v)), F.floor(v).cast("string")).otherwise(F.format_string(f"%.{decimals}f", v.cast("double")))
+        return F.concat(F.coalesce(v.cast("string"), F.lit("")), F.lit("\t"))
+
+    return wide.select(F.concat(*(cell(c, k) for c, k in wide.dtypes)).alias("value"))
+
+
+def write_text(wide: DataFrame, path: str, title: str, rules: list[str] | None = None, decimals: int = 4, order: list[str] | None = None) -> None:
+    """A wide result of any size as a folder of text parts, which read one after another are its text: what to_text() has above the rows, then the
+    rows, sorted by the columns of order by ranges. Nothing is collected."""
+    head = wide.sparkSession.createDataFrame([(line,) for line in _head(wide.columns, title, rules, decimals)], "value string").coalesce(1)
+    rows = wide.orderBy(*map(name, order)) if order else wide
+    head.union(lines_of(rows, decimals)).write.text(path)

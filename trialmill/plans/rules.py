@@ -6,6 +6,8 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from ..functions.stats import OWN
+
 # Comparators, the operations that a target can name, and their parameters in order of output.
 COMPARATORS = ("<", "<=", ">", ">=")
 DESCRIPTIVE = ("Mean", "Median", "Mode", "Count", "Standard Deviation", "Max", "Min", "Variance", "Standard Error")
@@ -137,8 +139,8 @@ class Target:
         bounds, read = None, _BOUNDED.fullmatch(op)
         if read and read[1] in FITTED:
             op, bounds = read[1], (float(read[2]), float(read[3]))
-        if not at or op not in OPERATIONS or bounds and not bounds[0] < bounds[1]:
-            raise ValueError(f"a target reads variable@operation with an operation of {OPERATIONS}, and fits may end in [low, high], not {text!r}")
+        if not at or op not in OPERATIONS and op not in OWN or bounds and not bounds[0] < bounds[1]:
+            raise ValueError(f"a target reads variable@operation with an operation of {(*OPERATIONS, *OWN)}, and fits may end in [low, high], not {text!r}")
         return Target(var, op, bounds)
 
     def operation(self) -> str:
