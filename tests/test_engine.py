@@ -440,6 +440,18 @@ def test_text_of_a_large_result(spark, tmp_path):
     assert len(parts) > 1 and "".join(p.read_text() for p in parts) == summary.to_text(df.orderBy("`r.k`"), "title", ["v:> 1"])
 
 
+def test_wide_views_in_blocks(spark, tmp_path):
+    n = 2500
+    df = spark.range(3 * n).select((F.col("id") % 3).alias("r"), F.floor(F.col("id") / 3).alias("c"), F.lit("d").alias("d"), F.col("id").cast("double").alias("v")).filter("r < 2 or c < 10")
+    long = summary.summarize(df, ["r"], ["c", "d"], ["v@Mean"])
+    assert summary.write_wide(long, ["r"], ["c", "d"], "v@Mean", str(tmp_path / "w"), block=1000) == 3
+    first, last = (spark.read.parquet(str(tmp_path / f"w/block={b}")) for b in (0, 2))
+    assert first.columns == ["r", *(f"{c} | d" for c in range(1000))] and last.columns == ["r", *(f"{c} | d" for c in range(2000, n))]
+    assert sorted((r.r, r["7 | d"]) for r in first.collect()) == [(0, 21.0), (1, 22.0), (2, 23.0)] and first.filter("r = 2").first()["10 | d"] is None
+    assert sorted(r.r for r in last.collect()) == [0, 1]
+    assert summary.write_wide(long.limit(0), ["r"], ["c", "d"], "v@Mean", str(tmp_path / "x")) == 0
+
+
 def test_registered_operations_share_one_exchange(spark):
     from trialmill.functions.stats import OWN, register
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fits
 from ..functions.stats import Shape, descriptive, fresh, name, number, shape
 from ..plans.rules import FITTED, Target
+from ..shared import stored
 from . import selection
 
 LONG = ("variable", "operation", "parameter", "value")
@@ -94,6 +96,31 @@ def pivot(long: DataFrame, rows: list[str], cols: list[str], target: str, parame
     return flat.groupBy(F.lit(t.var).alias("variable")).pivot(across, values).agg(F.first("value"))
 
 
+#: Columns of a wide view that are made and named at once.
+BLOCK = 1000
+
+
+def write_wide(long: DataFrame, rows: list[str], cols: list[str], target: str, path: str, parameter: str = "", separator: str = " | ", block: int = BLOCK) -> int:
+    """A wide view with more columns than a driver should hold or a plan should name: Parquet folders path/block=0, 1, ..., side by side.
+
+    Column cells are numbered in their order; each block has the row variables and the next so many of them, and a row only
+    where it has a value in the block. The driver holds the names of one block at a time. Returns the number of blocks.
+    """
+    t = Target.parse(target)
+    at, across = fresh(long, "at", "across")
+    own = long.filter((F.col("variable") == t.var) & (F.col("operation") == t.operation()) & (F.col("parameter") == parameter))
+    label = F.concat_ws(separator, *(name(c).cast("string") for c in cols)).alias(across)
+    cells = own.select(*map(name, cols), label).distinct().withColumn(at, F.row_number().over(W.orderBy(*map(name, cols))) - 1)
+    numbered = stored(own.join(cells.drop(across), cols).select(*map(name, rows), label, (F.col(at) / block).cast("int").alias("block"), at, "value"))
+    count = (numbered.agg(F.max("block")).first()[0] or 0) + 1 if not numbered.isEmpty() else 0
+    for b in range(count):
+        mine = numbered.filter(F.col("block") == b)
+        names = [r[0] for r in mine.select(across, at).distinct().orderBy(at).collect()]
+        keys = [name(r) for r in rows] or [F.lit(t.var).alias("variable")]
+        mine.groupBy(*keys).pivot(across, names).agg(F.first("value")).write.parquet(f"{path}/block={b}")
+    return count
+
+
 def _label(v) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
