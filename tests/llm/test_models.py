@@ -211,3 +211,29 @@ def test_findings_compile(spark):
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert [(r.doc_id, r.is_secret) for r in found] == [(1, True)]
+
+
+def test_features_of_few_rows_are_held_at_once(spark, monkeypatch):
+    """Ten thousand short texts, one batch: what is made at once is bounded by rows."""
+    most = []
+    plain = langid.features
+    monkeypatch.setattr(langid, "features", lambda texts: most.append(len(texts)) or plain(texts))
+    rows = [(i, ("the cat and dog", "der hund und die")[i % 2], ("en", "de")[i % 2]) for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(["the cat"] * 3)[0] == ["en"] * 3 and max(most) <= langid.ROWS
+    docs = spark.createDataFrame([(i, "der hund") for i in range(2000)], "doc_id long, text string").coalesce(1)
+    got = langid.identify(docs, model).collect()
+    assert len(got) == 2000 and {r.lang_pred for r in got} == {"de"}
+
+
+def test_added_spans_touch_no_base_span():
+    text = "call +49 30 1234567 or a.b@c.de now, 10.0.0.1 and (212) 555-0143\n" * 3000
+    base = pii.base_spans(text)
+    (added,) = pii.added_spans(pii.trained(), [text], [base])
+    edges = sorted((s, e) for s, e, _ in base)
+    assert len(base) > 5000 and added
+    import bisect
+
+    for s, e, _ in added:
+        k = bisect.bisect_left(edges, (e, 0))
+        assert all(z <= s for _, z in edges[max(0, k - 3) : k])

@@ -23,8 +23,8 @@ FAMILIES = {
 #: Labelled rows that the SVMs are fitted on at most, and buckets of hashed byte n-grams.
 SAMPLE, BUCKETS = 4000, 2048
 GRAMS = (1, 2, 3)
-#: Bytes of text that are counted at once.
-STEP = 1 << 19
+#: Bytes of text that are counted at once, and rows whose features are held at once.
+STEP, ROWS = 1 << 19, 512
 EPOCHS, COST = 12, 1.0
 
 
@@ -130,8 +130,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             known = [any(map(str.isalpha, t)) for t in b["text"]]
             b = b[known]
-            x = features([t.lower().encode("utf-8", "surrogatepass") for t in b["text"]]).astype(np.float32)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "x": [r.tobytes() for r in x]})
+            for at in range(0, len(b), ROWS):
+                part = b.iloc[at : at + ROWS]
+                x = features([t.lower().encode("utf-8", "surrogatepass") for t in part["text"]]).astype(np.float32)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "x": [r.tobytes() for r in x]})
 
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in own]
     drawn = rows.alias("r").join(F.broadcast(ids.alias("i")), same, "left_semi").dropDuplicates(own)
@@ -145,14 +147,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row from its whole text alone.
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if there was nothing to learn
-    from. Rows that repeat get a row each, null ids stay null, other columns are ignored.
+    from. Rows that repeat get a row each, null ids stay null, other columns are ignored; an empty table gives an empty
+    result. Texts of any length are read whole; features of ROWS texts are held at once, so memory doesn't grow with the texts of a batch.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # one weight row for each pair of languages
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            langs, score = held.value.predict(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": langs, "score": score})
+            for at in range(0, len(b), ROWS):
+                part = b.iloc[at : at + ROWS]
+                langs, score = held.value.predict(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": langs, "score": score})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, lang_pred string, score double")
 

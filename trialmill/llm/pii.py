@@ -9,8 +9,10 @@ that paths are exact and memory doesn't grow with the labels of a long text.
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -363,6 +365,13 @@ def trained(seed: int = 9) -> Field:
 def added_spans(field: Field, texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
     """Spans that the field's labels make beside the base spans of each text; none of them touches a base span."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+
+    @functools.lru_cache(maxsize=1)
+    def reach(k: int) -> tuple[list[int], list[int]]:
+        """The starts of a text's base spans in order, and the farthest end of any up to each."""
+        spans = sorted(base[k])
+        return [s for s, _, _ in spans], list(itertools.accumulate((e for _, e, _ in spans), max))
+
     for i, j in chunks(texts, STEP):
         lengths = np.fromiter((len(t) + 1 for t in texts[i:j]), dtype=np.int64, count=j - i)
         text_at = np.concatenate(([0], np.cumsum(lengths)))
@@ -383,7 +392,9 @@ def added_spans(field: Field, texts: list[str], base: list[list[tuple[int, int,
             x, y = edge[r], edge[r + 1]
             shift, held = int(text_at[own[x]]), i + int(own[x])
             a, z = int(start[x]) - shift, int(end[y - 1]) - shift
-            if not any(a < e and s < z for s, e, _ in base[held]):
+            starts, farthest = reach(held)
+            before = bisect_left(starts, z)  # base spans that begin before this one ends; does one of them end behind its start?
+            if not before or farthest[before - 1] <= a:
                 out[held].append((a, z, KINDS[labels[x] - 1]))
     return out
 
