@@ -610,3 +610,17 @@ def test_entry_and_catalogue(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "bench.py"))
+
+
+def test_slices_count_in_the_order_that_is_asked_for(spark):
+    """Two slices in a row, with rows spread over partitions in another order and no join broadcast by itself."""
+    df = spark.range(400).select(F.col("id"), (F.col("id") * 2.0).alias("v")).repartition(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = TrialData(spark, df).sort(["id"]).compute("part", "self.data['v'][100:300:3]").compute("rest", "self.data['v'][7:] + 1")
+        got = sorted(map(tuple, data.data.select("id", "part", "rest").collect()))
+        loaded = expressions.compute(expressions.compute(df, "a", "self.data['v'][5:]"), "b", "self.data['v'][:40]").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(i, i * 2.0 if 100 <= i < 300 and (i - 100) % 3 == 0 else None, i * 2.0 + 1 if i >= 7 else None) for i in range(400)]
+    assert len(loaded) == 400 and sum(r["a"] is None for r in loaded) == 5 and sum(r["b"] is not None for r in loaded) == 40

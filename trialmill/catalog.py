@@ -334,9 +334,11 @@ ORACLE["pivot_multilevel"] = "SELECT l_linenumber, " + ", ".join(_case(f"l_retur
 
 
 # --- expressions -----------------------------------------------------------------------------------------------------
-def _expressions(given: dict[str, str], table: str = "lineitem", keys: tuple[str, ...] = ("l_orderkey", "l_linenumber")) -> Query:
+def _expressions(given: dict[str, str], table: str = "lineitem", keys: tuple[str, ...] = ("l_orderkey", "l_linenumber"), order: tuple[str, ...] = ()) -> Query:
     def run(spark, sf_dir):
         data = _trials(spark, sf_dir, table)
+        if order:
+            data.sort(list(order))
         for target, text in given.items():
             data.compute(target, text)
         out = data.data.select(*keys, *given)
@@ -365,7 +367,7 @@ def expr_boxcox(spark, sf_dir):
 
 
 QUERIES["expr_boxcox"] = expr_boxcox
-QUERIES["expr_slice"] = _expressions({"part": "self.data['value'][100:5000:3]", "rest": "self.data['value'][7:] + 1"}, "events", ("event_id",))
+QUERIES["expr_slice"] = _expressions({"part": "self.data['value'][100:5000:3]", "rest": "self.data['value'][7:] + 1"}, "events", ("event_id",), order=("event_id",))
 ORACLE["expr_slice"] = "SELECT event_id, CASE WHEN r >= 100 AND r < 5000 AND (r - 100) % 3 = 0 THEN value END AS part, CASE WHEN r >= 7 THEN round(value + 1, 9) END AS rest FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events)"
 QUERIES["expr_divide_zero"] = _expressions({"a": f"{_Q} / ({_D} - {_D})"})
 ORACLE["expr_divide_zero"] = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) WHEN l_quantity < 0 THEN CAST('-inf' AS DOUBLE) END AS a FROM lineitem"

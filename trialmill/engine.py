@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import expressions
-from .functions.stats import shape
+from .functions.stats import name, shape
 from .operators import cdf, filters, summary
 from .plans.rules import SummaryPlan, Target
 from .sources import matlab, tables
@@ -45,6 +45,11 @@ class TrialData:
         """The table, or what rules leave of it."""
         tables.write_piped(self.filter(rows or [], cols or [], rules) if rules else self.data, path)
 
+    def sort(self, variables: list[str]) -> TrialData:
+        """Rows in the order of variables, which slices count by; files that are read in several parts come in no order of their own."""
+        self.data = self.data.orderBy(*map(name, variables))
+        return self
+
     # --- variables ---------------------------------------------------------------------------------------------------
     def compute(self, target: str, expression: str, overwrite: bool = True) -> TrialData:
         self.data = expressions.compute(self.data, target, expression, overwrite)

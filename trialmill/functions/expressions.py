@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..shared import materialise
 from . import boxcox
 from .stats import fresh, known, name
 
@@ -151,10 +152,11 @@ def compute(df: DataFrame, target: str, text: str, overwrite: bool = True) -> Da
     if not overwrite and target in df.columns:
         raise ValueError(f"{target!r} exists")
     if "[" in text and ":" in text:
-        # Slices need positions: rows are numbered where they lie, partition after partition, by counts of each.
+        # Slices need positions: rows are numbered where they lie, partition after partition, by counts of each. The marks are
+        # made once and stay, as a second look at a table may deal its rows otherwise; counts are few and broadcast, so rows keep their order.
         at, part, row, n, first = fresh(df, "place", "part", "row", "n", "first")
-        marked = df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+        marked = materialise(df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
         begin = marked.groupBy(part).agg(F.count(F.lit(1)).alias(n)).withColumn(first, F.coalesce(F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        placed = marked.join(begin.drop(n), part).withColumn(at, F.col(first) + F.col(row).bitwiseAND(F.lit(2**33 - 1)))
+        placed = marked.join(F.broadcast(begin.drop(n)), part).withColumn(at, F.col(first) + F.col(row).bitwiseAND(F.lit(2**33 - 1)))
         return placed.withColumn(target, compile_expression(df, text, F.col(at))).select(*(name(c) for c in df.columns if c != target), name(target))
     return df.withColumn(target, compile_expression(df, text))
