@@ -624,3 +624,15 @@ def test_slices_count_in_the_order_that_is_asked_for(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [(i, i * 2.0 if 100 <= i < 300 and (i - 100) % 3 == 0 else None, i * 2.0 + 1 if i >= 7 else None) for i in range(400)]
     assert len(loaded) == 400 and sum(r["a"] is None for r in loaded) == 5 and sum(r["b"] is not None for r in loaded) == 40
+
+
+def test_shifted_inverse_gaussian_beside_zero(spark):
+    """A least value of zero leaves the shift no place; one close to it wants more than two rounds."""
+    op = "Shifted Inv-Gaussian (μ, λ, shift)"
+    x = np.round(np.random.default_rng(7).exponential(50, 20_000), 2)
+    near = np.append(x[x > 0.05], 0.01)
+    df = spark.createDataFrame([("zero", 0.0), ("zero", 1.0), ("zero", 4.0), *(("near", float(v)) for v in near)], "k string, x double")
+    got = {r[0]: r[1] for r in fits.fit_cells(df, ["k"], "x", [op]).collect()}
+    assert got["zero"] == [0.0, pytest.approx(5 / 3), 0.0] and math.copysign(1, got["zero"][2]) == 1
+    # Here the likelihood falls in the shift, so the shift is zero and the shape has its closed form.
+    assert got["near"] == pytest.approx([1 / (np.mean(1 / near) - 1 / near.mean()), near.mean(), 0.0], rel=1e-8, abs=1e-9)

@@ -8,7 +8,8 @@ of trials; cells of all sizes are treated alike.
 
 The fit to the points is only a start. In each of ROUNDS Newton rounds all cells advance together: the gradient of the
 log-likelihood is summed over all trials by one aggregation, and the points give the curvature. What is left of the points'
-error shrinks by about their relative error in each round, so the result is the maximum over the single trials.
+error shrinks by about their relative error in each round, so the result is the maximum over the single trials. Where that
+error is large, as beside a bound of the values, further rounds follow until nothing moves.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ STEPS, ACCURACY = 1024, 2000
 FLOOR, FLOORED = 1e-10, ("Ex-Gaussian (μ, σ, τ)", "Ex-Wald (m, a, τ)")
 #: Newton rounds over the trials, the step of the differences that stand for derivatives, and the farthest that a coordinate moves in a round.
 ROUNDS, H, FARTHEST = 2, 1e-3, 0.5
+#: Further rounds while a coordinate of any cell moves by more than SETTLED, and rounds at most.
+SETTLED, MOST_ROUNDS = 1e-9, 8
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.25, rounds: int = 600, tolerance: float = 1e-10) -> np.ndarray:
@@ -146,7 +149,12 @@ def fit_shifted_wald(x: np.ndarray, w: np.ndarray) -> list[float]:
 
 
 def fit_shifted_invgauss(x: np.ndarray, w: np.ndarray) -> list[float]:
-    """Shape comes first and is called μ, the mean second and called λ; the shift is not below zero."""
+    """Shape comes first and is called μ, the mean second and called λ; the shift is not below zero.
+
+    If the least value is zero so is the shift, and the shape, as the inverse of a zero has no bound.
+    """
+    if x.min() == 0:
+        return [0.0, float(np.average(x, weights=w)), 0.0]
     return list(_shifted(x, w, 0.0))
 
 
@@ -252,13 +260,22 @@ class Scale:
         self.kinds = COORDINATES[op]
         # How far below the least value a shift may lie.
         self.lowest = 0.0 if op.startswith("Shifted Inv") else least - 2 * (most - least)
+        # A shift without a place to go; nothing moves then.
+        self.stuck = "under" in self.kinds and least == self.lowest == 0
+
+    def found(self, u: np.ndarray) -> list[float]:
+        """The parameters, exact where they lie at an end."""
+        got = self.back(u)
+        if self.stuck:
+            return [0.0, got[1], 0.0]
+        return [max(v, self.lowest) if k == "under" else v for k, v in zip(self.kinds, got, strict=True)]
 
     def back(self, u: np.ndarray) -> list[float]:
         made = {"log": lambda v: math.exp(min(max(v, -300), 300)), "free": lambda v: v * self.unit, "under": lambda v: self.least - math.exp(min(v, 300))}
         return [float(made[k](v)) for k, v in zip(self.kinds, u, strict=True)]
 
     def forth(self, params: list[float]) -> np.ndarray:
-        made = {"log": lambda v: math.log(v), "free": lambda v: v / self.unit, "under": lambda v: math.log(max(self.least - v, 1e-12 * self.unit))}
+        made = {"log": lambda v: -300.0 if self.stuck and v == 0 else math.log(v), "free": lambda v: v / self.unit, "under": lambda v: math.log(max(self.least - v, 1e-12 * self.unit))}
         return np.array([made[k](v) for k, v in zip(self.kinds, params, strict=True)])
 
     def scores(self, x: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -276,6 +293,8 @@ class Scale:
 
     def step(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, gradient: np.ndarray) -> np.ndarray:
         """One Newton step from the gradient over all trials; what would push a shift beyond its lowest place keeps it there."""
+        if self.stuck:
+            return u
         bend = self.curvature(x, w, u)
         if not (np.isfinite(bend).all() and np.isfinite(gradient).all()):
             return u
@@ -400,18 +419,18 @@ def _positive(op: str) -> bool:
     return op not in ("Ex-Gaussian (μ, σ, τ)", "Shifted Wald (m, a, shift)", "Shifted Inv-Gaussian (μ, λ, shift)")
 
 
-def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[str, Bounds]], steps: int = STEPS, rounds: int = ROUNDS, known_as: Shape | None = None) -> DataFrame:
+def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[str, Bounds]], steps: int = STEPS, rounds: int = ROUNDS, known_as: Shape | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """keys and, for each family of ops, in this order, an array<double> of its parameters; a family that cannot be fitted gives null.
 
     An op is the name of a family or (name, bounds) for data that were only seen between bounds; values beyond them are an
     error. Families of positive values see only these. rounds: Newton rounds over all trials after the fit to the
-    points; 0 leaves it at that.
+    points; 0 leaves it at that. More follow until no cell moves, most_rounds in all at most.
     """
     wanted: list[tuple[str, Bounds]] = [op if isinstance(op, tuple) else (op, None) for op in ops]
     sizes = [len(COORDINATES[op]) for op, _ in wanted]
     ends = np.cumsum([0, *sizes])
     all_, *out_ = fresh(df.select(*map(name, keys)), "fits", *(f"fit{i}" for i in range(len(ops))))
-    u, x_, least, most, unit, cell, sums = fresh(df.select(*map(name, keys)), "u", "x", "least", "most", "unit", "cell", "sums")
+    u, x_, least, most, unit, cell, sums, before = fresh(df.select(*map(name, keys)), "u", "x", "least", "most", "unit", "cell", "sums", "before")
 
     def scales(least: float, most: float, unit: float) -> list[Scale]:
         return [Scale(op, bounds, least, most, unit) for op, bounds in wanted]
@@ -463,7 +482,7 @@ def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[
     @F.pandas_udf("array<array<double>>")
     def parameters(us: pd.Series, least: pd.Series, most: pd.Series, unit: pd.Series) -> pd.Series:
         rows = zip(us, least, most, unit, strict=True)
-        return pd.Series([[s.back(np.asarray(at)[a:b]) if np.isfinite(np.asarray(at)[a:b]).all() else None for s, a, b in zip(scales(lo, hi, un), ends, ends[1:], strict=False)] for at, lo, hi, un in rows])
+        return pd.Series([[s.found(np.asarray(at)[a:b]) if np.isfinite(np.asarray(at)[a:b]).all() else None for s, a, b in zip(scales(lo, hi, un), ends, ends[1:], strict=False)] for at, lo, hi, un in rows])
 
     points = weighted_values(df, keys, value, steps, known_as)
     state = points.withColumn(all_, started("points.x", "points.w")).select(*map(name, keys), "points", *(F.col(all_)[c].alias(n) for c, n in (("u", u), ("least", least), ("most", most), ("unit", unit))))
@@ -471,13 +490,17 @@ def fit_cells(df: DataFrame, keys: list[str], value: str, ops: list[str | tuple[
         # Cells are numbered once, so that a task can tell them apart without their keys.
         state = materialise(state.withColumn(cell, F.monotonically_increasing_id()))
         rows = df.select(*map(name, keys), name(value).alias(x_)).filter(name(x_).isNotNull() & ~name(x_).isin(float("inf"), float("-inf")))
-    for _ in range(rounds):
+    for done in range(1, (max(rounds, most_rounds) if rounds else 0) + 1):
         small = state.select(*map(name, keys), cell, u, least, most, unit)
         faced = beside(rows, small, keys, known_as) if keys else rows.join(F.broadcast(small))  # without keys there is one row
         scored = faced.select(cell, gradients(x_, cell, u, least, most, unit).alias(sums))
         total = scored.groupBy(cell).agg(F.array(*(F.sum(F.col(sums)[f"g{i}"]) for i in range(ends[-1]))).alias(sums))
-        moved = state.join(total, cell).withColumn(u, stepped("points.x", "points.w", u, sums, least, most, unit)).drop(sums)
+        moved = state.join(total, cell).withColumn(before, F.col(u)).withColumn(u, stepped("points.x", "points.w", u, sums, least, most, unit)).drop(sums)
         state = materialise(moved)
+        step = F.array_max(F.zip_with(u, before, lambda a, b: F.nanvl(F.abs(a - b), F.lit(0.0))))
+        if done >= rounds and (state.agg(F.max(step)).first()[0] or 0) <= SETTLED:
+            break
+        state = state.drop(before)
     cells = state.select(*map(name, keys), parameters(u, least, most, unit).alias(all_))
     return cells.select(*map(name, keys), *(name(all_)[i].alias(f) for i, f in enumerate(out_)))
 
