@@ -53,3 +53,17 @@ def test_edited_copies_go(spark, monkeypatch, small, block, shingles):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [i for i in range(len(texts)) if find(i) == i]
     assert kept.filter("doc_id is null").count() == 1 and simhash.keep_one(spark, docs.limit(0), "").count() == 0
+
+
+def test_fingerprints_decide_by_vantage_points(spark, monkeypatch):
+    """What op1's shards link goes from the pipeline too, also where shingles share less than LEAST."""
+    routed = []
+    real = simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda distinct, *more: routed.append(distinct.count()) or real(distinct, *more))
+    texts = ["la " * 100 + "one", "la " * 100 + "two", "three other words", " ".join(f"w{i}" for i in range(50)), "la " * 100 + "two"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 0)], SCHEMA)
+    assert len(grams(texts[0]) & grams(texts[1])) < similar.LEAST * len(grams(texts[0]) | grams(texts[1]))
+    root = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs.filter("doc_id is not null")).collect()}
+    kept = [r["doc_id"] for r in simhash.keep_one(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == [i for i in range(len(texts)) if root[i] == i] == [0, 2, 3]
+    assert kept.count(None) == 1 and len(routed) == 2

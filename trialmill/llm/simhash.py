@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, table
@@ -60,15 +60,16 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long. Null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, *more: Column) -> DataFrame:
+    """(doc_id, the columns more, fp): fp is the fingerprint's 64 bits as a long. Null text counts as empty."""
+    given = id_text(docs, *more)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.encode("utf-8", "surrogatepass"), width) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": signed(fp)})
+            yield b.drop(columns="text").assign(fp=signed(fp))
 
-    return id_text(docs).mapInPandas(each, "doc_id long, fp long")
+    return given.mapInPandas(each, ", ".join(f"{c} {kind}" for c, kind in given.drop("text").dtypes) + ", fp long")
 
 
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -194,18 +195,32 @@ def near_dups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> Da
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_links(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between rows whose fingerprints differ in at most radius bits, enough of them for the components.
+
+    A row is named by (doc_id, mark of its text); rows without doc_id take no part. Null text counts as empty.
+    """
+    marked = materialise(fingerprints(docs.filter("doc_id is not null"), width, text_mark(F.col("text")).alias("mark")).select("fp", F.struct("doc_id", "mark").alias("node")))
+    distinct = materialise(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = marked.join(distinct, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda x: distinct.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x))
+    close = linked(distinct.select("fp"), radius).toDF("fp_a", "fp_b").join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
+    return equal.unionByName(close).distinct()
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of near copies the row with the smallest doc_id stays.
 
-    Near copies share 0.8 of their five-word shingles, directly or by links. Their fingerprints differ in up to about
-    a quarter of the bits, where vantage points rule out nothing, so candidates come from keys of shingles instead.
+    Near copies are what the fingerprints link, as in near_dups: vantage-point shards find every pair within two bits.
+    Copies that share 0.8 of their five-word shingles but lie farther apart (about a quarter of the bits, where vantage
+    points rule out nothing) are linked as well, by keys of shingles and an exact comparison; rows reached by links of either kind are one group.
     It is decided for each row, not for each doc_id: rows that share an id but not a text are told apart, and of rows
     with the same id and text one stays. Rows without doc_id stay. Null and empty texts are copies of each other; all
     columns stay as they are, whatever their names; an empty table gives an empty result; texts are compared whole.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), row)
-    gone = near_copies(docs).filter("node <> root").select("node.doc_id", "node.mark")
+    gone = near_copies(docs, row_links(docs)).filter("node <> root").select("node.doc_id", "node.mark")
     kept = marked.join(gone, ["doc_id", "mark"], "left_anti")
     twice = marked.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1")
     if not twice.isEmpty():

@@ -102,9 +102,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return good.select(packed("a"), packed("b")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(node, root): each row that links of similar texts join to others, and the smallest that they reach.
 
+    links: pairs (a, b) of rows that are known to belong together, such as those of near fingerprints; they count as they
+    are, and what they join is not compared again beyond the first round.
     A row is named by (doc_id, mark of its text), so rows that share an id but not a text are told apart. Null text counts
     as empty; texts without words are copies of each other; rows without doc_id take no part.
     """
@@ -124,7 +126,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = materialise(placed.join(shared, "key").select("key", "node", "least"))
     texts = stored(given.select(node, "text").join(members.select("node").distinct(), "node").dropDuplicates(["node"]))
     near = materialise(members.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    sure = materialise(_verified(near, texts))
+    sure = materialise(_verified(near, texts) if links is None else _verified(near, texts).unionByName(links))
     done, joined = near, True
     for n in range(ROUNDS + 1):
         known = components(sure).withColumnRenamed("node", "member")
