@@ -72,3 +72,12 @@ def test_clashing_names(spark):
         assert out.columns[: len(docs.columns)] == docs.columns, stage
         got = out.select(docs.columns).collect()
         assert len(got) == left and {tuple(r) for r in got} <= set(rows), stage
+
+
+def test_a_task_holds_one_python_worker(spark):
+    """Hits are dealt anew before they are verified, also where items are broadcast, and features and score are one node."""
+    docs = spark.createDataFrame([(1, "one two three four five six", "x")], "doc_id long, text string, note string")
+    plan = decontam.drop_leaks(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "RepartitionByExpression" in plan
+    plan = toxicity.reject(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1

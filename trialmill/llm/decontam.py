@@ -194,8 +194,9 @@ def _overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     key = docs.schema["key"].dataType.simpleString()
     hits = docs.select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(scan, f"key {key}, seed long, at long, lead long, span long, tokens array<long>")
-    # A seed that very many texts have meets its items in several tasks.
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
+    # A seed that very many texts have meets its items in several tasks. They are other tasks than those that read texts, also
+    # where items are broadcast: a task that did both would hold two Python workers.
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")).repartition("seed", "salt")
     facing = hits.join(seeded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["seed", "salt"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

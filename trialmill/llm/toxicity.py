@@ -14,10 +14,11 @@ classes shifts all words of a text alike, so the difference is also taken agains
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ BROADCAST_ROWS = 2_000_000
 FLUSH = 1_000_000
 #: Bytes of text that a task counts or scores at once.
 STEP = 1 << 19
+#: Rows whose texts a task takes out of an Arrow batch at once.
+ROWS = 256
 #: By so much a word's difference has to exceed the text's median to stand out.
 MARGIN = 2.0
 FEATURES = 3
@@ -44,8 +47,16 @@ LEAST = 0.05
 _BLANK = 32
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
-    return [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+def _bytes(texts: Iterable[str | None]) -> list[bytes]:
+    """Texts as bytes, null as empty."""
+    return [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that the texts of one slice at a time stand in memory a second and third time."""
+    for b in batches:
+        for i in range(0, len(b), ROWS):
+            yield b.slice(i, ROWS)
 
 
 def distinct_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -83,32 +94,38 @@ def contexts(key: np.ndarray) -> np.ndarray:
 def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """(text, toxic) -> (key, n0, n1): how often each event occurs in ordinary and toxic texts."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pd.DataFrame:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.stack([np.bincount(at, np.concatenate([w[:, c] for _, w in held]), len(keys)) for c in (0, 1)]).astype(np.int64)
+        def flush() -> pa.RecordBatch:
+            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([w for _, w in held])
             held.clear()
-            return pd.DataFrame({"key": keys, "n0": n[0], "n1": n[1]})
-
-        for b in batches:
-            parts = [slices(t, word_mask(), STEP) for t in _bytes(b["text"])]
-            toxic, texts = np.repeat(b["toxic"].to_numpy() == 1, list(map(len, parts))), [p for own in parts for p in own]
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sums = np.add.reduceat(n, first, axis=0, dtype=np.int64)
+            return pa.RecordBatch.from_pydict({"key": keys[first], "n0": np.ascontiguousarray(sums[:, 0]), "n1": np.ascontiguousarray(sums[:, 1])})
+
+        for b in _rows(batches):
+            parts = [slices(t, word_mask(), STEP) for t in _bytes(b.column("text").to_pylist())]
+            toxic, texts = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False) == 1, list(map(len, parts))), [p for own in parts for p in own]
             for begin, end in chunks(texts, STEP):
                 words, place, kind = distinct_words(texts[begin:end])
+                if not len(place):
+                    continue
                 of = np.repeat(toxic[begin:end], np.diff(words.first))
                 times = np.stack([np.bincount(kind[of == c], minlength=len(place)) for c in (False, True)], axis=1)
                 key, first = events(words, place, order)
                 keys, at = np.unique(key, return_inverse=True)
                 of = np.repeat(np.arange(len(place)), np.diff(np.append(first, len(key))))
-                held.append((keys, np.stack([np.bincount(at, times[of, c], len(keys)) for c in (0, 1)], axis=1)))
+                # A chunk has fewer than 2^31 bytes, so its counts take four.
+                held.append((keys, np.stack([np.bincount(at, times[of, c], len(keys)) for c in (0, 1)], axis=1).astype(np.int32)))
                 if sum(len(k) for k, _ in held) > FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    found = labelled.select("text", "toxic").mapInPandas(each, "key long, n0 long, n1 long")
+    found = labelled.select("text", "toxic").mapInArrow(each, "key long, n0 long, n1 long")
     return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -291,9 +308,11 @@ def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "
     """columns of docs and x, or another name: the features of the column text, null counting as empty; rows stay where they are unless entries have to be joined."""
     held = models.held
 
-    @F.pandas_udf("array<double>")
-    def direct(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(held.value.features(_bytes(texts.fillna("")))))
+    @F.arrow_udf("array<double>")
+    def direct(texts: pa.Array) -> pa.Array:
+        found = [held.value.features(_bytes(texts.slice(i, ROWS).to_pylist())) for i in range(0, len(texts), ROWS)]
+        x = np.concatenate(found) if found else np.zeros((0, FEATURES))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
 
     if models.scorer.whole:
         return docs.select(*columns, direct("text").alias(name))
@@ -302,13 +321,17 @@ def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "
     def missing(texts: pd.Series) -> pd.Series:
         return pd.Series([held.value.missing(t) for t in _bytes(texts)])
 
-    @F.pandas_udf("array<double>")
-    def joined(texts: pd.Series, keys: pd.Series, r: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def joined(texts: pa.Array, keys: pa.Array, r: pa.Array) -> pa.Array:
         out = []
-        for t, k, v in zip(_bytes(texts.fillna("")), keys, r, strict=True):
-            order = np.argsort(k) if k is not None else []
-            out.append(held.value.features([t], None if k is None else (np.asarray(k)[order], np.asarray(v)[order]))[0])
-        return pd.Series(out)
+        for i in range(len(texts)):
+            k, more = keys[i].values, None
+            if k is not None:
+                k = k.to_numpy()
+                order = np.argsort(k)
+                more = k[order], r[i].values.to_numpy()[order]
+            out.append(held.value.features(_bytes([texts[i].as_py()]), more)[0])
+        return pa.array(out, pa.list_(pa.float64()))
 
     # A score depends on nothing but the text, so texts are named by their digest.
     mark, of, more = F.sha2(F.col("text").cast("binary"), 256), fresh(docs, "digest"), fresh(docs, "entries")
@@ -351,10 +374,11 @@ def scored(docs: DataFrame, models: Models, name: str = "score") -> DataFrame:
         return docs.withColumn(name, F.lit(0.0))
     weights = models.weights
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        at = np.hstack([np.stack(x.to_numpy()), np.ones((len(x), 1))]) if len(x) else np.zeros((0, FEATURES + 1))
-        return pd.Series(1 / (1 + np.exp(-np.clip(at @ weights, -30, 30))))
+    # Of the same kind as what makes x, so that one worker of a task does both.
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        at = np.hstack([x.flatten().to_numpy().reshape(-1, FEATURES), np.ones((len(x), 1))])
+        return pa.array(1 / (1 + np.exp(-np.clip(at @ weights, -30, 30))))
 
     names, x = [f"`{c}`" for c in docs.columns], fresh(docs, "x")
     return _featured(docs, models, names, x).withColumn(name, score(x)).drop(x)
