@@ -127,3 +127,26 @@ def test_very_long_texts_are_read_in_parts_alike(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "STEP", 100)
     assert np.allclose(scorer.features([text, b"idiot"]), whole)
     assert b"".join(toxicity.slices(text, toxicity.word_mask(), 100)) == text
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 150])
+def test_held_entries_reach_the_driver_part_by_part(spark, monkeypatch, hot):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS * 3)], SCHEMA)
+    labels, sizes = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(TEXTS * 3)], "doc_id long, toxic int"), []
+
+    def collect(self, own=type(docs).collect):
+        rows = own(self)
+        sizes.append(sum(len(v) for row in rows for v in row if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    monkeypatch.setattr(toxicity, "PART", 50, raising=False)
+    models = toxicity.fit(docs, labels, hot=hot)
+    assert sizes and not any(sizes)  # nothing packed is collected as a whole
+    assert not any(isinstance(v, toxicity.Scorer) for v in vars(models).values())  # nor kept beside the broadcast
+    monkeypatch.undo()
+    rows = sorted(models.entries.orderBy("n", "key", ascending=[False, True]).select("key", "r").limit(hot).collect())
+    assert models.scorer.keys.tolist() == [r["key"] for r in rows] and models.scorer.r.tolist() == [r["r"] for r in rows]
+    monkeypatch.setattr(toxicity, "PART", 50)
+    own = [sum(len(r["keys"]) for r in rows) // 8 for rows in toxicity._packed(models.entries, models.entries.count()).rdd.glom().collect()]
+    assert sum(own) == models.entries.count() > 150 and max(own) <= 100

@@ -28,6 +28,8 @@ from .common import Words, chunks, fresh, materialise, slices, stored, table, wo
 ORDER = 8
 #: Entries of the model that executors hold in memory; the most frequent ones. All others are joined.
 HOT = 1 << 22
+#: Of them, about so many reach the driver at once.
+PART = 1 << 18
 #: Labelled rows at most on which the two-class threshold is calibrated, all of the calibration fold.
 CALIBRATION = 5000
 #: Labelled ids are broadcast up to this many rows; more are joined by a shuffle of the texts.
@@ -286,22 +288,38 @@ def calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 class Models:
-    """The fitted model: a table of all entries, the most frequent ones for the executors, and the calibration. Nothing was learnt if scorer is None."""
+    """The fitted model: a table of all entries, the most frequent ones for the executors, and the calibration. Nothing was learnt if held is None."""
 
     def __init__(self, entries: DataFrame | None, scorer: Scorer | None):
-        self.entries, self.scorer, self.weights = entries, scorer, np.zeros(FEATURES + 1)
-        self.held = entries.sparkSession.sparkContext.broadcast(scorer) if scorer else None  # HOT entries at most
+        self.entries, self.whole, self.weights = entries, scorer is not None and scorer.whole, np.zeros(FEATURES + 1)
+        # HOT entries at most. The driver keeps no arrays of its own besides the broadcast.
+        self.held = entries.sparkSession.sparkContext.broadcast(scorer) if scorer else None
 
+    @property
+    def scorer(self) -> Scorer | None:
+        """Read back from the broadcast."""
+        return self.held.value if self.held else None
 
-def _held_entries(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and their entries; executors sort and pack them, the driver only puts the parts together."""
+
+def _packed(entries: DataFrame, n: int) -> DataFrame:
+    """(keys, r): n entries by key in partitions of about PART, in binary rows."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"least": b["key"].iloc[:1], "keys": [b["key"].to_numpy(dtype=np.int64).tobytes()], "r": [b["r"].to_numpy(dtype=np.float64).tobytes()]})
+            yield pd.DataFrame({"keys": [b["key"].to_numpy(dtype=np.int64).tobytes()], "r": [b["r"].to_numpy(dtype=np.float64).tobytes()]})
+
+    dealt = entries.select("key", "r").repartitionByRange(max(1, -(-n // PART)), "key").sortWithinPartitions("key")
+    return dealt.mapInPandas(packed, "keys binary, r binary")
+
 
-    parts = sorted(entries.select("key", "r").orderBy("key").mapInPandas(packed, "least long, keys binary, r binary").collect(), key=lambda p: p["least"])
-    return np.frombuffer(b"".join(p["keys"] for p in parts), dtype=np.int64), np.frombuffer(b"".join(p["r"] for p in parts), dtype=np.float64)
+def _held_entries(entries: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of n entries in order and what they hold; executors sort and pack them, the driver fills two arrays from one partition after the other."""
+    keys, r, at = np.empty(n, dtype=np.int64), np.empty(n), 0
+    for part in _packed(entries, n).toLocalIterator():
+        own = np.frombuffer(part["keys"], dtype=np.int64)
+        keys[at : at + len(own)], r[at : at + len(own)] = own, np.frombuffer(part["r"])
+        at += len(own)
+    return keys, r
 
 
 def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "x") -> DataFrame:
@@ -314,7 +332,7 @@ def _featured(docs: DataFrame, models: Models, columns: list[str], name: str = "
         x = np.concatenate(found) if found else np.zeros((0, FEATURES))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
 
-    if models.scorer.whole:
+    if models.whole:
         return docs.select(*columns, direct("text").alias(name))
 
     @F.pandas_udf("array<long>")
@@ -356,8 +374,9 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION, orde
     if counts.isEmpty():
         return Models(None, None)
     entries = stored(ratios(counts, order))
-    whole = entries.count() <= hot
-    models = Models(entries, Scorer(*_held_entries(entries if whole else entries.orderBy(F.desc("n"), "key").limit(hot)), whole, order))
+    n = entries.count()
+    whole = n <= hot
+    models = Models(entries, Scorer(*_held_entries(entries if whole else entries.orderBy(F.desc("n"), "key").limit(hot), min(n, hot)), whole, order))
     # Rows are bounded, not ids: what repeats an id has its own place in the order.
     mark = F.xxhash64("text").alias("mark")
     drawn = materialise(labelled.filter(back).select("doc_id", mark).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(calibration))
@@ -370,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION, orde
 
 def scored(docs: DataFrame, models: Models, name: str = "score") -> DataFrame:
     """docs with the score of the column text as a further column; null counts as empty."""
-    if models.scorer is None:
+    if models.held is None:
         return docs.withColumn(name, F.lit(0.0))
     weights = models.weights
 
