@@ -61,6 +61,24 @@ def test_exact_stage_matches_brute_force(spark, weak):
     assert sorted(("".join((t or "").split()), (len(t or ""), i is not None, -(i or 0))) for i, t, _ in got) == sorted(best.items())
 
 
+def test_exact_stage_shuffles_distinct_texts_once(spark):
+    """A row whose digest no other has is written to one shuffle; the copies' content goes through one more."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rng = random.Random(5)
+    rows = [(i, rng.randbytes(5000).hex(), "x") for i in range(400)]
+    docs = spark.createDataFrame(rows + [(400 + i, " " + rows[i][1], "y") for i in range(20)], "doc_id long, text string, note string")
+    before = written()
+    got = sorted(map(tuple, exact.keep_one(spark, docs, SF).collect()))
+    assert got == rows[20:] + [(400 + i, " " + rows[i][1], "y") for i in range(20)]
+    assert written() - before < 1.5 * sum(len(t) for _, t, _ in rows)
+
+
 def test_clashing_names(spark):
     """Columns of docs that are named like helpers stay what they are, in every stage."""
     names = ["digest", "salt", "norm", "points", "row", "mark", "node", "score", "x", "key", "found", "stretch", "item_id", "keep_id", "size"]

@@ -5,6 +5,9 @@
 3. Globally: at most SALTS winners of a content meet and give its keeper and group size.
 The way back to the documents goes by (digest, salt). Should two contents ever share a digest, rows of that digest go
 back by their content instead.
+
+The pipeline's stage keeps whole rows. There digests are counted first, in the same steps, and shuffled once with their
+rows; only rows whose digest others have too go through the steps above, with their content.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ def _salted(docs: DataFrame, digest: Callable[[Column], Column], salts: int, *mo
     return given.select("doc_id", content(F.col("text")).alias("norm"), F.length("text").alias("points"), salt, *rest).withColumn("digest", digest(F.col("norm")))
 
 
-def _winners(salted: DataFrame, *more: str) -> DataFrame:
-    """(digest, norm, win, size, salts): the best row of each content, as (points, ~doc_id, more), its copies and the salts they have."""
+def _winners(salted: DataFrame) -> DataFrame:
+    """(digest, norm, win, size, salts): the best row of each content, as (points, ~doc_id), its copies and the salts they have."""
     # The bitwise complement turns the order of ids round and has no overflow; a missing id loses against any other.
-    best = F.max(F.struct(F.col("points"), F.bitwise_not("doc_id").alias("back"), *more)).alias("win")
+    best = F.max(F.struct(F.col("points"), F.bitwise_not("doc_id").alias("back"))).alias("win")
     by_salt = salted.groupBy("digest", "salt", "norm").agg(best, F.count(F.lit(1)).alias("size"))
     return by_salt.groupBy("digest", "norm").agg(F.max("win").alias("win"), F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
 
@@ -80,22 +83,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, digest: Callable
     It is decided for each row, not for each doc_id: the row with the most code points, then the smallest doc_id, then
     the largest hash of all its columns; identical rows collapse into one. A row without id stays only if its group has
     no other of its length. Null and empty texts are one group. All columns stay as they are, whatever their names; an
-    empty table gives an empty result; texts of any length are compared whole.
+    empty table gives an empty result; texts of any length are compared whole. Digests are counted first: one that a
+    single row has stands for a content of its own, so only rows that share theirs are shuffled again, by their content.
     """
-    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    mark = F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("mark")
-    whole = _winners(_salted(docs.select("doc_id", "text", mark), digest, salts, F.col("mark")), "mark")
-    named = materialise(whole.select("digest", F.col("win.points").alias("most"), F.bitwise_not("win.back").alias("keep_id"), F.col("win.mark").alias("own")))
-    rows = _salted(packed.withColumn("mark", F.xxhash64("row.*")), digest, salts, F.col("row"), F.col("mark"))
-    same = F.col("points").eqNullSafe(F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("own"))
-    if _collides(named):
-        exact = whole.select("digest", "norm", F.col("win.points").alias("most"), F.bitwise_not("win.back").alias("keep_id"), F.col("win.mark").alias("own"))
-        kept = rows.join(exact, ["digest", "norm"]).filter(same).dropDuplicates(["digest", "norm"])
-    else:
-        # Only the winner's salt is looked up, and what is left of a content are its identical rows, so it stays where it is.
-        salt = F.pmod(F.xxhash64("keep_id", "most"), F.lit(salts)).cast("int").alias("salt")
-        kept = rows.drop("norm").join(named.withColumn("salt", salt), ["digest", "salt"]).filter(same).dropDuplicates(["digest", "salt"])
-    return kept.select("row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = _salted(docs.select("doc_id", "text", row), digest, salts, F.col("row")).select("digest", "salt", "row")
+    by_salt = rows.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("size"))
+    by_digest = by_salt.groupBy("digest").agg(F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
+    # Both uses take the same columns of rows, so that rows are shuffled once; all else comes from the row again.
+    met = rows.join(by_digest.select("digest", F.explode("salts").alias("salt"), "size"), ["digest", "salt"])
+    alone = met.filter("size = 1").select("row")
+    shared = id_text(met.filter("size > 1").select("row.doc_id", "row.text", "digest", "salt", "row"), "digest", "salt", "row")
+    rank = F.struct(F.length("text").alias("points"), F.bitwise_not("doc_id").alias("back"), F.xxhash64("row.*").alias("mark")).alias("rank")
+    best = shared.select("digest", "salt", content(F.col("text")).alias("norm"), rank, "row")
+    for keys in (("digest", "salt", "norm"), ("digest", "norm")):
+        best = best.groupBy(*keys).agg(F.max("rank").alias("rank"), F.max_by("row", "rank").alias("row"))
+    return alone.union(best.select("row")).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
